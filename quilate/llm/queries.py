@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilate.llm import bpe, packing, substrings, topk, url_filter
+from quilate.llm import bpe, packing, quality, substrings, topk, url_filter
 from quilate.llm.common import table
 
 BYTE_BPE, BYTE_BPE_RANKS, MULTI_RANKS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
@@ -31,6 +31,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.quality(docs).select("doc_id", *columns)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(table(spark, sf_dir, "documents"))
 
@@ -40,7 +46,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_top_k, op4_url_filter, op7_substring_dedup, op8_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_top_k, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_byte_bpe)
     return {f.__name__: f for f in found}
 
 
