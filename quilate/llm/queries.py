@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilate.llm import bpe, packing, quality, substrings, topk, url_filter
+from quilate.llm import bpe, ngram_join, packing, quality, substrings, topk, url_filter
 from quilate.llm.common import table
 
 BYTE_BPE, BYTE_BPE_RANKS, MULTI_RANKS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
@@ -26,6 +26,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_ids(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -46,7 +50,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_top_k, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_byte_bpe)
+    found = (op1_best_fit_packing, op2_exact_top_k, op3_ngram_jaccard, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_byte_bpe)
     return {f.__name__: f for f in found}
 
 
