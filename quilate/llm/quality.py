@@ -143,6 +143,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that the rules keep, with their columns as they came."""
-    metrics = with_metrics(docs, text)
-    limits = written(fences(sketches(metrics.drop(text), lang, source)))
+    # written with the texts: a filter on the verdict must not be pushed into the metrics, which would nest them
+    metrics = written(with_metrics(docs, text))
+    limits = written(fences(sketches(metrics, lang, source)))
     return judged(metrics, limits, lang, source).where("kept").select(*[f"`{c}`" for c in docs.columns])
