@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilate.llm import bpe, lines, ngram_join, packing, quality, substrings, topk, url_filter
+from quilate.llm import bpe, html_text, lines, ngram_join, packing, quality, substrings, topk, url_filter
 from quilate.llm.common import table
 
 BYTE_BPE, BYTE_BPE_RANKS, MULTI_RANKS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
@@ -53,8 +53,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removals(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_top_k, op3_ngram_jaccard, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_byte_bpe, op9_line_dedup)
+    found = (op1_best_fit_packing, op2_exact_top_k, op3_ngram_jaccard, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_byte_bpe, op9_line_dedup, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
