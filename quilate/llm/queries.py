@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilate.llm import bpe, html_text, lines, ngram_join, packing, quality, substrings, topk, url_filter
+from quilate.llm import bpe, html_text, lines, ngram_join, packing, quality, substrings, topk, toxicity, url_filter
 from quilate.llm.common import table
 
 BYTE_BPE, BYTE_BPE_RANKS, MULTI_RANKS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
@@ -35,6 +35,17 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    detector = toxicity.learned(docs, labels, ~_held_out())
+    return toxicity.scored(docs, detector).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,7 +69,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_top_k, op3_ngram_jaccard, op4_url_filter, op6_quality_rules, op7_substring_dedup, op8_byte_bpe, op9_line_dedup, op10_html_extraction)
+    found = (op1_best_fit_packing, op2_exact_top_k, op3_ngram_jaccard, op4_url_filter, op5_toxicity, op6_quality_rules, op7_substring_dedup, op8_byte_bpe, op9_line_dedup, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
