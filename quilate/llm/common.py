@@ -5,12 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -46,40 +45,45 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quilate-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quilate_path = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone already
-        pass
+def tidied(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators of several jobs: each job's shuffle files go when it ends, not when the driver collects garbage.
 
+    The setting holds only while ``work`` runs; what it returns is executed by the caller.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
+    @wraps(work)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(name, "false")
+        conf.set(name, "true")
+        try:
+            return work(df, *args, **kwargs)
+        finally:
+            conf.set(name, before)
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function that ``make`` builds once per task."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            out = work(batch)
-            if isinstance(out, pa.Table):
-                yield from out.combine_chunks().to_batches()
-            elif out is not None:
-                yield out
 
-    return df.mapInArrow(run, schema)
+def discarded(df: DataFrame) -> None:
+    """Delete the files of a frame from ``written`` that nothing will read any more."""
+    path = getattr(df, "_quilate_path", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; ``bytes.split`` has the same separators."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone already
+        pass
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -92,8 +96,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
-
-
-def first_of_each_id(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key isn't null."""
-    return df.where(F.col(key).isNotNull())

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from quilate.llm.common import WORD_GAP, written
+from quilate.llm.common import WORD_GAP, tidied, written
 
 THRESHOLD = (4, 5)
 MIN_WORDS = 5
@@ -87,6 +87,7 @@ def _place(d: str = "d", p: str = "p") -> Column:
     return F.struct(col(d).alias("d"), col(p).alias("p"))
 
 
+@tidied
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document with removed lines: its id ``d`` and the sorted numbers ``gone`` of those lines."""
     spark, (a, b) = docs.sparkSession, threshold

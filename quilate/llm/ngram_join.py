@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quilate.llm.common import mix64, written
+from quilate.llm.common import discarded, mix64, tidied, written
 from quilate.llm.hashing import Block, Blocks, in_bits, merged_bits, signed
 
 GRAM = 5
@@ -198,7 +198,7 @@ def _lists(docs: DataFrame, order, filled, key: str, text: str, gram: int, thres
 
 
 def _segments(docs: DataFrame, order, filled, key: str, text: str, gram: int) -> DataFrame:
-    """Segments of the sets of candidate documents, a row per fragment."""
+    """Segments of the sets of candidate documents, a row per fragment, with half of the set's signature."""
 
     def run(batches):
         blocks = Blocks(True)
@@ -208,7 +208,7 @@ def _segments(docs: DataFrame, order, filled, key: str, text: str, gram: int) ->
                 wanted = in_bits(_id_hash(ids.slice(rows.start, rows.stop - rows.start)), filled.value)
                 if not wanted.any():
                     continue
-                at, fragment, segment = [], [], []
+                at, fragment, segment, signature = [], [], [], []
                 for i, s in enumerate(_sets(block, gram)):
                     if wanted[i]:
                         for f, part in enumerate(order.value.cut(s)):
@@ -216,11 +216,12 @@ def _segments(docs: DataFrame, order, filled, key: str, text: str, gram: int) ->
                                 at.append(rows.start + i)
                                 fragment.append(f)
                                 segment.append(signed(part))
+                                signature.append(s.sum(dtype=np.uint64))
                 if at:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], ["id", "f", "s"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(signed(np.array(signature, np.uint64))), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], ["id", "c1", "f", "s"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(f"`{key}`", f"`{text}`").where(col(key).isNotNull()).mapInArrow(run, f"id {kind}, f int, s array<bigint>")
+    return docs.select(f"`{key}`", f"`{text}`").where(col(key).isNotNull()).mapInArrow(run, f"id {kind}, c1 bigint, f int, s array<bigint>")
 
 
 def _id_hash(ids) -> np.ndarray:
@@ -228,11 +229,14 @@ def _id_hash(ids) -> np.ndarray:
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Add ``overlap`` to pairs (a, b): partial overlaps of each fragment, summed per pair."""
+    """Add ``overlap`` to pairs (a, b): partial overlaps of each fragment, summed per pair.
+
+    A repeated row repeats its segments, so a fragment counts once.
+    """
     left = segments.select(col("id").alias("a"), "f", col("s").alias("sa"))
     right = segments.select(col("id").alias("b"), "f", col("s").alias("sb"))
-    partial = pairs.join(left, "a").join(right, ["b", "f"]).select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).alias("o"))
-    return partial.groupBy(*pairs.columns).agg(F.sum("o").alias("overlap"))
+    partial = pairs.join(left, "a").join(right, ["b", "f"]).select(*pairs.columns, "f", F.size(F.array_intersect("sa", "sb")).alias("o"))
+    return partial.groupBy(*pairs.columns, "f").agg(F.max("o").alias("o")).groupBy(*pairs.columns).agg(F.sum("o").alias("overlap"))
 
 
 def linked(pairs: DataFrame, segments: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -257,7 +261,8 @@ def components(edges: DataFrame) -> DataFrame:
         # every node points to its least smaller neighbour, and so do the others
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(small, "v")
-        edges = written(joined.select(col("m").alias("u"), "v").unionAll(joined.where("u <> m").select(col("m").alias("u"), col("u").alias("v"))).where("u <> v").distinct())
+        before, edges = edges, written(joined.select(col("m").alias("u"), "v").unionAll(joined.where("u <> m").select(col("m").alias("u"), col("u").alias("v"))).where("u <> v").distinct())
+        discarded(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -268,10 +273,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _relabelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Lists with the components that new links merge."""
-    merged = written(components(links.select(col("ca").alias("a"), col("cb").alias("b")))).withColumnRenamed("node", "comp")
-    return written(lists.join(merged, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*lists.columns))
+    merged = written(components(links.select(col("ca").alias("a"), col("cb").alias("b"))))
+    out = written(lists.join(merged.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*lists.columns))
+    for x in (merged, lists, links):
+        discarded(x)
+    return out
 
 
+@tidied
 def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document its id, n_shingles and component_id."""
     p, q = threshold
@@ -283,9 +292,10 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
     filled = sparked.broadcast(merged_bits(_prefixes(docs, order, key, text, gram, threshold)))
     classes = written(sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep")))
     found = _lists(docs, order, filled, key, text, gram, threshold).join(classes, ["n", "c1", "c2"]).select("v", "rep", "n", "i", col("rep").alias("comp"))
-    lists = written(found)
-    shared = lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    lists = written(lists.join(shared, "v"))
+    every = written(found)
+    shared = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    lists = written(every.join(shared, "v"))
+    discarded(every)
     ids = lists.select("rep").distinct()
 
     def hashed(batches):
@@ -293,7 +303,7 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
             yield pa.RecordBatch.from_arrays([pa.array(signed(_id_hash(batch.column(0))))], ["v"])
 
     candidates = sparked.broadcast(merged_bits(ids.mapInArrow(hashed, "v bigint")))
-    segments = written(_segments(docs, order, candidates, key, text, gram).join(ids.withColumnRenamed("rep", "id"), "id", "left_semi").dropDuplicates(["id", "f"]))
+    segments = written(_segments(docs, order, candidates, key, text, gram).join(ids.join(classes, "rep").select(col("rep").alias("id"), "c1"), ["id", "c1"], "left_semi").select("id", "f", "s"))
 
     fits = (q * col("na") >= p * col("nb")) & (q * col("nb") >= p * col("na"))
     for turn in range(ROUNDS):
@@ -316,6 +326,7 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
     most = col("k") + F.least(col("na") - col("ia"), col("nb") - col("ib")) - 1
     pairs = pairs.where(q * most >= p * (col("na") + col("nb") - most)).select("a", "b", "na", "nb", "ca", "cb")
     links = written(linked(pairs, segments, threshold))
+    discarded(segments)
     if not links.isEmpty():
         lists = _relabelled(lists, links)
     labels = lists.select("rep", "comp").distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from quilate.llm.common import written
+from quilate.llm.common import tidied, written
 from quilate.llm.hashing import Block, Blocks, in_bits, merged_bits, signed
 
 SIZE = 20
@@ -110,6 +110,7 @@ def first_places(docs: DataFrame, filled, key: str, text: str, size: int) -> Dat
     return firsts.groupBy(F.col("d").alias(key)).agg(F.collect_list("p").alias("_firsts"))
 
 
+@tidied
 def _with_firsts(docs: DataFrame, key: str, text: str, size: int):
     filled = docs.sparkSession.sparkContext.broadcast(merged_bits(_repeated(docs.where(F.col(key).isNotNull()), text, size)))
     firsts = written(first_places(docs, filled, key, text, size))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quilate.llm.common import written
+from quilate.llm.common import tidied, written
 
 #: Vectors in a shard and in a leaf, queries in a block.
 SHARD, LEAF, BLOCK = 8192, 128, 16_384
@@ -158,6 +158,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", F.posexplode("best").alias("at", "e")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.minus")).alias("score"))
 
 
+@tidied
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, shard: int = SHARD, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """The k candidates of highest inner product for each query among all other rows.
 
