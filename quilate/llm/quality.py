@@ -107,19 +107,25 @@ def sketches(metrics: DataFrame, lang: str = "lang", source: str = "source", siz
 
 def fences(sketched: DataFrame, min_group: int = MIN_GROUP, size: int = SKETCH, limits: dict[str, tuple[float, float]] = FENCES) -> DataFrame:
     """Lower and upper fence of each metric for each language and source."""
-    merge = lambda keys: sketched.groupBy(*keys).agg(F.sum("_q_n").alias("_q_n"), *[F.kll_merge_agg_double(m, size).alias(m) for m in limits])
-    packed = lambda df, name: df.select(*[c for c in df.columns if c in ("_q_lang", "_q_source")], F.struct("_q_n", *limits).alias(name))
-    own, by_lang, whole = packed(sketched, "own"), packed(merge(["_q_lang"]), "by_lang"), packed(merge([]), "whole")
-    by_lang = by_lang.withColumnRenamed("_q_lang", "_q_l")
-    # ``whole`` is one row; a constant key joins it without a cross join
-    joined = own.join(by_lang, F.col("_q_lang").eqNullSafe(F.col("_q_l"))).withColumn("_q_one", F.lit(1)).join(whole.withColumn("_q_one", F.lit(1)), "_q_one")
-    chosen = F.when(F.col("own._q_n") >= min_group, F.col("own")).when(F.col("by_lang._q_n") >= min_group, F.col("by_lang")).otherwise(F.col("whole"))
-    out = joined.select("_q_lang", "_q_source", chosen.alias("s"))
-    at = lambda m, q: F.kll_sketch_get_quantile_double(F.col(f"s.{m}"), F.lit(q))
+    merged = sketched.groupBy("_q_lang").agg(F.sum("_q_n").alias("_q_n"), *[F.kll_merge_agg_double(m, size).alias(m) for m in limits])
+    packed = lambda df, name, *keys: df.select(*keys, F.struct("_q_n", *limits).alias(name))
+    by_lang = packed(merged, "by_lang", F.col("_q_lang").alias("_q_l"))
+    out = packed(sketched, "own", "_q_lang", "_q_source").join(by_lang, F.col("_q_lang").eqNullSafe(F.col("_q_l")))
+    out = out.select("_q_lang", "_q_source", F.when(F.col("own._q_n") >= min_group, F.col("own")).when(F.col("by_lang._q_n") >= min_group, F.col("by_lang")).alias("s"))
+    # the fences of the whole corpus are a few numbers
+    whole = sketched.agg(F.sum("_q_n").alias("_q_n"), *[F.kll_merge_agg_double(m, size).alias(m) for m in limits])
+    at = lambda m, q: F.kll_sketch_get_quantile_double(m, F.lit(q))
+    quartiles = lambda of: [at(of(m), q).alias(f"{m}_{q}".replace(".", "")) for m in limits for q in (0.25, 0.5, 0.75)]
+    common = whole.where("_q_n > 0").select(*quartiles(F.col)).first()
+    if common is not None:
+        out = out.select("_q_lang", "_q_source", *[F.coalesce(c, F.lit(common[i])).alias(f"_q_{i}") for i, c in enumerate(quartiles(lambda m: F.col(f"s.{m}")))])
+    else:
+        out = out.select("_q_lang", "_q_source", *[F.lit(0.0).alias(f"_q_{i}") for i in range(3 * len(limits))])
     columns = []
-    for m, (spreads, margin) in limits.items():
-        reach = F.greatest(F.lit(spreads) * (at(m, 0.75) - at(m, 0.25)), F.lit(margin))
-        columns += [(at(m, 0.5) - reach).alias(f"_q_low_{m}"), (at(m, 0.5) + reach).alias(f"_q_high_{m}")]
+    for i, (m, (spreads, margin)) in enumerate(limits.items()):
+        low, middle, high = (F.col(f"_q_{3 * i + k}") for k in range(3))
+        reach = F.greatest(F.lit(spreads) * (high - low), F.lit(margin))
+        columns += [(middle - reach).alias(f"_q_low_{m}"), (middle + reach).alias(f"_q_high_{m}")]
     return out.select("_q_lang", "_q_source", *columns)
 
 

@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks.
 
 Units are the words of a text, lower-cased, and runs of spaced single letters
-joined. The kernel counts the subsequences of three characters that two units
+joined. The kernel counts the subsequences of four characters that two units
 share, gaps allowed: each occurrence weighs ``DECAY`` to the power of its span. A
 character put into an insult, or one left out, only stretches some spans, so the
 similarity stays high. Units begin and end with a boundary character.
@@ -36,6 +36,7 @@ import random
 import re
 import string
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each class, landmarks, and rounds of witness choice.
-SAMPLE, LANDMARKS, TURNS = 2500, 256, 4
-DECAY, SPAN, WINDOW = 0.75, 6, 28
+SAMPLE, LANDMARKS, TURNS = 2500, 320, 4
+ORDER, DECAY, SPAN, WINDOW = 4, 0.75, 7, 28
 #: Decisions remembered in a Python worker.
 REMEMBERED = 400_000
 
@@ -53,11 +54,16 @@ _STRIP = string.punctuation + "“”„‘’«»…–—¡¿"
 _SYMBOLS = ["abcdefghijklmnopqrstuvwxyz"[i] for i in range(26)] + ["áàâäãå", "éèêë", "íìîï", "óòôöõø", "úùûü", "ç", "ñ", "ß"]
 _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 _A = len(_SYMBOLS) + 3  # boundaries and all other characters
+FEATURES = _A**ORDER
 _CODE = {c: i for i, letters in enumerate(_SYMBOLS) for c in letters} | {k: ord(v) - 97 for k, v in _STANDS_FOR.items()}
 _BEGIN, _END, _OTHER = _A - 3, _A - 2, _A - 1
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w){2,}(?!\w)")
 
 
+#: A unit needs two letters: numbers and addresses are no insults.
+_LETTERS = re.compile(r"[^\W\d_].*[^\W\d_]")
+
+
 def units(text: str | None) -> set[str]:
     """The distinct units of a text."""
     if not text:
@@ -76,12 +82,11 @@ def units(text: str | None) -> set[str]:
 
 
 @lru_cache(maxsize=64)
-def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of subsequences in a unit of ``n`` characters (boundaries included) and their weights."""
-    t = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
-    i, j, k = np.array(t, np.int64).reshape(-1, 3).T
-    weight = DECAY ** (k - i + 1.0)
-    return i, j, k, weight
+    t = [(i, *rest) for i in range(n) for rest in combinations(range(i + 1, min(n, i + SPAN)), ORDER - 1)]
+    places = np.array(t, np.int64).reshape(-1, ORDER).T
+    return places, DECAY ** (places[-1] - places[0] + 1.0)
 
 
 def _norms(index: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -104,24 +109,54 @@ def _grouped(words: list[str]):
     for at, w in enumerate(words):
         by_length.setdefault(len(w), []).append(at)
     for n, at in by_length.items():
-        i, j, k, weight = _triples(n + 2)
+        places, weight = _places(n + 2)
         step = max(1, 1_000_000 // max(1, len(weight)))
         for begin in range(0, len(at), step):
             own = at[begin : begin + step]
             codes = np.full((len(own), n + 2), _OTHER, np.int64)
             codes[:, 0], codes[:, -1] = _BEGIN, _END
             codes[:, 1:-1] = [[_CODE.get(c, _OTHER) for c in words[a]] for a in own]
-            index = (codes[:, i] * _A + codes[:, j]) * _A + codes[:, k]
+            index = codes[:, places[0]]
+            for other in places[1:]:
+                index = index * _A + codes[:, other]
             yield np.array(own), index, weight, _norms(index, weight)
 
 
-def _rows(words: list[str]) -> np.ndarray:
-    """Subsequence weights of each word as a dense row."""
-    out = np.zeros((len(words), _A**3), np.float32)
-    for own, index, weight, norm in _grouped(words):
-        for r, at, length in zip(own, index, norm, strict=True):
-            out[r] = np.bincount(at, weight, _A**3) / length
-    return out
+def _weights(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subsequences of a word and their normalised weights."""
+    for _, index, weight, norm in _grouped([word]):
+        found, at = np.unique(index[0], return_inverse=True)
+        return found, np.bincount(at, weight, len(found)) / norm[0]
+    raise AssertionError
+
+
+class _Basis:
+    """Landmarks as rows over the subsequences that any of them has."""
+
+    def __init__(self, words: list[str]):
+        rows = [_weights(w) for w in words]
+        self.known = np.unique(np.concatenate([r[0] for r in rows]))
+        #: column of a subsequence; the first column is for those that no landmark has
+        self.column = np.zeros(FEATURES, np.int32)
+        self.column[self.known] = np.arange(1, len(self.known) + 1)
+        self.rows = np.zeros((len(words), len(self.known) + 1), np.float32)
+        for out, (index, weight) in zip(self.rows, rows, strict=True):
+            out[self.column[index]] = weight
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), len(self.rows)))
+        columns = np.ascontiguousarray(self.rows.T)
+        for own, index, weight, norm in _grouped(words):
+            for begin in range(0, len(own), 64):
+                some = slice(begin, begin + 64)
+                out[own[some]] = np.einsum("nck,c->nk", columns[self.column[index[some]]], weight) / norm[some, None]
+        return out
+
+    def table(self, shares: np.ndarray) -> np.ndarray:
+        """Weight per subsequence of a sum over landmarks."""
+        out = np.zeros(FEATURES, np.float32)
+        out[self.known] = (shares @ self.rows)[1:]
+        return out
 
 
 def decisions(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
@@ -131,27 +166,27 @@ def decisions(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     return out + bias
 
 
-def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of words with landmarks given as dense rows."""
-    out = np.empty((len(words), len(landmarks)))
-    columns = np.ascontiguousarray(landmarks.T)
-    for own, index, weight, norm in _grouped(words):
-        for begin in range(0, len(own), 64):
-            some = slice(begin, begin + 64)
-            out[own[some]] = np.einsum("nck,c->nk", columns[index[some]], weight) / norm[some, None]
-    return out
-
+def _landmarks(words: list[str], count: int, first: list[str]) -> list[str]:
+    """Greedy choice (pivoted Cholesky): next is the word whose kernel is approximated worst.
 
-def _landmarks(words: list[str], count: int) -> list[str]:
-    """Greedy choice (pivoted Cholesky): next is the word whose kernel is approximated worst."""
+    Those named ``first`` that the others don't approximate yet come before, for half of the landmarks.
+    """
     rest = np.ones(len(words))
-    chosen, factors = [], np.zeros((len(words), min(count, len(words))))
+    chosen, factors, groups = [], np.zeros((len(words), min(count, len(words)))), list(_grouped(words))
+    number = {w: i for i, w in enumerate(words)}
+    waiting = [number[w] for w in reversed(first) if w in number]
     for step in range(factors.shape[1]):
-        pivot = int(rest.argmax())
+        while waiting and (rest[waiting[-1]] < 0.25 or step >= count // 2):
+            waiting.pop()
+        pivot = waiting.pop() if waiting else int(rest.argmax())
         if rest[pivot] < 1e-6:
             break
         chosen.append(words[pivot])
-        row = kernel(words, _rows([words[pivot]]))[:, 0]
+        table, row = np.zeros(FEATURES, np.float32), np.empty(len(words))
+        index, weight = _weights(words[pivot])
+        table[index] = weight
+        for own, index, weight, norm in groups:
+            row[own] = (table[index] @ weight) / norm
         factors[:, step] = (row - factors[:, :step] @ factors[pivot, :step]) / np.sqrt(rest[pivot])
         rest = np.maximum(rest - factors[:, step] ** 2, 0)
     return chosen
@@ -200,7 +235,7 @@ class Detector:
         memo = self.memo
         if len(memo) > REMEMBERED:
             memo.clear()
-        new = list({w for bag in bags for w in bag if w not in memo})
+        new = [w for w in {w for bag in bags for w in bag if w not in memo} if _LETTERS.search(w) or memo.update({w: -1.0})]
         memo.update(zip(new, decisions(new, self.table, self.bias).tolist(), strict=True))
         return np.array([max(map(memo.__getitem__, bag), default=-1.0) for bag in bags])
 
@@ -211,8 +246,12 @@ class Detector:
 def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMARKS, turns: int = TURNS, seed: int = 11) -> Detector:
     """Fit to the units of toxic and of clean documents."""
     if not toxic or not clean:
-        return Detector(np.zeros(_A**3), -1.0, 0.0, 0.0) if not toxic else Detector(np.zeros(_A**3), 1.0, 50.0, 0.0)
+        return Detector(np.zeros(FEATURES), -1.0, 0.0, 0.0) if not toxic else Detector(np.zeros(FEATURES), 1.0, 50.0, 0.0)
     rng = random.Random(seed)
+    # every fifth document only serves to place the decision
+    placing = (toxic[::5], clean[::5])
+    if len(toxic) >= 20 and len(clean) >= 20:
+        toxic, clean = ([b for i, b in enumerate(x) if i % 5] for x in (toxic, clean))
     in_clean: dict[str, int] = {}
     for bag in clean:
         for w in set(bag):
@@ -222,40 +261,46 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
         for w in set(bag):
             in_toxic[w] = in_toxic.get(w, 0) + 1
     odds = lambda w: in_toxic[w] / len(toxic) - 2 * in_clean.get(w, 0) / len(clean)
-    bags = [sorted({w for w in bag if len(w) > 2 and odds(w) > 0}, key=lambda w: (-odds(w), w)) for bag in toxic]
+    bags = [sorted({w for w in bag if len(w) > 2 and odds(w) > 0 and _LETTERS.search(w)}, key=lambda w: (-odds(w), w)) for bag in toxic]
     bags = [b for b in bags if b]
-    harmless = sorted(w for w in in_clean if len(w) > 2)
+    harmless = sorted(w for w in in_clean if _LETTERS.search(w))
     common = sorted(harmless, key=lambda w: (-in_clean[w], w))[:1000]
-    # the first witnesses must be shared by a few toxic documents
-    witnesses = [b[0] for b in bags if in_toxic[b[0]] >= 3] or [b[0] for b in bags]
+    # words that several toxic documents have, far more often than clean ones, are witnesses throughout
+    rate = lambda n, bags: (n + 0.5) / len(bags)
+    support = max(3, len(toxic) // 100)
+    telling = sorted({w for b in bags for w in b if in_toxic[w] >= support and rate(in_toxic[w], toxic) > 20 * rate(in_clean.get(w, 0), clean)})
+    telling = telling or sorted({w for b in bags for w in b if in_toxic[w] >= 3}) or sorted({b[0] for b in bags})
+    witnesses, known = list(telling), set(telling)
     negatives = sorted({*common, *rng.sample(harmless, min(4000, len(harmless)))})
-    table, bias, wrong = np.zeros(_A**3), 0.0, []
+    table, bias, wrong = np.zeros(FEATURES), 0.0, []
     for turn in range(turns):
         positive = sorted(set(witnesses))
-        shown = positive + [_altered(w, rng) for w in positive for _ in range(2) if len(w) > 3]
+        changed = [w for w in positive for _ in range(2) if len(w) > 3]
+        shown = positive + [_altered(w, rng) for w in changed]
+        confirmed = np.array([float(in_toxic[w]) for w in positive + changed])
         counter = negatives + [_altered(w, rng) for w in rng.sample(negatives, min(1500, len(negatives)))]
-        pool = sorted({*positive[:: max(1, len(positive) // 300)], *wrong[:300], *counter[:: max(1, len(counter) // 500)]})
-        chosen = _rows(_landmarks(pool, landmarks))
-        values, vectors = np.linalg.eigh((chosen @ chosen.T).astype(float))
+        pool = sorted({*sorted(positive, key=lambda w: (-in_toxic[w], w))[:400], *wrong[:300], *counter[:: max(1, len(counter) // 500)]})
+        basis = _Basis(_landmarks(pool, landmarks, sorted(positive, key=lambda w: (-in_toxic[w], w))))
+        values, vectors = np.linalg.eigh((basis.rows @ basis.rows.T).astype(float))
         root = vectors / np.sqrt(np.maximum(values, 1e-4))
         words = shown + counter
-        x = np.hstack([kernel(words, chosen) @ root, np.ones((len(words), 1))])
+        x = np.hstack([basis.kernel(words) @ root, np.ones((len(words), 1))])
         y = np.r_[np.ones(len(shown)), -np.ones(len(counter))]
         # a negative weighs by the clean documents that hold it
-        often = np.array([min(in_clean.get(w, 1), 200) for w in counter], float) ** 0.5
-        share = np.r_[np.full(len(shown), 0.4 / len(shown)), 0.6 * often / often.sum()] * len(words)
-        w = _svm(x, y, 4 * share)
-        table, bias = (root @ w[:-1]) @ chosen, float(w[-1])
+        often = np.array([min(in_clean.get(w, 1), 100) for w in counter], float) ** 0.5
+        share = np.r_[0.4 * confirmed / confirmed.sum(), 0.6 * often / often.sum()] * len(words)
+        w = _svm(x, y, 6 * share)
+        table, bias = basis.table(root @ w[:-1]), float(w[-1])
         f = decisions(harmless, table, bias)
         wrong = [harmless[i] for i in np.argsort(-f)[:2000] if f[i] > -0.8]
         negatives = sorted({*negatives, *wrong})
         if turn + 1 < turns:
-            scores = [decisions(b, table, bias) for b in bags]
-            witnesses = [b[int(s.argmax())] for b, s in zip(bags, scores, strict=True) if s.max() > -0.3]
-            if not witnesses:
-                witnesses = [b[0] for b in bags]
+            # documents without a telling word show their most suspicious one, if it is suspicious at all
+            silent = [b for b in bags if known.isdisjoint(b)]
+            scores = [decisions(b, table, bias) for b in silent]
+            witnesses = telling + [b[int(s.argmax())] for b, s in zip(silent, scores, strict=True) if s.max() > 0.5]
     found = Detector(table, bias, 1.0, 0.0)
-    a, b = found.worst([set(x) for x in toxic]), found.worst([set(x) for x in clean])
+    a, b = (found.worst([set(x) for x in side]) for side in placing)
     # the middle lies where the fewest documents of equally weighted classes fall on the wrong side
     cuts = np.unique(np.r_[a, b])
     cuts = (cuts[:-1] + cuts[1:]) / 2 if len(cuts) > 1 else cuts
@@ -282,7 +327,7 @@ def learned(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "d
 
     texts = docs.select(key, text).join(bounded, key).select("_y", text)
     found = texts.mapInArrow(split, "y int, units array<string>").collect()
-    found.sort(key=lambda r: (r.y, r.units))
+    found.sort(key=lambda r: (r.y, len(r.units), r.units))
     return fit([r.units for r in found if r.y == 1], [r.units for r in found if r.y == 0])
 
 
