@@ -45,6 +45,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quilate-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    swept(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._quilate_path = path
     return out
@@ -70,6 +71,11 @@ def tidied(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that nothing refers to; it learns that only when the JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discarded(df: DataFrame) -> None:
     """Delete the files of a frame from ``written`` that nothing will read any more."""
     path = getattr(df, "_quilate_path", None)

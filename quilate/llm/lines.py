@@ -10,14 +10,18 @@ judged on the input, not on what is left.
 2. Lines of equal sets form a class. Classes that match share a word among the
    rarest ``n - ceil(t n) + 1`` of each (prefix filter). Words in the prefixes of
    one class only are dropped by an aggregate on smallest and largest class.
-3. A class falls if it matches any class that begins earlier, so one match is
+3. Only classes with a likely partner go on: one that shares a prefix word, fits in
+   length and passes the bitmap filter. A class's bitmap holds in each bit whether
+   an odd number of its words fall on it; bits that differ bound the symmetric
+   difference of two sets from below.
+4. A class falls if it matches any class that begins earlier, so one match is
    enough. Every class is compared with the earliest class of each of its
    words, those still open with the second earliest, and so on for a few rounds:
    that settles groups of near copies without all their pairs. Classes still
    open are compared with all earlier ones of their words, after the length
    filter and the positional filter (what both have behind the last shared prefix
    word bounds the overlap).
-4. Candidate classes' whole sets are made again from the text and compared.
+5. Candidate classes' whole sets are made again from the text and compared.
    Spark's run-time Bloom filters, of bounded size, keep all others out of that
    join and of the one before.
 
@@ -36,12 +40,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from quilate.llm.common import WORD_GAP, tidied, written
+from quilate.llm.common import WORD_GAP, discarded, tidied, written
 
 THRESHOLD = (4, 5)
 MIN_WORDS = 5
 #: Buckets of the word counts, and rounds of comparison with early classes.
-BUCKETS, ROUNDS = 1 << 14, 4
+BUCKETS, ROUNDS = 1 << 14, 3
 _GAPS = " \t\x0b\f\r"
 
 
@@ -80,7 +84,13 @@ def _ordered(lines: DataFrame, rarity: str) -> DataFrame:
     """Add the sets in the global order (class in the high bits), their size and signature."""
     own = lines.select("d", "p", F.array_distinct("k").alias("k")).where(F.size("k") >= MIN_WORDS)
     key = F.expr(f"sort_array(transform(k, h -> shiftleft(cast(element_at({rarity}, cast(h & {BUCKETS - 1} AS int) + 1) AS bigint), 56) | shiftrightunsigned(h, 8)))")
-    return own.select("d", "p", key.alias("s")).select("d", "p", "s", F.size("s").alias("n"), F.xxhash64("s").alias("s1"), F.xxhash64("s", F.lit(1)).alias("s2"))
+    return own.select("d", "p", key.alias("s")).select("d", "p", "s", F.size("s").alias("n"), F.xxhash64("s").alias("s1"), F.xxhash64("s", F.lit(1)).alias("s2"), *_bitmap())
+
+
+def _bitmap() -> list[Column]:
+    """Parities of the words that fall on each of 128 bits."""
+    bit = "shiftleft(1L, cast(h & 63 AS int))"
+    return [F.expr(f"aggregate(s, 0L, (x, h) -> x ^ if(h & 64 = {64 * k}, {bit}, 0L))").alias(f"w{k}") for k in (0, 1)]
 
 
 def _place(d: str = "d", p: str = "p") -> Column:
@@ -91,22 +101,27 @@ def _place(d: str = "d", p: str = "p") -> Column:
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document with removed lines: its id ``d`` and the sorted numbers ``gone`` of those lines."""
     spark, (a, b) = docs.sparkSession, threshold
+    unlike = F.bit_count(col("w0").bitwiseXOR(col("x0"))) + F.bit_count(col("w1").bitwiseXOR(col("x1")))
+    # length filter, and the least symmetric difference against the most that the threshold allows
+    fits = (b * col("n") >= a * col("m")) & (b * col("m") >= a * col("n")) & ((a + b) * unlike <= (b - a) * (col("n") + col("m")))
     rarity = _rarity(docs, key, text)
     ordered = _ordered(_lines(docs, key, text), rarity)
     prefix = F.slice("s", F.lit(1), (col("n") - F.ceil(col("n") * a / b) + 1).cast("int"))
-    lines = written(ordered.select("d", "p", "n", "s1", "s2", prefix.alias("head")))
-    classes = written(lines.groupBy("s1", "s2").agg(F.min(_place()).alias("place")))
+    lines = written(ordered.select("d", "p", "n", "s1", "s2", "w0", "w1", prefix.alias("head")))
+    classes = written(lines.groupBy("s1", "s2").agg(F.min(_place()).alias("place"), *[F.min(c).alias(c) for c in ("n", "w0", "w1")]))
 
     tokens = lines.select(F.explode("head").alias("v"), "s1")
     shared = written(tokens.groupBy("v").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("v", F.lit(1).alias("k")))
     with _bloom_filters(spark):
-        heads = lines.select("s1", "s2", "n", F.posexplode("head").alias("i", "v")).join(shared.where("k = 1"), "v").select("v", "i", "n", "s1", "s2").distinct()
-        entries = written(heads.join(classes, ["s1", "s2"]))
+        heads = lines.select("s1", F.posexplode("head").alias("i", "v")).join(shared.where("k = 1"), "v").select("v", "i", "s1").distinct()
+        every = written(heads.join(classes, "s1"))
+        other = every.select("v", col("n").alias("m"), col("w0").alias("x0"), col("w1").alias("x1"), col("s1").alias("t1"), col("s2").alias("t2"))
+        differ = (col("s1") != col("t1")) | (col("s2") != col("t2"))
+        entries = written(every.join(other, (every["v"] == other["v"]) & differ & fits, "left_semi"))
+        discarded(every)
         wanted = written(entries.select("s1", "s2", F.lit(1).alias("k")).distinct())
         sets = written(ordered.select("s1", "s2", "s").join(wanted.where("k = 1"), ["s1", "s2"]).select("s1", "s2", "s").dropDuplicates(["s1", "s2"]))
 
-    fits = (b * col("n") >= a * col("m")) & (b * col("m") >= a * col("n"))
-
     def falls(pairs: DataFrame) -> DataFrame:
         """Classes (s1, s2) that match the earlier class (t1, t2) of a pair."""
         mine = pairs.join(sets, ["s1", "s2"]).withColumnRenamed("s", "mine")
@@ -118,17 +133,15 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     still, fallen, centre = entries, None, None
     for _ in range(ROUNDS):
         later = entries if centre is None else entries.join(centre.select("v", col("c.place").alias("before")), "v").where("place > before")
-        centre = written(later.groupBy("v").agg(F.min(F.struct("place", "n", "s1", "s2")).alias("c")))
+        centre = written(later.groupBy("v").agg(F.min(F.struct("place", "n", "w0", "w1", "s1", "s2")).alias("c")))
         # comparisons that the words still ask for, were there no further round
-        asked = still.join(centre, "v").where("place > c.place").select("v", "n", "s1", "s2", col("c.n").alias("m"), col("c.s1").alias("t1"), col("c.s2").alias("t2"))
+        asked = still.join(centre, "v").where("place > c.place").select("v", "n", "w0", "w1", "s1", "s2", col("c.n").alias("m"), col("c.w0").alias("x0"), col("c.w1").alias("x1"), col("c.s1").alias("t1"), col("c.s2").alias("t2"))
         gone = written(falls(asked.where(fits).select("n", "m", "s1", "s2", "t1", "t2").distinct()))
         fallen = gone if fallen is None else fallen.unionAll(gone)
         still = written(still.join(gone, ["s1", "s2"], "left_anti"))
-        sizes = entries.groupBy("v").agg(F.count("*").alias("k"))
-        rest = still.join(sizes, "v").agg(F.sum("k"), F.count("*")).first()
-        if not rest[1] or rest[0] <= 8 * rest[1]:
+        if still.isEmpty():
             break
-    earlier = entries.select("v", col("i").alias("j"), col("n").alias("m"), col("s1").alias("t1"), col("s2").alias("t2"), col("place").alias("before"))
+    earlier = entries.select("v", col("i").alias("j"), col("n").alias("m"), col("w0").alias("x0"), col("w1").alias("x1"), col("s1").alias("t1"), col("s2").alias("t2"), col("place").alias("before"))
     pairs = still.join(earlier, "v").where((col("before") < col("place")) & fits).groupBy("n", "m", "s1", "s2", "t1", "t2").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = col("k") + F.least(col("n") - col("i"), col("m") - col("j")) - 1
     last = falls(pairs.where(b * most >= a * (col("n") + col("m") - most)).select("n", "m", "s1", "s2", "t1", "t2"))

@@ -275,8 +275,8 @@ def _relabelled(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Lists with the components that new links merge."""
     merged = written(components(links.select(col("ca").alias("a"), col("cb").alias("b"))))
     out = written(lists.join(merged.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*lists.columns))
-    for x in (merged, lists, links):
-        discarded(x)
+    discarded(merged)
+    discarded(links)
     return out
 
 
@@ -305,6 +305,16 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
     candidates = sparked.broadcast(merged_bits(ids.mapInArrow(hashed, "v bigint")))
     segments = written(_segments(docs, order, candidates, key, text, gram).join(ids.join(classes, "rep").select(col("rep").alias("id"), "c1"), ["id", "c1"], "left_semi").select("id", "f", "s"))
 
+    entry = lists.select("v", "rep", "i")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Positional filter: what both sets have behind the last n-gram that their prefixes share bounds the overlap."""
+        mine = pairs.join(entry.select("v", col("rep").alias("a"), col("i").alias("ia")), "a")
+        both = mine.join(entry.select("v", col("rep").alias("b"), col("i").alias("ib")), ["b", "v"])
+        met = both.groupBy(*pairs.columns).agg(F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+        most = col("k") + F.least(col("na") - col("ia"), col("nb") - col("ib")) - 1
+        return met.where(q * most >= p * (col("na") + col("nb") - most)).select(*pairs.columns)
+
     fits = (q * col("na") >= p * col("nb")) & (q * col("nb") >= p * col("na"))
     for turn in range(ROUNDS):
         open_lists = lists.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "comp")).alias("m")).where("low <> high").select("v", "m")
@@ -314,18 +324,15 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
         if not asked or asked <= 2 * lists.count():
             break
         pairs = lists.join(open_lists, "v").where("comp <> m.comp").select(col("rep").alias("a"), col("m.rep").alias("b"), col("n").alias("na"), col("m.n").alias("nb"), col("comp").alias("ca"), col("m.comp").alias("cb")).where(fits).distinct()
-        links = written(linked(pairs, segments, threshold))
+        links = written(linked(likely(pairs), segments, threshold))
         if links.isEmpty():
             break
         lists = _relabelled(lists, links)
     open_lists = lists.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("v")
     left = lists.join(open_lists, "v")
-    side = lambda x: left.select("v", col("rep").alias(x), col("n").alias(f"n{x}"), col("i").alias(f"i{x}"), col("comp").alias(f"c{x}"))
-    pairs = side("a").join(side("b"), "v").where((col("ca") < col("cb")) & fits).groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    # what both have behind the last n-gram that their prefixes share
-    most = col("k") + F.least(col("na") - col("ia"), col("nb") - col("ib")) - 1
-    pairs = pairs.where(q * most >= p * (col("na") + col("nb") - most)).select("a", "b", "na", "nb", "ca", "cb")
-    links = written(linked(pairs, segments, threshold))
+    side = lambda x: left.select("v", col("rep").alias(x), col("n").alias(f"n{x}"), col("comp").alias(f"c{x}"))
+    pairs = side("a").join(side("b"), "v").where((col("ca") < col("cb")) & fits).select("a", "b", "na", "nb", "ca", "cb").distinct()
+    links = written(linked(likely(pairs), segments, threshold))
     discarded(segments)
     if not links.isEmpty():
         lists = _relabelled(lists, links)
