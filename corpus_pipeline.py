@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quilate.llm import lines, ngram_join, packing, quality, substrings
 from quilate.llm.common import table, written
@@ -25,8 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the changed texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.deduplicated(docs)
+    return _measured(lines.deduplicated(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substrings.deduplicated(docs)
+    return _measured(substrings.deduplicated(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
