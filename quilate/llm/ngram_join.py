@@ -18,7 +18,7 @@ link when the Jaccard similarity of their sets reaches a threshold.
    what is left is small, all pairs of its members in different components
    follow, by length and positional filters. So no link between components is
    lost, and the number of pairs stays in proportion to the lists.
-4. Pairs are verified by vertical partitioning: the global order is cut into
+4. Pairs that a positional filter leaves are verified by vertical partitioning: the global order is cut into
    fragments, each set into its segments. For every fragment the overlap of a
    pair's segments is counted on its own; the sum over fragments is the overlap.
 
@@ -296,14 +296,24 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
     shared = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
     lists = written(every.join(shared, "v"))
     discarded(every)
-    ids = lists.select("rep").distinct()
+    by_rep = classes.select(col("rep").alias("id"), "c1")
 
     def hashed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(signed(_id_hash(batch.column(0))))], ["v"])
 
-    candidates = sparked.broadcast(merged_bits(ids.mapInArrow(hashed, "v bigint")))
-    segments = written(_segments(docs, order, candidates, key, text, gram).join(ids.join(classes, "rep").select(col("rep").alias("id"), "c1"), ["id", "c1"], "left_semi").select("id", "f", "s"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among candidate pairs; only the segments of their documents are made."""
+        pairs = written(likely(pairs))
+        ids = pairs.select(col("a").alias("id")).unionAll(pairs.select(col("b").alias("id"))).distinct()
+        candidates = sparked.broadcast(merged_bits(ids.mapInArrow(hashed, "v bigint")))
+        own = written(ids.join(by_rep, "id"))
+        segments = written(_segments(docs, order, candidates, key, text, gram).join(own, ["id", "c1"], "left_semi").select("id", "f", "s"))
+        links = written(linked(pairs, segments, threshold))
+        for x in (pairs, own, segments):
+            discarded(x)
+        candidates.unpersist()
+        return links
 
     entry = lists.select("v", "rep", "i")
 
@@ -324,7 +334,7 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
         if not asked or asked <= 2 * lists.count():
             break
         pairs = lists.join(open_lists, "v").where("comp <> m.comp").select(col("rep").alias("a"), col("m.rep").alias("b"), col("n").alias("na"), col("m.n").alias("nb"), col("comp").alias("ca"), col("m.comp").alias("cb")).where(fits).distinct()
-        links = written(linked(likely(pairs), segments, threshold))
+        links = verified(pairs)
         if links.isEmpty():
             break
         lists = _relabelled(lists, links)
@@ -332,8 +342,7 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram
     left = lists.join(open_lists, "v")
     side = lambda x: left.select("v", col("rep").alias(x), col("n").alias(f"n{x}"), col("comp").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "v").where((col("ca") < col("cb")) & fits).select("a", "b", "na", "nb", "ca", "cb").distinct()
-    links = written(linked(likely(pairs), segments, threshold))
-    discarded(segments)
+    links = verified(pairs)
     if not links.isEmpty():
         lists = _relabelled(lists, links)
     labels = lists.select("rep", "comp").distinct()
