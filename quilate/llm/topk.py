@@ -13,7 +13,8 @@ every shard. Queries come in blocks of bounded size; a task holds one shard's
 tree and one block.
 
 Scores are exact integers: vectors hold integers, and products are summed in
-doubles only while they stay below 2**53, else in 64-bit integers.
+doubles only while they stay below 2**53, else in 64-bit integers (beyond which no
+score of type long exists).
 
 Edge cases: vectors that are null, or hold null or non-finite components, take
 no part; ties go to the smaller id; identical vectors are split by position, so
