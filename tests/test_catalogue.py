@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from quilate.plans import further  # noqa: F401
 from quilate.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
