@@ -9,7 +9,9 @@ judged on the input, not on what is left.
    then hashes, order the words of every line, rare ones first.
 2. Lines of equal sets form a class. Classes that match share a word among the
    rarest ``n - ceil(t n) + 1`` of each (prefix filter). Words in the prefixes of
-   one class only are dropped by an aggregate on smallest and largest class.
+   one class only are dropped by an aggregate on smallest and largest class. Sets
+   so small that only equal ones reach the threshold (up to three words at 0.8)
+   need no prefix.
 3. Only classes with a likely partner go on: one that shares a prefix word, fits in
    length and passes the bitmap filter. A class's bitmap holds in each bit whether
    an odd number of its words fall on it; bits that differ bound the symmetric
@@ -25,9 +27,8 @@ judged on the input, not on what is left.
    Spark's run-time Bloom filters, of bounded size, keep all others out of that
    join and of the one before.
 
-Edge cases: lines of fewer than ``MIN_WORDS`` distinct words aren't judged, as their
-words meet by chance; null and empty texts have no such line; a document whose
-lines are all removed stays with an empty text; rows that share an id are one
+Edge cases: every line with a word is judged, lines without words stay; a document
+whose lines are all removed stays with an empty text; rows that share an id are one
 document, and a line number removed for one is removed for all; rows without an id
 stay as they are; extra columns stay; an empty table gives an empty result.
 """
@@ -43,7 +44,8 @@ from pyspark.sql.functions import col
 from quilate.llm.common import WORD_GAP, discarded, tidied, written
 
 THRESHOLD = (4, 5)
-MIN_WORDS = 5
+#: A line without words isn't judged.
+MIN_WORDS = 1
 #: Buckets of the word counts, and rounds of comparison with early classes.
 BUCKETS, ROUNDS = 1 << 14, 3
 _GAPS = " \t\x0b\f\r"
@@ -66,7 +68,8 @@ def _bloom_filters(spark: SparkSession):
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines by number, with the hashes of their words."""
     every = docs.where(col(key).isNotNull()).select(col(key).alias("d"), F.posexplode(F.split(col(text), "\n")).alias("p", "line"))
-    return every.where(F.length("line") >= 2 * MIN_WORDS - 1).select("d", "p", F.transform(F.split(F.btrim("line", F.lit(_GAPS)), WORD_GAP), lambda w: F.xxhash64(w)).alias("k"))
+    worded = every.withColumn("line", F.btrim("line", F.lit(_GAPS))).where(F.length("line") >= 2 * MIN_WORDS - 1)
+    return worded.select("d", "p", F.transform(F.split("line", WORD_GAP), lambda w: F.xxhash64(w)).alias("k"))
 
 
 def _rarity(docs: DataFrame, key: str, text: str) -> str:
@@ -106,15 +109,17 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     fits = (b * col("n") >= a * col("m")) & (b * col("m") >= a * col("n")) & ((a + b) * unlike <= (b - a) * (col("n") + col("m")))
     rarity = _rarity(docs, key, text)
     ordered = _ordered(_lines(docs, key, text), rarity)
-    prefix = F.slice("s", F.lit(1), (col("n") - F.ceil(col("n") * a / b) + 1).cast("int"))
+    # a set of n words and one of n + 1 are as much alike as different sets can be
+    apart = b * col("n") < a * (col("n") + 1)
+    prefix = F.slice("s", F.lit(1), F.when(apart, 0).otherwise(col("n") - F.ceil(col("n") * a / b) + 1).cast("int"))
     lines = written(ordered.select("d", "p", "n", "s1", "s2", "w0", "w1", prefix.alias("head")))
-    classes = written(lines.groupBy("s1", "s2").agg(F.min(_place()).alias("place"), *[F.min(c).alias(c) for c in ("n", "w0", "w1")]))
+    classes = written(lines.groupBy("s1", "s2").agg(F.min(_place()).alias("place"), *[F.min(c).alias(c) for c in ("n", "w0", "w1")], F.count("*").alias("many")))
 
     tokens = lines.select(F.explode("head").alias("v"), "s1")
     shared = written(tokens.groupBy("v").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("v", F.lit(1).alias("k")))
     with _bloom_filters(spark):
         heads = lines.select("s1", F.posexplode("head").alias("i", "v")).join(shared.where("k = 1"), "v").select("v", "i", "s1").distinct()
-        every = written(heads.join(classes, "s1"))
+        every = written(heads.join(classes.drop("many"), "s1"))
         other = every.select("v", col("n").alias("m"), col("w0").alias("x0"), col("w1").alias("x1"), col("s1").alias("t1"), col("s2").alias("t2"))
         differ = (col("s1") != col("t1")) | (col("s2") != col("t2"))
         entries = written(every.join(other, (every["v"] == other["v"]) & differ & fits, "left_semi"))
@@ -147,9 +152,11 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     last = falls(pairs.where(b * most >= a * (col("n") + col("m") - most)).select("n", "m", "s1", "s2", "t1", "t2"))
     fallen = written(fallen.unionAll(last).distinct())
 
-    judged = lines.select("d", "p", "s1", "s2").join(classes, ["s1", "s2"]).join(fallen.withColumn("fell", F.lit(True)), ["s1", "s2"], "left")
-    gone = judged.where(col("fell") | (_place() > col("place")))
-    return gone.groupBy("d").agg(F.array_sort(F.collect_set("p")).alias("gone"))
+    # lines of classes of one line that match none before stay
+    marked = classes.select("s1", "s2", "place", "many").join(fallen.withColumn("fell", F.lit(True)), ["s1", "s2"], "left").where(col("fell") | (col("many") > 1))
+    with _bloom_filters(spark):
+        judged = written(lines.select("d", "p", "s1", "s2").join(written(marked), ["s1", "s2"]).where(col("fell") | (_place() > col("place"))).select("d", "p"))
+    return judged.groupBy("d").agg(F.array_sort(F.collect_set("p")).alias("gone"))
 
 
 def _joined(docs: DataFrame, key: str, text: str, threshold: tuple[int, int]) -> DataFrame:

@@ -194,6 +194,21 @@ def test_lines_match_brute_force(spark, rows):
     assert got == lines_of(rows)
 
 
+def test_short_lines_are_judged(spark):
+    r = random.Random(9)
+    docs = [(d, "\n".join(" ".join(r.choice("abcdef") + str(r.randint(0, 2)) for _ in range(r.randint(0, 6))) for _ in range(8))) for d in range(60)]
+    docs += [(700, "All rights reserved.\n \t\n\nx"), (701, "x\nreserved. All  rights\n \t\n\na b c d"), (702, "a b c d e\na b c\n\na b d c e f"), (703, "All rights reserved.\n\x0c")]
+    seen, want = [], {}
+    for d, t in docs:
+        for p, x in enumerate(t.split("\n")):
+            s = frozenset(x.split())
+            if s and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                want.setdefault(d, []).append(p)
+            seen.append(s)
+    got = {x.d: x.gone for x in lines.removed_lines(documents(spark, docs)).collect()}
+    assert got == want and want[701][:2] == [0, 1] and want[702][0] == 0 and want[703] == [0]
+
+
 # URLs
 
 
