@@ -43,23 +43,45 @@ def _modularity_moves(edges: list[tuple[int, int, float]]) -> dict[int, int]:
         weight = merged
 
 
-def communities(edges: DataFrame, graph: str) -> DataFrame:
-    """Communities (named by a member) of each graph's nodes by modularity."""
+def communities(edges: DataFrame, graph: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Communities (named by a member) of each graph's nodes by modularity; ``nodes`` (graph, node) adds isolated ones."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         found = _modularity_moves(list(zip(pdf["i"], pdf["j"], pdf["weight"], strict=True)))
         return pd.DataFrame({graph: pdf[graph].iloc[0], "node": list(found), "community": list(found.values())})
 
     kind = edges.schema[graph].dataType.simpleString()
-    return edges.select(graph, "i", "j", "weight").groupBy(graph).applyInPandas(one, f"{graph} {kind}, node bigint, community bigint")
+    rows = edges.select(graph, "i", "j", "weight")
+    if nodes is not None:  # a loop without weight moves nothing
+        rows = rows.unionAll(nodes.select(graph, F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("weight")))
+    return rows.groupBy(graph).applyInPandas(one, f"{graph} {kind}, node bigint, community bigint")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Each node takes the label of most weight among its neighbours, the smaller on ties, for a few rounds."""
-    both = edges.select("i", "j", "weight").unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))
-    labels = both.select(F.col("i").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("j"), "label"), "j").groupBy("i", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("i").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("b"))
-        labels = best.select(F.col("i").alias("node"), F.col("b.label").alias("label"))
-    return labels
+def label_propagation(edges: DataFrame, nodes: DataFrame, key: str, folder: str) -> DataFrame:
+    """Each node takes the label of most weight among its neighbours until no label changes.
+
+    A node keeps its label while no other has more weight, and takes the smaller of
+    several. Of neighbours that would change in a round only the smallest does, so
+    the weight of edges within labels grows with every change and the rounds end.
+    Isolated nodes keep their own label. Weights are positive and compared to nine
+    places; each round is written under ``folder``, a place that all executors share.
+    """
+    spark = nodes.sparkSession
+    both = edges.select("i", "j", "weight").unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight")).where("i <> j")
+    both.write.mode("overwrite").parquet(f"{folder}/edges")
+    both = spark.read.parquet(f"{folder}/edges")
+    labels, turn = nodes.select(F.col(key).alias("node")).distinct().withColumn("label", F.col("node")), 0
+    while True:
+        votes = both.join(labels.select(F.col("node").alias("j"), "label"), "j").groupBy(F.col("i").alias("node"), "label").agg(F.round(F.sum("weight"), 9).alias("w"))
+        own = labels.withColumnRenamed("label", "old")
+        best = votes.join(own, "node").groupBy("node", "old").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b"), F.max(F.when(F.col("label") == F.col("old"), F.col("w"))).alias("kept"))
+        asked = best.where(-F.col("b.w") > F.coalesce("kept", F.lit(0.0))).select("node", F.col("b.label").alias("new"))
+        asked.write.mode("overwrite").parquet(f"{folder}/asked-{turn}")
+        asked = spark.read.parquet(f"{folder}/asked-{turn}")
+        if asked.isEmpty():
+            return labels
+        waits = both.join(asked.select(F.col("node").alias("j")), "j").where("j < i").select(F.col("i").alias("node"))
+        moves = asked.join(waits, "node", "left_anti")
+        new = labels.join(moves, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
+        new.write.mode("overwrite").parquet(f"{folder}/labels-{turn}")
+        labels, turn = spark.read.parquet(f"{folder}/labels-{turn}"), turn + 1

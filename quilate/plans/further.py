@@ -15,14 +15,31 @@ def _edges(s, d):
     return C._pairs(s, d).where("sim >= 0.3").select("i", "j", F.round("sim", 9).alias("weight"))
 
 
+def _nodes(s, d):
+    return table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("m")).distinct()
+
+
+def _folder(s, name):
+    """A new folder that driver and executors share."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        import tempfile
+
+        shared = "file://" + tempfile.mkdtemp(prefix=f"{name}-")
+    import uuid
+
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 @query()
 def louvain(s, d):
-    return graphs.communities(_edges(s, d).withColumn("graph", F.lit(0)), "graph")
+    nodes = _nodes(s, d).select(F.lit(0).alias("graph"), F.col("m").alias("node"))
+    return graphs.communities(_edges(s, d).withColumn("graph", F.lit(0)), "graph", nodes)
 
 
 @query()
 def label_prop(s, d):
-    return graphs.label_propagation(_edges(s, d))
+    return graphs.label_propagation(_edges(s, d), _nodes(s, d), "m", _folder(s, "label_prop"))
 
 
 @query(f"WITH {C._GROUPS}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS threshold), te AS (SELECT threshold, count(*) FILTER (WHERE sim >= threshold) AS edges FROM p, t GROUP BY 1) SELECT threshold, edges FROM te ORDER BY edges > 10 DESC, abs(threshold - 0.3), edges DESC LIMIT 1")

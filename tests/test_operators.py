@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quilate.functions import text as T
-from quilate.operators import conllu, enrich, prompts, stats, vectors
-from quilate.plans.catalogue import CONLLU
+from quilate.operators import conllu, enrich, graphs, prompts, stats, vectors
+from quilate.plans import further  # noqa: F401
+from quilate.plans.catalogue import CONLLU, QUERIES
 
 
 def test_syllables(spark):
@@ -55,6 +56,44 @@ def test_components(spark, tmp_path):
     assert found == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
+def label_propagation_of(edges, nodes):
+    near = {n: {} for n in nodes}
+    for i, j, w in edges:
+        near[i][j] = near[j][i] = w
+    label = {n: n for n in nodes}
+    while True:
+        asked = {}
+        for n in nodes:
+            votes = {}
+            for m, w in near[n].items():
+                votes[label[m]] = votes.get(label[m], 0) + w
+            top = max(votes.values(), default=0)
+            if top > votes.get(label[n], 0):
+                asked[n] = min(x for x in votes if votes[x] == top)
+        if not asked:
+            return label
+        label |= {n: x for n, x in asked.items() if not any(m in asked and m < n for m in near[n])}
+
+
+def test_label_propagation_runs_until_stable(spark, tmp_path):
+    # a path whose synchronous labels swap for ever, two triangles with a weak link, an isolated node
+    edges = [(i, i + 1, 0.5) for i in range(11)]
+    edges += [(20, 21, 1.0), (21, 22, 1.0), (20, 22, 1.0), (30, 31, 1.0), (31, 32, 1.0), (30, 32, 1.0), (22, 30, 0.25)]
+    names = [*range(12), 20, 21, 22, 30, 31, 32, 40]
+    df = spark.createDataFrame(edges, "i bigint, j bigint, weight double")
+    nodes = spark.createDataFrame([(n,) for n in names], "n bigint")
+    found = {r["node"]: r["label"] for r in graphs.label_propagation(df, nodes, "n", f"file://{tmp_path}").collect()}
+    assert found == label_propagation_of(edges, names) and found[40] == 40
+    assert len({found[n] for n in (20, 21, 22)}) == len({found[n] for n in (30, 31, 32)}) == 1 and found[20] != found[30]
+
+
+@pytest.mark.parametrize("name", ["label_prop", "louvain"])
+def test_isolated_nodes_stay(spark, name):
+    sf = "/root/testdata/sf0.001"
+    nodes = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id") % 50).distinct().count()
+    assert QUERIES[name][0](spark, sf).select("node").distinct().count() == nodes
+
+
 def test_sum_of_squares_adds_up(spark):
     rows = [(i, i % 3, [float(i), float(i * i % 7)]) for i in range(20)]
     q = vectors.cluster_quality(spark.createDataFrame(rows, "id bigint, g int, embedding array<double>"), "g").first()
