@@ -91,7 +91,7 @@ class Page:
             if in_link:
                 linked += len(text.strip())
 
-        size = len(html)
+        size, endless = len(html), set()
         while at < size:
             m = _TAG.search(html, at)
             if m is None:
@@ -111,10 +111,13 @@ class Page:
                     self.controls[stack[-1]] += 1
                 if attributes.rstrip().endswith("/") and name not in RAW:
                     continue
-                end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
+                end = None if name in endless else re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
                 if name == "head" and end is None:
                     end = re.compile(r"(?=<body)", re.IGNORECASE).search(html, at)
-                at = end.end() if end else size
+                if end is None and name not in RAW:
+                    endless.add(name)  # markup without its end tag is read on
+                else:
+                    at = end.end() if end else size
                 parts.append(" ")
             elif name in BLOCKS:
                 flush()

@@ -324,6 +324,13 @@ def test_extraction_edge_cases():
     assert html_text.extract(page, model) == "A & b\nOne two three, four. Five six.\nSecond paragraph of words, it goes on."
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "canvas", "datalist", "head"])
+def test_markup_without_its_end_tag_is_read_on(tag):
+    texts = lambda page: [t.strip() for t in html_text.Page(page).text if t and t.strip()]
+    page = f"<p>before</p><{tag}><article><p>The text goes on.</p></article><p>last</p>"
+    assert "The text goes on." in texts(page)
+
+
 def test_dropped_ancestors_have_no_kept_descendants():
     page = html_text.Page("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     p = np.array([1, 0.01, 0.6, 0.6, 0.4, 0.6, 0.6, 0.9, 0.9][: len(page.kind)])
