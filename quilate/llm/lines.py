@@ -7,69 +7,57 @@ judged on the input, not on what is left.
 
 1. Words are counted in buckets of their hash, over all lines. Bucket counts,
    then hashes, order the words of every line, rare ones first.
-2. Lines of equal sets form a class. Classes that match share a word among the
-   rarest ``n - ceil(t n) + 1`` of each (prefix filter). Words in the prefixes of
-   one class only are dropped by an aggregate on smallest and largest class. Sets
-   so small that only equal ones reach the threshold (up to three words at 0.8)
-   need no prefix.
-3. Only classes with a likely partner go on: one that shares a prefix word, fits in
-   length and passes the bitmap filter. A class's bitmap holds in each bit whether
-   an odd number of its words fall on it; bits that differ bound the symmetric
-   difference of two sets from below.
-4. A class falls if it matches any class that begins earlier, so one match is
-   enough. Every class is compared with the earliest class of each of its
-   words, those still open with the second earliest, and so on for a few rounds:
-   that settles groups of near copies without all their pairs. Classes still
-   open are compared with all earlier ones of their words, after the length
-   filter and the positional filter (what both have behind the last shared prefix
-   word bounds the overlap).
-5. Candidate classes' whole sets are made again from the text and compared.
-   Spark's run-time Bloom filters, of bounded size, keep all others out of that
-   join and of the one before.
+2. Lines of equal sets form a class, found by an aggregate with a partial count
+   before its shuffle, so that a line that repeats millions of times is one row.
+   A class falls if it matches any class that begins earlier, so one match is
+   enough; in a class that stays all lines but the first are removed.
+3. Classes that match share a word among the rarest ``n - ceil(t n) + 1`` of each
+   (prefix filter). The entries (word, class) are written once, in buckets of the
+   word, so that no later join on the word shuffles or sorts them. Sets so small
+   that only equal ones reach the threshold (up to three words at 0.8) need none.
+4. Candidates must fit in length, in position (what both sets have from their
+   shared word on bounds the overlap) and in their bitmaps: a class's bitmap holds
+   in each bit whether an odd number of its words fall on it; bits that differ
+   bound the symmetric difference from below. All of that is part of the join's
+   condition, so that pairs that fail it are never rows.
+5. In long lists each class is first compared with the list's earliest class; where
+   many fell, those left are compared with the next ones for a few rounds. That
+   settles groups of near copies without all their pairs. Classes still open are
+   then compared with all earlier ones of their words.
+6. Candidates' lines are read again by their places, and their whole sets compared.
+
+Words and sets are known by hashes: words by 56 bits, sets by two of 64 bits with
+different salts.
 
 Edge cases: every line with a word is judged, lines without words stay; a document
 whose lines are all removed stays with an empty text; rows that share an id are one
 document, and a line number removed for one is removed for all; rows without an id
-stay as they are; extra columns stay; an empty table gives an empty result.
+stay as they are; extra columns stay, whatever their names; an empty table gives an
+empty result. Ids are integers.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from quilate.llm.common import WORD_GAP, discarded, tidied, written
+from quilate.llm.common import WORD_GAP, Places, bucketed, discarded, settings, tidied, unused, written
 
 THRESHOLD = (4, 5)
-#: A line without words isn't judged.
-MIN_WORDS = 1
-#: Buckets of the word counts, and rounds of comparison with early classes.
-BUCKETS, ROUNDS = 1 << 14, 3
+#: Buckets of the word counts; classes that make a list long, and rounds of comparison with early classes of long lists.
+BUCKETS, LONG, ROUNDS = 1 << 16, 64, 3
 _GAPS = " \t\x0b\f\r"
-
-
-@contextmanager
-def _bloom_filters(spark: SparkSession):
-    """Lets the optimiser filter joins of any size by a Bloom filter of the smaller side."""
-    names = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+#: Lets the optimiser filter joins of any size by a Bloom filter of the smaller side.
+_BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0"}
+#: A join on word and class may use that both sides are dealt by the word.
+_BY_WORD = {"spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__legacy__bucketedTableScan__outputOrdering": "true"}
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines by number, with the hashes of their words."""
+    """Lines with a word, by document and number."""
     every = docs.where(col(key).isNotNull()).select(col(key).alias("d"), F.posexplode(F.split(col(text), "\n")).alias("p", "line"))
-    worded = every.withColumn("line", F.btrim("line", F.lit(_GAPS))).where(F.length("line") >= 2 * MIN_WORDS - 1)
-    return worded.select("d", "p", F.transform(F.split("line", WORD_GAP), lambda w: F.xxhash64(w)).alias("k"))
+    return every.withColumn("line", F.btrim("line", F.lit(_GAPS))).where("line <> ''")
 
 
 def _rarity(docs: DataFrame, key: str, text: str) -> str:
@@ -84,101 +72,127 @@ def _rarity(docs: DataFrame, key: str, text: str) -> str:
 
 
 def _ordered(lines: DataFrame, rarity: str) -> DataFrame:
-    """Add the sets in the global order (class in the high bits), their size and signature."""
-    own = lines.select("d", "p", F.array_distinct("k").alias("k")).where(F.size("k") >= MIN_WORDS)
-    key = F.expr(f"sort_array(transform(k, h -> shiftleft(cast(element_at({rarity}, cast(h & {BUCKETS - 1} AS int) + 1) AS bigint), 56) | shiftrightunsigned(h, 8)))")
-    return own.select("d", "p", key.alias("s")).select("d", "p", "s", F.size("s").alias("n"), F.xxhash64("s").alias("s1"), F.xxhash64("s", F.lit(1)).alias("s2"), *_bitmap())
-
-
-def _bitmap() -> list[Column]:
-    """Parities of the words that fall on each of 128 bits."""
-    bit = "shiftleft(1L, cast(h & 63 AS int))"
-    return [F.expr(f"aggregate(s, 0L, (x, h) -> x ^ if(h & 64 = {64 * k}, {bit}, 0L))").alias(f"w{k}") for k in (0, 1)]
+    """Add the sets ``s`` in the global order (class in the high bits), their size and signature."""
+    own = lines.withColumn("k", F.array_distinct(F.transform(F.split("line", WORD_GAP), lambda w: F.xxhash64(w)))).drop("line")
+    key = F.expr(f"sort_array(transform(k, h -> shiftleft(cast({rarity}[cast(h & {BUCKETS - 1} AS int)] AS bigint), 56) | shiftrightunsigned(h, 8)))")
+    return own.withColumn("s", key).drop("k").withColumns({"n": F.size("s"), "s1": F.xxhash64(F.lit(1), "s"), "s2": F.xxhash64(F.lit(2), "s")})
 
 
-def _place(d: str = "d", p: str = "p") -> Column:
-    return F.struct(col(d).alias("d"), col(p).alias("p"))
+def _bitmap() -> dict[str, Column]:
+    """Parities of the words that fall on each of 64 bits, and for larger sets on each of 64 others."""
+    parity = lambda shift: f"aggregate(s, 0L, (x, h) -> x ^ shiftleft(1L, cast(shiftright(h, {shift}) & 63 AS int)))"
+    return {"w0": F.expr(parity(0)), "w1": F.expr(f"if(n > 64, {parity(6)}, 0L)")}
 
 
 @tidied
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document with removed lines: its id ``d`` and the sorted numbers ``gone`` of those lines."""
     spark, (a, b) = docs.sparkSession, threshold
-    unlike = F.bit_count(col("w0").bitwiseXOR(col("x0"))) + F.bit_count(col("w1").bitwiseXOR(col("x1")))
-    # length filter, and the least symmetric difference against the most that the threshold allows
-    fits = (b * col("n") >= a * col("m")) & (b * col("m") >= a * col("n")) & ((a + b) * unlike <= (b - a) * (col("n") + col("m")))
-    rarity = _rarity(docs, key, text)
-    ordered = _ordered(_lines(docs, key, text), rarity)
+    places, rarity = Places(docs, key), _rarity(docs, key, text)
     # a set of n words and one of n + 1 are as much alike as different sets can be
     apart = b * col("n") < a * (col("n") + 1)
     prefix = F.slice("s", F.lit(1), F.when(apart, 0).otherwise(col("n") - F.ceil(col("n") * a / b) + 1).cast("int"))
-    lines = written(ordered.select("d", "p", "n", "s1", "s2", "w0", "w1", prefix.alias("head")))
-    classes = written(lines.groupBy("s1", "s2").agg(F.min(_place()).alias("place"), *[F.min(c).alias(c) for c in ("n", "w0", "w1")], F.count("*").alias("many")))
-
-    tokens = lines.select(F.explode("head").alias("v"), "s1")
-    shared = written(tokens.groupBy("v").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("v", F.lit(1).alias("k")))
-    with _bloom_filters(spark):
-        heads = lines.select("s1", F.posexplode("head").alias("i", "v")).join(shared.where("k = 1"), "v").select("v", "i", "s1").distinct()
-        every = written(heads.join(classes.drop("many"), "s1"))
-        other = every.select("v", col("n").alias("m"), col("w0").alias("x0"), col("w1").alias("x1"), col("s1").alias("t1"), col("s2").alias("t2"))
-        differ = (col("s1") != col("t1")) | (col("s2") != col("t2"))
-        entries = written(every.join(other, (every["v"] == other["v"]) & differ & fits, "left_semi"))
-        discarded(every)
-        wanted = written(entries.select("s1", "s2", F.lit(1).alias("k")).distinct())
-        sets = written(ordered.select("s1", "s2", "s").join(wanted.where("k = 1"), ["s1", "s2"]).select("s1", "s2", "s").dropDuplicates(["s1", "s2"]))
+    lines = _ordered(_lines(docs, key, text), rarity).withColumns(_bitmap())
+    full = written(lines.select(places.of("d", "p").alias("place"), "s1", "s2", "n", "w0", "w1", prefix.alias("head")))
+    classes = written(full.groupBy("s1", "s2", "n", "w0", "w1", "head").agg(F.min("place").alias("place"), F.count("*").alias("many")))
+    slim = written(full.select("place", "s1", "s2"))
+    discarded(full)
+    entries = bucketed(classes.select("place", "n", "w0", "w1", F.posexplode("head").alias("i", "v")), "v")
+
+    parts = {"place": "before", "n": "m", "i": "j", "w0": "x0", "w1": "x1"}
+    unlike = lambda w, x: F.bit_count(col(w).bitwiseXOR(col(x)))
+    differ = F.greatest(unlike("w0", "x0"), F.when((col("n") > 64) & (col("m") > 64), unlike("w1", "x1")).otherwise(0))
+    fits = (
+        (col("before") < col("place")) & (b * col("n") >= a * col("m")) & (b * col("m") >= a * col("n"))
+        & ((a + b) * F.least(col("n") - col("i"), col("m") - col("j")) >= a * (col("n") + col("m")))
+        & ((a + b) * differ <= (b - a) * (col("n") + col("m")))
+    )
+
+    def sets_of(at: DataFrame) -> DataFrame:
+        """The sets of the lines at these places, made again from the texts."""
+        wanted = at.groupBy(places.document("place").alias("w")).agg(F.collect_set(places.number("place")).alias("ps"))
+        texts = docs.select(col(key).alias("d"), F.split(col(text), "\n").alias("all")).join(wanted, col("d") == col("w"))
+        own = texts.select("d", F.explode(F.transform("ps", lambda p: F.struct(p.alias("p"), F.get("all", p).alias("line")))).alias("x")).select("d", "x.*")
+        return _ordered(own.withColumn("line", F.btrim("line", F.lit(_GAPS))).where("line <> ''"), rarity).select(places.of("d", "p").alias("place"), "s", "n", "s1", "s2")
 
     def falls(pairs: DataFrame) -> DataFrame:
-        """Classes (s1, s2) that match the earlier class (t1, t2) of a pair."""
-        mine = pairs.join(sets, ["s1", "s2"]).withColumnRenamed("s", "mine")
-        both = mine.join(sets.select(col("s1").alias("t1"), col("s2").alias("t2"), "s"), ["t1", "t2"])
-        common = F.size(F.array_intersect("mine", "s"))
-        return both.where(b * common >= a * (col("n") + col("m") - common)).select("s1", "s2").distinct()
-
-    # in each round a word's centre is its next later class
-    still, fallen, centre = entries, None, None
-    for _ in range(ROUNDS):
-        later = entries if centre is None else entries.join(centre.select("v", col("c.place").alias("before")), "v").where("place > before")
-        centre = written(later.groupBy("v").agg(F.min(F.struct("place", "n", "w0", "w1", "s1", "s2")).alias("c")))
-        # comparisons that the words still ask for, were there no further round
-        asked = still.join(centre, "v").where("place > c.place").select("v", "n", "w0", "w1", "s1", "s2", col("c.n").alias("m"), col("c.w0").alias("x0"), col("c.w1").alias("x1"), col("c.s1").alias("t1"), col("c.s2").alias("t2"))
-        gone = written(falls(asked.where(fits).select("n", "m", "s1", "s2", "t1", "t2").distinct()))
-        fallen = gone if fallen is None else fallen.unionAll(gone)
-        still = written(still.join(gone, ["s1", "s2"], "left_anti"))
-        if still.isEmpty():
-            break
-    earlier = entries.select("v", col("i").alias("j"), col("n").alias("m"), col("w0").alias("x0"), col("w1").alias("x1"), col("s1").alias("t1"), col("s2").alias("t2"), col("place").alias("before"))
-    pairs = still.join(earlier, "v").where((col("before") < col("place")) & fits).groupBy("n", "m", "s1", "s2", "t1", "t2").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
-    most = col("k") + F.least(col("n") - col("i"), col("m") - col("j")) - 1
-    last = falls(pairs.where(b * most >= a * (col("n") + col("m") - most)).select("n", "m", "s1", "s2", "t1", "t2"))
-    fallen = written(fallen.unionAll(last).distinct())
+        """Classes (place, s1, s2) that match the earlier class of a pair."""
+        pairs = written(pairs.select("place", "before").distinct())
+        with settings(spark, **_BLOOM):
+            sets = written(sets_of(pairs.select("place").unionAll(pairs.select("before")).distinct()))
+        before = sets.select(col("place").alias("before"), col("s").alias("t"), col("n").alias("m"))
+        common = F.size(F.array_intersect("s", "t"))
+        out = written(pairs.join(sets, "place").join(before, "before").where(b * common >= a * (col("n") + col("m") - common)).select("place", "s1", "s2").distinct())
+        discarded(pairs)
+        discarded(sets)
+        return out
+
+    # of rows that share an id, different lines may have one place: they are never taken as settled by it
+    twins = docs.groupBy(col(key).alias("twin")).count().where("count > 1").select("twin")
+
+    def settled(fallen: DataFrame) -> DataFrame:
+        """Entries (v, place) of fallen classes."""
+        single = fallen.join(twins, places.document("place") == col("twin"), "left_anti").select("s1", "s2")
+        with settings(spark, **_BLOOM):
+            return written(classes.join(single, ["s1", "s2"]).select(F.explode("head").alias("v"), "place"))
+
+    with settings(spark, **_BY_WORD):
+        # in each round a long list's centre is its next later class
+        long = written(entries.groupBy("v").count().where(f"count >= {LONG}").select("v"))
+        open_ = bucketed(entries.join(long, "v", "left_semi"), "v")
+        fallen, done, last = None, None, None
+        for turn in range(ROUNDS):
+            later = open_ if last is None else open_.join(last, "v").where("place > at")
+            centre = written(later.groupBy("v").agg(F.min(F.struct(*parts)).alias("c")).select("v", *[col(f"c.{x}").alias(y) for x, y in parts.items()]))
+            gone = falls(open_.join(centre, "v").where(fits))
+            now = settled(gone)
+            # a further round pays only in lists in which many classes fell
+            touched = written(now.groupBy("v").count().where(f"count >= {LONG}").select("v"))
+            fallen, done = (gone, now) if fallen is None else (fallen.unionAll(gone), done.unionAll(now))
+            if turn + 1 == ROUNDS or touched.isEmpty():
+                break
+            before = open_
+            open_ = bucketed(open_.join(touched, "v", "left_semi").join(now.hint("shuffle_hash"), ["v", "place"], "left_anti"), "v")
+            discarded(before)
+            last = centre.select("v", col("before").alias("at"))
+        discarded(open_)
+        still = entries.join(done.hint("shuffle_hash"), ["v", "place"], "left_anti")
+        rest = falls(still.join(entries.select("v", *[col(x).alias(y) for x, y in parts.items()]), "v").where(fits))
+    discarded(entries)
+    fallen = fallen.unionAll(rest)
 
     # lines of classes of one line that match none before stay
-    marked = classes.select("s1", "s2", "place", "many").join(fallen.withColumn("fell", F.lit(True)), ["s1", "s2"], "left").where(col("fell") | (col("many") > 1))
-    with _bloom_filters(spark):
-        judged = written(lines.select("d", "p", "s1", "s2").join(written(marked), ["s1", "s2"]).where(col("fell") | (_place() > col("place"))).select("d", "p"))
-    return judged.groupBy("d").agg(F.array_sort(F.collect_set("p")).alias("gone"))
+    fell = fallen.select("s1", "s2").distinct().withColumn("fell", F.lit(True))
+    marked = written(classes.select("s1", "s2", col("place").alias("first"), "many").join(fell, ["s1", "s2"], "left").where(col("fell") | (col("many") > 1)))
+    discarded(classes)
+    with settings(spark, **_BLOOM):
+        judged = slim.join(marked, ["s1", "s2"]).where(col("fell") | (col("place") > col("first")))
+        return written(judged.groupBy(places.document("place").alias("d")).agg(F.array_sort(F.collect_set(places.number("place"))).alias("gone")))
 
 
-def _joined(docs: DataFrame, key: str, text: str, threshold: tuple[int, int]) -> DataFrame:
-    gone = written(removed_lines(docs.select(key, text), key, text, threshold)).withColumnsRenamed({"d": "_l_id", "gone": "_l_gone"})
-    return docs.join(gone.hint("shuffle_hash"), col(key) == col("_l_id"), "left")
+def _joined(docs: DataFrame, key: str, text: str, threshold: tuple[int, int]) -> tuple[DataFrame, str, str]:
+    """``docs`` with the numbers of removed lines and with all lines, in columns whose names it returns."""
+    one, name, every = (unused(docs, x) for x in ("id", "gone", "lines"))
+    gone = removed_lines(docs.select(key, text), key, text, threshold).withColumnsRenamed({"d": one, "gone": name})
+    joined = docs.join(gone.hint("shuffle_hash"), col(key) == col(one), "left").drop(one)
+    return joined.withColumn(every, F.split(F.coalesce(col(text), F.lit("")), "\n")), name, every
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``docs`` with all its columns, its texts without the removed lines."""
-    split = _joined(docs, key, text, threshold).withColumn("_l_lines", F.when(col("_l_gone").isNotNull(), F.split(col(text), "\n")))
-    return split.withColumn(text, F.when(col("_l_gone").isNotNull(), _rest()).otherwise(col(text))).select(*[f"`{c}`" for c in docs.columns])
+    split, gone, every = _joined(docs, key, text, threshold)
+    return split.withColumn(text, F.when(col(gone).isNotNull(), _rest(every, gone)).otherwise(col(text))).select(*[f"`{c}`" for c in docs.columns])
 
 
-def _rest() -> Column:
+def _rest(every: str, gone: str) -> Column:
     """The lines whose numbers aren't among the removed ones; sets, so that long texts stay cheap."""
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("_l_lines") - 1), col("_l_gone"))
-    return F.array_join(F.transform(numbers, lambda i: F.get("_l_lines", i)), "\n")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), col(gone))
+    return F.array_join(F.transform(numbers, lambda i: F.get(every, i)), "\n")
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document the numbers of its lines and of those removed, which ones, and the SHA-256 of what stays."""
-    split = _joined(docs, key, text, threshold).withColumn("_l_lines", F.split(F.coalesce(col(text), F.lit("")), "\n"))
-    gone = F.coalesce("_l_gone", F.array().cast("array<int>"))
-    rest = F.when(col("_l_gone").isNotNull(), _rest()).otherwise(F.coalesce(col(text), F.lit("")))
-    return split.select(key, F.size("_l_lines").cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_removed"), F.array_join(gone, ",").alias("removed"), F.sha2(rest, 256).alias("kept_sha256"))
+    split, gone, every = _joined(docs.select(key, text), key, text, threshold)
+    removed = F.coalesce(gone, F.array().cast("array<int>"))
+    rest = F.when(col(gone).isNotNull(), _rest(every, gone)).otherwise(F.coalesce(col(text), F.lit("")))
+    return split.select(key, F.size(every).cast("bigint").alias("n_lines"), F.size(removed).cast("bigint").alias("n_removed"), F.array_join(removed, ",").alias("removed"), F.sha2(rest, 256).alias("kept_sha256"))

@@ -180,7 +180,7 @@ def lines_of(rows):
         gone = []
         for p, x in enumerate((t or "").split("\n")):
             s = frozenset(words(x))
-            if len(s) >= lines.MIN_WORDS:
+            if s:
                 if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                     gone.append(p)
                 seen.append(s)
