@@ -3,53 +3,60 @@
 A document's set holds the hashes of its distinct word n-grams. Two documents
 link when the Jaccard similarity of their sets reaches a threshold.
 
-1. One pass counts n-grams in a table of fixed size (by bits of the hash). The
-   counts, then the hashes, give one global order of n-grams, rare ones first.
-   The same pass gives each set a 128-bit signature; documents of equal sets form
-   a class, of which only the smallest id goes on.
-2. Linked sets share an n-gram among the rarest ``n - ceil(t n) + 1`` of each.
-   These prefixes are counted (again with a partial count before the shuffle);
-   those n-grams that occur once can't link anything. A Bloom filter of fixed
-   size drops nearly all of them, and what is left is an inverted list per n-gram.
-3. Candidate pairs come from the lists. A list of many near copies would give
-   all its pairs, so lists are reduced first: every member is paired only with
-   the list's centre (another one in each round), linked members merge into
-   components, and a list that lies in one component needs no more pairs. When
-   what is left is small, all pairs of its members in different components
-   follow, by length and positional filters. So no link between components is
-   lost, and the number of pairs stays in proportion to the lists.
-4. Pairs that a positional filter leaves are verified by vertical partitioning: the global order is cut into
-   fragments, each set into its segments. For every fragment the overlap of a
-   pair's segments is counted on its own; the sum over fragments is the overlap.
-
-Nothing that grows with the corpus is collected or broadcast.
+1. One pass over the texts deals the n-grams of every distinct set out by hash,
+   packed: of each n-gram six bytes, and the set's 64-bit signature once for all
+   its n-grams of a part. Sets that are equal within a batch go once. N-grams of
+   very many sets of a batch are announced to their part without owners and go
+   straight to the owners, so that no part holds the owners of a hot passage.
+2. Each part counts in how many sets its n-grams are. N-grams of one set can't
+   link anything and go no further than as a number; the others return to their
+   sets. The counts, then the hashes, give one global order, rare ones first.
+3. Linked sets share an n-gram among the first ``n - ceil(t n) + 1`` of each. A set
+   whose prefix is filled by n-grams of its own has no partner and is done; the
+   others enter the inverted lists of their prefixes, and their n-grams are cut
+   into segments at fixed places of the global order.
+4. Candidate pairs come from the lists, by length and positional filters. Lists of
+   near copies would give all their pairs, so lists are reduced first: every
+   member is paired only with the list's centre (the set with the fewest n-grams
+   of its own, which is what copies were made from), linked members merge into
+   components, and a list that lies in one component needs no more pairs. All
+   pairs of different components in the lists left follow. So no link between
+   components is lost.
+5. Pairs are verified by vertical partitioning: for every fragment of the global
+   order the overlap of a pair's segments is counted on its own; the sum over
+   fragments is the overlap.
+
+Nothing that grows with the corpus is collected or broadcast. N-grams are known
+by at least 54 bits of a hash, sets in the lists by 64, equal sets by 128.
 
 Edge cases: null and empty texts have an empty set and link with nothing; texts
 of fewer words than ``gram`` have their whole sequence as one n-gram; repeated
-rows are equal sets; rows without an id get no component; an empty table gives an
-empty result.
+rows are equal sets; rows without an id get no component and join none; of two
+texts under one id each is a member of its own links, and both rows carry the id;
+an empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quilate.llm.common import discarded, mix64, tidied, written
-from quilate.llm.hashing import Block, Blocks, in_bits, merged_bits, signed
+from quilate.llm.common import discarded, mix64, tidied, unused, written
+from quilate.llm.hashing import Block, Blocks, signed
 
 GRAM = 5
 #: Similarity as a fraction.
 THRESHOLD = (4, 5)
-#: Buckets of the table of counts, its parts, fragments of the global order, and most rounds of centres.
-BUCKETS, PARTS, FRAGMENTS, ROUNDS = 1 << 20, 64, 8, 8
+#: Fragments of the global order, and most rounds of centres.
+FRAGMENTS, ROUNDS = 8, 6
+#: N-grams packed at a time, and sets of such a batch from which an n-gram counts as hot.
+HELD, HOT = 1 << 22, 64
+_HOT_LEVEL = 255
+_DOC, _GRAMS, _SHARED, _LEVELS = range(4)
 
 
 def _sets(block: Block, gram: int) -> list[np.ndarray]:
@@ -68,164 +75,274 @@ def _sets(block: Block, gram: int) -> list[np.ndarray]:
     return out
 
 
-def _scan(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
-    """Rows of sets (id, size, signature) and, in the same pass, rows of counts (part, packed counts)."""
-    kind = to_arrow_type(docs.schema[key].dataType)
-    schema = f"id {docs.schema[key].dataType.simpleString()}, n bigint, c1 bigint, c2 bigint, part int, counts binary"
+class _Parts:
+    """Parts of the hash space, two to the power of ``bits``, and a key for each that Spark deals to a partition of its own."""
 
-    def run(batches):
-        blocks, total, waiting, held = Blocks(True), np.zeros(BUCKETS, np.uint32), [], 0
-        for batch in batches:
-            for rows, block in blocks.of(batch.column(1)):
-                sets = _sets(block, gram)
-                waiting += sets
-                held += sum(map(len, sets))
-                if held > 4 * BUCKETS:
-                    total += _counted(waiting)
-                    waiting, held = [], 0
-                with np.errstate(over="ignore"):
-                    c1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                    c2 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                n = len(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(c1)), pa.array(signed(c2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "n", "c1", "c2", "part", "counts"])
-        total += _counted(waiting)
-        if total.any():
-            packed = [zlib.compress(x.tobytes(), 1) for x in np.split(total, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()).cast(kind), *[pa.nulls(PARTS, pa.int64())] * 3, pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], ["id", "n", "c1", "c2", "part", "counts"])
+    def __init__(self, spark: SparkSession):
+        self.bits = min(16, max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+        self.count = 1 << self.bits
+        at = spark.range(16 * self.count, numPartitions=1).select(col("id").cast("int").alias("k"), F.pmod(F.hash(col("id").cast("int")), F.lit(self.count)).alias("p"))
+        found = {r.p: r.k for r in at.groupBy("p").agg(F.min("k").alias("k")).collect()}
+        self.keys = np.array([found.get(p, p) for p in range(self.count)], np.int32)
 
-    return docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.uint16)
 
+    def whole(self, part: int, low: np.ndarray) -> np.ndarray:
+        """N-grams as 64-bit numbers from their part and six bytes."""
+        return low | (np.uint64(part) << np.uint64(48))
 
-def _counted(sets: list[np.ndarray]) -> np.ndarray:
-    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
 
+def _six(x: np.ndarray) -> np.ndarray:
+    """The low six bytes of each number, as a matrix of bytes."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6])
 
-def _table_of_counts(parts: DataFrame) -> np.ndarray:
-    """The whole table; tasks add up the parts as they stream by, the driver gets one row per part."""
 
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for part, packed in zip(pdf["part"], pdf["counts"], strict=True):
-                x = np.frombuffer(zlib.decompress(packed), np.uint32)
-                sums[part] = sums[part] + x if part in sums else x.astype(np.uint64)
-        yield pd.DataFrame({"part": list(sums), "counts": [x.tobytes() for x in sums.values()]})
-
-    out = np.zeros((PARTS, BUCKETS // PARTS), np.uint64)
-    for row in parts.select("part", "counts").repartition("part").mapInPandas(run, "part int, counts binary").collect():
-        out[row.part] = np.frombuffer(row.counts, np.uint64)
-    return out.ravel()
-
-
-def _pivots(counts: np.ndarray, fragments: int) -> list[tuple[int, int]]:
-    """(count, hash) at which the fragments after the first begin; each fragment has about the same mass."""
-    level, buckets = np.unique(counts[counts > 0], return_counts=True)
-    mass = np.concatenate([[0.0], np.cumsum(level.astype(float) * buckets)])
-    out = []
-    for k in range(1, fragments):
-        want = mass[-1] * k / fragments
-        i = min(int(np.searchsorted(mass, want, "right")) - 1, max(len(level) - 1, 0))
-        if len(level):
-            share = (want - mass[i]) / (mass[i + 1] - mass[i])
-            out.append((int(level[i]), int(share * (2**64 - 1))))
-    return out
+def _from_six(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.reshape(-1).view("<u8")
 
 
-class _Order:
-    """The global order: by count, then by hash."""
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), n)
 
-    def __init__(self, counts: np.ndarray, fragments: int):
-        self.counts, self.pivots = counts, _pivots(counts, fragments)
 
-    def sort(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = self.counts[(own & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        order = np.argsort(c, kind="stable")
-        return own[order], c[order]
+class _Rows:
+    """Collects rows of the packed exchange as Arrow batches."""
 
-    def cut(self, own: np.ndarray) -> list[np.ndarray]:
-        own, c = self.sort(own)
-        at = []
-        for level, h in self.pivots:
-            a, b = np.searchsorted(c, level), np.searchsorted(c, level, "right")
-            at.append(a + int(np.searchsorted(own[a:b], np.uint64(h))))
-        return np.split(own, at)
+    def __init__(self, kind: pa.DataType):
+        self.schema = pa.schema([("kind", pa.int8()), ("at", pa.int32()), ("part", pa.int32()), ("id", kind), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("owners", pa.binary()), ("lens", pa.binary()), ("grams", pa.binary()), ("level", pa.binary())])
+        self.kind = kind
 
+    def documents(self, at, ids, n, c1, c2) -> pa.RecordBatch:
+        k = len(n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, _DOC, np.int8)), pa.array(at), pa.nulls(k, pa.int32()), ids, pa.array(n), pa.array(signed(c1)), pa.array(signed(c2)), *[pa.nulls(k, pa.binary())] * 4], schema=self.schema)
 
-def _prefix_length(n: int, threshold: tuple[int, int]) -> int:
-    a, b = threshold
-    return n - -(-a * n // b) + 1
+    def packed(self, rows: list[tuple]) -> pa.RecordBatch:
+        """rows: (kind, at, part, owners, lens, grams, level)"""
+        kind, at, part, owners, lens, grams, level = zip(*rows, strict=True)
+        k, none = len(rows), pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(at, pa.int32()), pa.array(part, pa.int32()), pa.nulls(k, self.kind), none, none, none, *[pa.array(x, pa.binary()) for x in (owners, lens, grams, level)]], schema=self.schema)
 
 
-def _prefixes(docs: DataFrame, order, key: str, text: str, gram: int, threshold: tuple[int, int]) -> DataFrame:
-    """Prefix n-grams that occur in more than one document's prefix; a filter of them."""
+def _schema(kind: str) -> str:
+    return f"kind tinyint, at int, part int, id {kind}, n bigint, c1 bigint, c2 bigint, owners binary, lens binary, grams binary, level binary"
 
-    def run(batches):
-        blocks = Blocks(True)
-        for batch in batches:
-            for _, block in blocks.of(batch.column(0)):
-                own = [order.value.sort(s)[0][: _prefix_length(len(s), threshold)] for s in _sets(block, gram) if len(s)]
-                v, c = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(c.astype(np.int64))], ["v", "c"])
 
-    counted = docs.select(f"`{text}`").mapInArrow(run, "v bigint, c bigint").groupBy("v").agg(F.sum("c").alias("c"))
-    return counted.where("c > 1").select("v")
+def _by_owner(kind: int, at: np.ndarray, part: int, owner: np.ndarray, gram: np.ndarray, level: np.ndarray, bits: int) -> list[tuple]:
+    """Rows for the owners' parts; ``gram`` as a matrix of bytes."""
+    order = np.argsort(owner, kind="stable")
+    owner, gram, level = owner[order], gram[order], level[order]
+    runs = _runs(owner)
+    first, lens = owner[runs[:-1]], np.diff(runs).astype("<u4")
+    place = (first >> np.uint64(64 - bits)).astype(np.int64)
+    edges, out = _runs(place), []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        x, y = int(runs[a]), int(runs[b])
+        out.append((kind, int(at[place[a]]), part, first[a:b].tobytes(), lens[a:b].tobytes(), gram[x:y].tobytes(), level[x:y].tobytes()))
+    return out
+
 
+def _scan(docs: DataFrame, key: str, text: str, gram: int, parts: _Parts) -> DataFrame:
+    """A row per document (size and signature of its set), and the packed n-grams of distinct sets by part."""
+    rows = _Rows(to_arrow_type(docs.schema[key].dataType))
+
+    def pack(sets: list[np.ndarray], c1: np.ndarray, c2: np.ndarray):
+        one = {(x, y): i for i, (x, y) in reversed(list(enumerate(zip(c1.tolist(), c2.tolist(), strict=True))))}
+        use = sorted(i for i in one.values() if len(sets[i]))
+        if not use:
+            return
+        every, owner = np.concatenate([sets[i] for i in use]), np.repeat(np.array(use), [len(sets[i]) for i in use])
+        # n-grams of very many sets: buckets of the hash first, then exactly
+        bucket = (every & np.uint64((1 << 20) - 1)).astype(np.int64)
+        full = np.flatnonzero(np.bincount(bucket, minlength=1 << 20)[bucket] >= HOT)
+        v, k = np.unique(every[full], return_counts=True)
+        hot = v[k >= HOT]
+        out = []
+        if len(hot):
+            at = full[hot[np.minimum(np.searchsorted(hot, every[full]), len(hot) - 1)] == every[full]]
+            whole = parts.of(every[at]).astype(np.uint64) << np.uint64(48) | every[at] & np.uint64((1 << 48) - 1)
+            out += _by_owner(_SHARED, parts.keys, -1, c1[owner[at]], whole.astype("<u8").view(np.uint8).reshape(-1, 8), np.full(len(at), _HOT_LEVEL, np.uint8), parts.bits)
+            stay = np.ones(len(every), bool)
+            stay[at] = False
+            every, owner = every[stay], owner[stay]
+        part = parts.of(every)
+        order = np.argsort(part, kind="stable")
+        part, owner, low = part[order], owner[order], _six(every[order])
+        runs = _runs(part, owner)
+        first, names, lens = part[runs[:-1]], c1[owner[runs[:-1]]], np.diff(runs).astype("<u4")
+        edges, news = _runs(first), {}
+        for p in np.unique(parts.of(hot)).tolist():
+            news[p] = _six(hot[parts.of(hot) == p]).tobytes()
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            p = int(first[a])
+            out.append((_GRAMS, int(parts.keys[p]), p, names[a:b].tobytes(), lens[a:b].tobytes(), low[int(runs[a]) : int(runs[b])].tobytes(), news.pop(p, b"")))
+        out += [(_GRAMS, int(parts.keys[p]), p, b"", b"", b"", x) for p, x in news.items()]
+        yield rows.packed(out)
 
-def _lists(docs: DataFrame, order, filled, key: str, text: str, gram: int, threshold: tuple[int, int]) -> DataFrame:
-    """Inverted lists: n-gram, the set's signature and size, and the n-gram's place in the set."""
+    def run(batches):
+        blocks, sets, c1, c2, held, turn = Blocks(True), [], [], [], 0, 0
+        for batch in batches:
+            for at, block in blocks.of(batch.column(1)):
+                own = _sets(block, gram)
+                with np.errstate(over="ignore"):
+                    x1 = np.array([s.sum(dtype=np.uint64) for s in own], np.uint64)
+                    x2 = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in own], np.uint64)
+                n = np.array([len(s) for s in own], np.int64)
+                yield rows.documents(parts.keys[(turn + np.arange(len(own))) % parts.count], batch.column(0).slice(at.start, len(own)), n, x1, x2)
+                turn += len(own)
+                sets += own
+                c1.append(x1)
+                c2.append(x2)
+                held += int(n.sum())
+                if held >= HELD:
+                    yield from pack(sets, np.concatenate(c1), np.concatenate(c2))
+                    sets, c1, c2, held = [], [], [], 0
+        if sets:
+            yield from pack(sets, np.concatenate(c1), np.concatenate(c2))
+
+    return docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, _schema(docs.schema[key].dataType.simpleString()))
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """Four steps per doubling, in a byte."""
+    return np.minimum(4 * np.log2(count), _HOT_LEVEL - 1).astype(np.uint8)
+
+
+def _counted(scanned: DataFrame, parts: _Parts, kind) -> DataFrame:
+    """Documents as they come; of the n-grams those that are in two sets or more, by owner; the numbers of them by level."""
+    rows = _Rows(to_arrow_type(kind))
+
+    def reduce(part: int, owners: list, lens: list, grams: list, news: list):
+        g, owner = _from_six(grams), np.repeat(np.frombuffer(b"".join(owners), "<u8"), np.frombuffer(b"".join(lens), "<u4"))
+        hot = np.unique(_from_six(news))
+        is_hot = lambda x: hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x if len(hot) else np.zeros(len(x), bool)
+        order = np.argsort(g)
+        g, owner = g[order], owner[order]
+        runs = _runs(g)
+        many = np.repeat(np.diff(runs) > 1, np.diff(runs)) | is_hot(g)
+        g, owner = g[many], owner[many]
+        order = np.lexsort((owner, g))
+        g, owner = g[order], owner[order]
+        first = _runs(g, owner)[:-1]
+        g, owner = g[first], owner[first]
+        runs = _runs(g)
+        size = np.diff(runs)
+        level = np.where(is_hot(g[runs[:-1]]), _HOT_LEVEL, _level(np.maximum(size, 1)))
+        level, size = np.repeat(level, size).astype(np.uint8), np.repeat(size, size)
+        stay = (size > 1) | (level == _HOT_LEVEL)
+        if stay.any():
+            tally = np.bincount(level[stay], minlength=256).astype("<i8")
+            yield rows.packed([*_by_owner(_SHARED, parts.keys, part, owner[stay], _six(g[stay]), level[stay], parts.bits), (_LEVELS, 0, None, None, None, tally.tobytes(), None)])
 
     def run(batches):
-        blocks = Blocks(True)
+        waiting: dict[int, tuple[list, ...]] = {}
         for batch in batches:
-            for _, block in blocks.of(batch.column(0)):
-                parts = [[], [], [], [], []]
-                for s in _sets(block, gram):
-                    if not len(s):
-                        continue
-                    head = order.value.sort(s)[0][: _prefix_length(len(s), threshold)]
-                    at = np.flatnonzero(in_bits(head, filled.value))
-                    if len(at):
-                        with np.errstate(over="ignore"):
-                            c1, c2 = s.sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                        for x, y in zip(parts, (head[at], np.full(len(at), c1), np.full(len(at), c2), np.full(len(at), len(s), np.int64), at), strict=True):
-                            x.append(y)
-                if parts[0]:
-                    v, c1, c2, n, i = map(np.concatenate, parts)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in (v, c1, c2)), pa.array(n), pa.array(i.astype(np.int32))], ["v", "c1", "c2", "n", "i"])
-
-    return docs.select(f"`{text}`").mapInArrow(run, "v bigint, c1 bigint, c2 bigint, n bigint, i int").distinct()
-
-
-def _segments(docs: DataFrame, order, filled, key: str, text: str, gram: int) -> DataFrame:
-    """Segments of the sets of candidate documents, a row per fragment, with half of the set's signature."""
+            kinds = batch.column(0).to_numpy()
+            mine = kinds == _GRAMS
+            if not mine.all():
+                yield batch.filter(pa.array(~mine))
+            for i in np.flatnonzero(mine).tolist():
+                lists = waiting.setdefault(batch.column(2)[i].as_py(), ([], [], [], []))
+                for x, c in zip(lists, (7, 8, 9, 10), strict=True):
+                    x.append(batch.column(c)[i].as_py())
+        while waiting:
+            part, lists = waiting.popitem()
+            yield from reduce(part, *lists)
+
+    return scanned.repartition(parts.count, "at").mapInArrow(run, scanned.schema)
+
+
+def _pivots(mass: np.ndarray, fragments: int) -> list[tuple[int, int]]:
+    """(level, n-gram) at which the fragments after the first begin; each fragment has about the same mass."""
+    sums, out = np.concatenate([[0.0], np.cumsum(mass.astype(float))]), []
+    for k in range(1, fragments):
+        want = sums[-1] * k / fragments
+        level = max(min(int(np.searchsorted(sums, want, "right")) - 1, 255), 0)
+        share = (want - sums[level]) / mass[level] if mass[level] else 0.0
+        out.append((level, int(min(share, 1.0) * (2**64 - 2**11))))
+    return out
+
+
+def _prefix_length(n: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    a, b = threshold
+    return n - -(-a * n // b) + 1
+
+
+def _candidates(shared: DataFrame, classes: DataFrame, pivots: list[tuple[int, int]], parts: _Parts, kind, threshold: tuple[int, int]) -> DataFrame:
+    """Of sets with room for shared n-grams in their prefix: list entries (f null) and segments (f and s)."""
+    type_ = to_arrow_type(kind)
+    names = ["v", "rep", "n", "i", "u", "f", "s"]
+    keys = "array({})".format(",".join(map(str, parts.keys.tolist())))
+    place = F.expr(f"{keys}[cast(shiftrightunsigned(c1, {64 - parts.bits}) AS int)]")
+    own = classes.select(F.lit(_DOC).cast("tinyint").alias("kind"), place.alias("at"), F.lit(None).cast("int").alias("part"), col("rep").alias("id"), "n", "c1", "c2", *[F.lit(None).cast("binary").alias(x) for x in ("owners", "lens", "grams", "level")])
 
     def run(batches):
-        blocks = Blocks(True)
+        classes, owners, grams, levels = [], [], [], []
         for batch in batches:
-            ids = batch.column(0)
-            for rows, block in blocks.of(batch.column(1)):
-                wanted = in_bits(_id_hash(ids.slice(rows.start, rows.stop - rows.start)), filled.value)
-                if not wanted.any():
-                    continue
-                at, fragment, segment, signature = [], [], [], []
-                for i, s in enumerate(_sets(block, gram)):
-                    if wanted[i]:
-                        for f, part in enumerate(order.value.cut(s)):
-                            if len(part):
-                                at.append(rows.start + i)
-                                fragment.append(f)
-                                segment.append(signed(part))
-                                signature.append(s.sum(dtype=np.uint64))
-                if at:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(signed(np.array(signature, np.uint64))), pa.array(fragment, pa.int32()), pa.array(segment, pa.list_(pa.int64()))], ["id", "c1", "f", "s"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(f"`{key}`", f"`{text}`").where(col(key).isNotNull()).mapInArrow(run, f"id {kind}, c1 bigint, f int, s array<bigint>")
-
-
-def _id_hash(ids) -> np.ndarray:
-    return mix64(np.asarray(ids).astype(np.int64).view(np.uint64) ^ np.uint64(0xA24BAED4963EE407))
+            kinds = batch.column(0).to_numpy()
+            if (kinds == _DOC).any():
+                classes.append(batch.filter(pa.array(kinds == _DOC)).select([3, 4, 5]))
+            for i in np.flatnonzero(kinds == _SHARED).tolist():
+                part, raw = batch.column(2)[i].as_py(), batch.column(9)[i].as_py()
+                grams.append(parts.whole(part, _from_six([raw])) if part >= 0 else np.frombuffer(raw, "<u8"))
+                owners.append(np.repeat(np.frombuffer(batch.column(7)[i].as_py(), "<u8"), np.frombuffer(batch.column(8)[i].as_py(), "<u4")))
+                levels.append(np.frombuffer(batch.column(10)[i].as_py(), np.uint8))
+        if not grams or not classes:
+            return
+        table = pa.Table.from_batches(classes).combine_chunks()
+        signature = table.column(2).to_numpy().view(np.uint64)
+        by = np.argsort(signature)
+        g, owner, level = np.concatenate(grams), np.concatenate(owners), np.concatenate(levels)
+        del grams, owners, levels
+        order = np.lexsort((g, level, owner))
+        g, owner, level = g[order], owner[order], level[order]
+        # a hot n-gram may come from more than one batch
+        first = _runs(owner, level, g)[:-1]
+        g, owner, level = g[first], owner[first], level[first]
+        runs = _runs(owner)
+        at = by[np.searchsorted(signature[by], owner[runs[:-1]])]
+        n, m = table.column(1).to_numpy()[at], np.diff(runs)
+        alone = n - m
+        slots = np.minimum(_prefix_length(n, threshold) - alone, m)
+        some = np.flatnonzero(slots > 0)
+        for few in np.array_split(some, max(1, len(some) // 2000)):
+            if not len(few):
+                continue
+            start, k = runs[:-1][few], slots[few]
+            rank = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            yield batch_of(g[np.repeat(start, k) + rank], table.column(0).take(pa.array(np.repeat(at[few], k))), np.repeat(n[few], k), np.repeat(alone[few], k) + rank, np.repeat(alone[few], k), None, None)
+            who, fragment, segment = [], [], []
+            for j in few.tolist():
+                a, b = int(runs[j]), int(runs[j + 1])
+                cuts = [a]
+                for lv, v in pivots:
+                    x, y = a + np.searchsorted(level[a:b], lv), a + np.searchsorted(level[a:b], lv, "right")
+                    cuts.append(int(x + np.searchsorted(g[x:y], np.uint64(v))))
+                for f, (x, y) in enumerate(zip(cuts, [*cuts[1:], b], strict=True)):
+                    if y > x:
+                        who.append(int(at[j]))
+                        fragment.append(f)
+                        segment.append(signed(g[x:y]))
+            yield batch_of(None, table.column(0).take(pa.array(who, pa.int64())), None, None, None, np.array(fragment, np.int32), pa.array(segment, pa.list_(pa.int64())))
+
+    def batch_of(v, rep, n, i, u, f, s):
+        rep = rep.combine_chunks() if isinstance(rep, pa.ChunkedArray) else rep
+        whole = lambda x, t: pa.nulls(len(rep), t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t)
+        return pa.RecordBatch.from_arrays([whole(None if v is None else signed(v), pa.int64()), rep.cast(type_), whole(n, pa.int64()), whole(i, pa.int64()), whole(u, pa.int64()), whole(f, pa.int32()), whole(s, pa.list_(pa.int64()))], names)
+
+    both = shared.unionByName(own).repartition(parts.count, "at")
+    return both.mapInArrow(run, f"v bigint, rep {kind.simpleString()}, n bigint, i bigint, u bigint, f int, s array<bigint>")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -271,92 +388,68 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(col("v").alias("node"), col("u").alias("component")).unionAll(roots)
 
 
-def _relabelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Lists with the components that new links merge."""
-    merged = written(components(links.select(col("ca").alias("a"), col("cb").alias("b"))))
-    out = written(lists.join(merged.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*lists.columns))
-    discarded(merged)
-    discarded(links)
-    return out
-
-
 @tidied
 def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document its id, n_shingles and component_id."""
-    p, q = threshold
-    sparked = docs.sparkSession.sparkContext
-    kind = docs.schema[key].dataType.simpleString()
-    scanned = written(_scan(docs, key, text, gram))
-    sets = scanned.where("part IS NULL").select("id", "n", "c1", "c2")
-    order = sparked.broadcast(_Order(_table_of_counts(scanned.where("part IS NOT NULL")), FRAGMENTS))
-    filled = sparked.broadcast(merged_bits(_prefixes(docs, order, key, text, gram, threshold)))
+    (p, q), spark = threshold, docs.sparkSession
+    kind, parts = docs.schema[key].dataType, _Parts(spark)
+    counted = written(_counted(_scan(docs, key, text, gram, parts), parts, kind))
+    sets = counted.where(f"kind = {_DOC}").select("id", "n", "c1", "c2")
+    mass = np.zeros(256)
+    for row in counted.where(f"kind = {_LEVELS}").select("grams").toLocalIterator():
+        mass += np.frombuffer(row.grams, "<i8")
     classes = written(sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep")))
-    found = _lists(docs, order, filled, key, text, gram, threshold).join(classes, ["n", "c1", "c2"]).select("v", "rep", "n", "i", col("rep").alias("comp"))
-    every = written(found)
-    shared = every.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    lists = written(every.join(shared, "v"))
-    discarded(every)
-    by_rep = classes.select(col("rep").alias("id"), "c1")
-
-    def hashed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(_id_hash(batch.column(0))))], ["v"])
+    found = written(_candidates(counted.where(f"kind = {_SHARED}"), classes, _pivots(mass, FRAGMENTS), parts, kind, threshold))
+    sets = written(sets)
+    discarded(counted)
+    segments = found.where("f IS NOT NULL").select(col("rep").alias("id"), "f", "s")
+    lists = found.where("f IS NULL").select("v", "rep", "n", "i", "u", col("rep").alias("comp"))
+
+    fits = lambda na, ia, nb, ib: (q * na >= p * nb) & (q * nb >= p * na) & ((p + q) * F.least(na - ia, nb - ib) >= p * (na + nb))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs; only the segments of their documents are made."""
-        pairs = written(likely(pairs))
-        ids = pairs.select(col("a").alias("id")).unionAll(pairs.select(col("b").alias("id"))).distinct()
-        candidates = sparked.broadcast(merged_bits(ids.mapInArrow(hashed, "v bigint")))
-        own = written(ids.join(by_rep, "id"))
-        segments = written(_segments(docs, order, candidates, key, text, gram).join(own, ["id", "c1"], "left_semi").select("id", "f", "s"))
-        links = written(linked(pairs, segments, threshold))
-        for x in (pairs, own, segments):
-            discarded(x)
-        candidates.unpersist()
+        pairs = written(pairs)
+        links = written(linked(pairs, segments, threshold).select("a", "b", "ca", "cb"))
+        discarded(pairs)
         return links
 
-    entry = lists.select("v", "rep", "i")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Positional filter: what both sets have behind the last n-gram that their prefixes share bounds the overlap."""
-        mine = pairs.join(entry.select("v", col("rep").alias("a"), col("i").alias("ia")), "a")
-        both = mine.join(entry.select("v", col("rep").alias("b"), col("i").alias("ib")), ["b", "v"])
-        met = both.groupBy(*pairs.columns).agg(F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-        most = col("k") + F.least(col("na") - col("ia"), col("nb") - col("ib")) - 1
-        return met.where(q * most >= p * (col("na") + col("nb") - most)).select(*pairs.columns)
-
-    fits = (q * col("na") >= p * col("nb")) & (q * col("nb") >= p * col("na"))
-    for turn in range(ROUNDS):
-        open_lists = lists.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "comp")).alias("m")).where("low <> high").select("v", "m")
-        # pairs that the lists still ask for, were none of them reduced
-        sizes = lists.join(open_lists.select("v"), "v").groupBy("v", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("v").agg(F.sum("k").alias("t"), F.sum(col("k") * col("k")).alias("s"))
-        asked = sizes.agg(F.sum((col("t") * col("t") - col("s")) / 2)).first()[0]
-        if not asked or asked <= 2 * lists.count():
-            break
-        pairs = lists.join(open_lists, "v").where("comp <> m.comp").select(col("rep").alias("a"), col("m.rep").alias("b"), col("n").alias("na"), col("m.n").alias("nb"), col("comp").alias("ca"), col("m.comp").alias("cb")).where(fits).distinct()
+    every = None
+    for _ in range(ROUNDS):
+        centre = F.min(F.struct("u", "rep", "n", "i", "comp")).alias("m")
+        open_ = lists.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), centre).where("low <> high").select("v", "m")
+        met = lists.join(open_, "v").where(col("comp") != col("m.comp")).where(fits(col("n"), col("i"), col("m.n"), col("m.i")))
+        pairs = met.select(col("rep").alias("a"), col("m.rep").alias("b"), col("n").alias("na"), col("m.n").alias("nb"), col("comp").alias("ca"), col("m.comp").alias("cb")).distinct()
         links = verified(pairs)
         if links.isEmpty():
             break
-        lists = _relabelled(lists, links)
-    open_lists = lists.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("v")
-    left = lists.join(open_lists, "v")
-    side = lambda x: left.select("v", col("rep").alias(x), col("n").alias(f"n{x}"), col("comp").alias(f"c{x}"))
-    pairs = side("a").join(side("b"), "v").where((col("ca") < col("cb")) & fits).select("a", "b", "na", "nb", "ca", "cb").distinct()
-    links = verified(pairs)
-    if not links.isEmpty():
-        lists = _relabelled(lists, links)
-    labels = lists.select("rep", "comp").distinct()
-    member = sets.join(classes, ["n", "c1", "c2"], "left").join(labels, "rep", "left")
-    return member.select(col("id").alias(key), col("n").alias("n_shingles"), F.coalesce("comp", "rep", "id").cast(kind).alias("component_id"))
+        every = links if every is None else every.unionAll(links)
+        # lists that lie in one component are done, and each component of a list is known by one label
+        merged = written(components(links.select(col("ca").alias("a"), col("cb").alias("b"))))
+        labelled = lists.join(open_.select("v"), "v").join(merged.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*lists.columns)
+        left = written(labelled)
+        lists = left.join(left.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("v"), "v")
+        asked = lists.groupBy("v", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("v").agg(F.sum("k").alias("t"), F.sum(col("k") * col("k")).alias("s"))
+        total = asked.agg(F.sum((col("t") * col("t") - col("s")) / 2), F.sum("t")).first()
+        if not total[0] or total[0] <= 8 * total[1]:
+            break
+    side = lambda x: lists.select("v", col("rep").alias(x), col("n").alias(f"n{x}"), col("i").alias(f"i{x}"), col("comp").alias(f"c{x}"))
+    met = side("a").join(side("b"), "v").where((col("ca") < col("cb")) & fits(col("na"), col("ia"), col("nb"), col("ib")))
+    # what both have behind the last n-gram that their prefixes share bounds the overlap, too
+    pairs = met.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("k"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    most = col("k") + F.least(col("na") - col("ia"), col("nb") - col("ib")) - 1
+    links = verified(pairs.where(q * most >= p * (col("na") + col("nb") - most)).select("a", "b", "na", "nb", "ca", "cb"))
+    every = links if every is None else every.unionAll(links)
+    labels = written(components(every.select("a", "b")))
+    member = sets.join(classes, ["n", "c1", "c2"], "left").join(labels, col("rep") == col("node"), "left")
+    return member.select(col("id").alias(key), col("n").alias("n_shingles"), F.when(col("id").isNotNull(), F.coalesce("component", "rep", "id")).cast(kind).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns; one row of each id stays."""
-    leaders = component_ids(docs, key, text, gram, threshold).where(col(key) == col("component_id")).select(key)
-    dropped = component_ids_dropped(docs, leaders, key)
-    return docs.join(dropped, key, "left_anti")
+    """The documents whose id is the smallest of its component, with all their columns.
 
-
-def component_ids_dropped(docs: DataFrame, leaders: DataFrame, key: str) -> DataFrame:
-    """Ids that aren't leaders."""
-    return docs.select(key).where(col(key).isNotNull()).join(leaders, key, "left_anti").distinct()
+    Rows without an id stay. Of rows that share an id all stay if one of them is a
+    leader, else none.
+    """
+    ids, one = component_ids(docs.select(f"`{key}`", f"`{text}`"), key, text, gram, threshold), unused(docs, "leader")
+    followers = ids.where(col(key).isNotNull()).groupBy(col(key).alias(one)).agg(F.max(col(key) == col("component_id")).alias("leads")).where("NOT leads").select(one)
+    return docs.join(followers, col(key) == col(one), "left_anti")
