@@ -54,7 +54,7 @@ THRESHOLD = (4, 5)
 #: Fragments of the global order, and most rounds of centres.
 FRAGMENTS, ROUNDS = 8, 6
 #: N-grams packed at a time, and sets of such a batch from which an n-gram counts as hot.
-HELD, HOT = 1 << 22, 64
+HELD, HOT = 1 << 20, 32
 _HOT_LEVEL = 255
 _DOC, _GRAMS, _SHARED, _LEVELS = range(4)
 
