@@ -8,7 +8,10 @@ follows a boundary doesn't depend on what precedes it. Chunks are stitched at th
 first common boundary; where the overlap holds none (a pre-token longer than the
 overlap), the chunk is split again from the last sure boundary. The last
 pre-token of a chunk is sure only if another follows it and a run of white space
-doesn't reach the chunk's end, as the pattern looks ahead there.
+doesn't reach the chunk's end, as the pattern looks ahead there. Where a pre-token
+spans whole chunks, those inside it are passed over: each new attempt from the
+last sure boundary is twice as long as the one before, so that the time stays in
+proportion to the text. Chunks are short, so that most documents have several.
 
 Each pre-token is encoded by the ranks; recent ones are remembered, within a
 bound. Decoding looks the ids up and concatenates raw bytes, so every sequence
@@ -34,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 #: Pre-tokens remembered in a Python worker.
 REMEMBERED = 300_000
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 1024, 96
 
 #: Texts of these characters can be split by the faster library below: of the
 #: ASCII, Latin-1 and Latin Extended-A letters, digits, punctuation and white space.
@@ -81,10 +84,11 @@ class Splitter:
         """Pre-tokens of ``text`` from those of its chunks, each split on its own."""
         step, done = self.chunk - self.overlap, []
         at = 0  # the last sure boundary
+        wait = 0  # no use to split again from there before a chunk ends here
         for k, part in enumerate(parts):
             begin, last = k * step, k == len(parts) - 1
             end = min(begin + self.chunk, len(text))
-            if at >= end:
+            if at >= end or (end < wait and not last):
                 continue
             place, i = begin, 0
             while place < at and i < len(part):
@@ -105,6 +109,7 @@ class Splitter:
                     stop -= 1
                     reach -= len(part[stop])
             taken = part[i:stop]
+            wait = 0 if taken else at + 2 * (end - at)
             done += taken
             at = place + sum(map(len, taken))
         if at < len(text):
@@ -137,9 +142,9 @@ class Codec:
         self.memo = _Memo(self.encode_piece, remembered)
 
     def encode_piece(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8", "replace")
-        known = self.ranks.get(raw)
-        return [known] if known is not None else self.encoding._encode_single_piece(raw)
+        known = self.ranks.get(piece.encode("utf-8", "replace"))
+        # a pre-token on its own is one match of the pattern
+        return [known] if known is not None else self.encoding.encode_ordinary(piece)
 
     def encode(self, text: str | None) -> list[int]:
         memo = self.memo

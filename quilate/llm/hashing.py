@@ -14,6 +14,8 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quilate.llm.common import mix64
 
@@ -117,40 +119,37 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def merged_bits(hashes, segments: int = 256, bits: int = 1 << 19):
-    """A Bloom filter of bounded size over a column of 64-bit hashes, as bytes on the driver.
+#: Bits of a filter, as a power of two, and bits of a piece of it.
+FILTER, PIECE = 27, 1 << 15
 
-    ``hashes``: DataFrame with one bigint column ``v``. Each segment of the filter is
-    filled by the task that holds the hashes of that segment, so that the driver only
-    ever collects ``segments * bits / 8`` bytes, whatever the number of hashes. A fuller filter
-    lets more strangers pass but never drops a member.
-    """
-    import pandas as pd
-    from pyspark.sql import functions as F
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, on = pdf["v"].to_numpy().view(np.uint64), np.zeros(bits, bool)
-        for p in _probes(v, bits):
-            on[p] = True
-        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "part": [np.packbits(on).tobytes()]})
-
-    dealt = hashes.select("v", F.shiftrightunsigned("v", 64 - segments.bit_length() + 1).cast("int").alias("segment"))
-    out = np.zeros((segments, bits // 8), np.uint8)
-    for row in dealt.groupBy("segment").applyInPandas(fill, "segment int, part binary").collect():
-        out[row.segment] = np.frombuffer(row.part, np.uint8)
-    return out
+
+def scrambled(v: np.ndarray) -> np.ndarray:
+    """Hashes as a filter takes them: those chosen for being small are spread evenly again."""
+    return mix64(v ^ _BASES[2])
 
 
-def _probes(v: np.ndarray, bits: int) -> list[np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return [(v & mask).astype(np.int64), ((v >> np.uint64(24)) & mask).astype(np.int64)]
+def merged_bits(hashes: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """A Bloom filter of fixed size over a column ``v`` of scrambled hashes, as bytes on the driver.
+
+    Partial bitmaps are filled before the shuffle and merged after it, by built-in
+    aggregates, so that the driver only ever collects ``2 ** bits / 8`` bytes,
+    whatever the number of hashes. A fuller filter lets more strangers pass but
+    never drops a member.
+    """
+    mask = F.lit((1 << bits) - 1)
+    places = hashes.select(F.explode(F.array(F.col("v").bitwiseAND(mask), F.shiftrightunsigned("v", 32).bitwiseAND(mask))).alias("p"))
+    pieces = places.groupBy(F.shiftright("p", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(PIECE - 1))).alias("part"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in pieces.collect():
+        at = row.piece * PIECE // 8
+        out[at : at + PIECE // 8] = np.frombuffer(row.part, np.uint8)
+    return out
 
 
 def in_bits(v: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Which hashes may be members."""
-    segments, bits = filled.shape[0], filled.shape[1] * 8
-    segment = (v >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int64)
-    on = np.ones(len(v), bool)
-    for p in _probes(v, bits):
-        on &= (filled[segment, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+    """Which scrambled hashes may be members."""
+    mask, on = np.uint64(len(filled) * 8 - 1), np.ones(len(v), bool)
+    for p in (v & mask, (v >> np.uint64(32)) & mask):
+        p = p.astype(np.int64)
+        on &= (filled[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return on

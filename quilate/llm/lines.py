@@ -79,9 +79,19 @@ def _ordered(lines: DataFrame, rarity: str) -> DataFrame:
 
 
 def _bitmap() -> dict[str, Column]:
-    """Parities of the words that fall on each of 64 bits, and for larger sets on each of 64 others."""
-    parity = lambda shift: f"aggregate(s, 0L, (x, h) -> x ^ shiftleft(1L, cast(shiftright(h, {shift}) & 63 AS int)))"
-    return {"w0": F.expr(parity(0)), "w1": F.expr(f"if(n > 64, {parity(6)}, 0L)")}
+    """Parities of the words that fall on each bit: 64 bits for sets of up to 64 words, 128 up to 128, 256 beyond."""
+    some = lambda q, mask: f"aggregate(s, 0L, (x, h) -> if(h & {mask} = {q << 6}, x ^ shiftleft(1L, cast(h & 63 AS int)), x))"
+    every = "aggregate(s, 0L, (x, h) -> x ^ shiftleft(1L, cast(h & 63 AS int)))"
+    by_size = lambda *w: F.expr(f"CASE WHEN n <= 64 THEN {w[0]} WHEN n <= 128 THEN {w[1]} ELSE {w[2]} END")
+    return {"w0": by_size(every, some(0, 64), some(0, 192)), "w1": by_size("0L", some(1, 64), some(1, 192)), "w2": by_size("0L", "0L", some(2, 192)), "w3": by_size("0L", "0L", some(3, 192))}
+
+
+def _unlike() -> Column:
+    """Bits in which the bitmaps w and x differ, both folded to the size of the smaller."""
+    differ = [col(f"w{q}").bitwiseXOR(col(f"x{q}")) for q in range(4)]
+    even, odd = differ[0].bitwiseXOR(differ[2]), differ[1].bitwiseXOR(differ[3])
+    smaller = F.least("n", "m")
+    return F.when(smaller <= 64, F.bit_count(even.bitwiseXOR(odd))).when(smaller <= 128, F.bit_count(even) + F.bit_count(odd)).otherwise(sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0])))
 
 
 @tidied
@@ -93,19 +103,17 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     apart = b * col("n") < a * (col("n") + 1)
     prefix = F.slice("s", F.lit(1), F.when(apart, 0).otherwise(col("n") - F.ceil(col("n") * a / b) + 1).cast("int"))
     lines = _ordered(_lines(docs, key, text), rarity).withColumns(_bitmap())
-    full = written(lines.select(places.of("d", "p").alias("place"), "s1", "s2", "n", "w0", "w1", prefix.alias("head")))
-    classes = written(full.groupBy("s1", "s2", "n", "w0", "w1", "head").agg(F.min("place").alias("place"), F.count("*").alias("many")))
+    full = written(lines.select(places.of("d", "p").alias("place"), "s1", "s2", "n", *_bitmap(), prefix.alias("head")))
+    classes = written(full.groupBy("s1", "s2", "n", *_bitmap(), "head").agg(F.min("place").alias("place"), F.count("*").alias("many")))
     slim = written(full.select("place", "s1", "s2"))
     discarded(full)
-    entries = bucketed(classes.select("place", "n", "w0", "w1", F.posexplode("head").alias("i", "v")), "v")
+    entries = bucketed(classes.select("place", "n", *_bitmap(), F.posexplode("head").alias("i", "v")), "v")
 
-    parts = {"place": "before", "n": "m", "i": "j", "w0": "x0", "w1": "x1"}
-    unlike = lambda w, x: F.bit_count(col(w).bitwiseXOR(col(x)))
-    differ = F.greatest(unlike("w0", "x0"), F.when((col("n") > 64) & (col("m") > 64), unlike("w1", "x1")).otherwise(0))
+    parts = {"place": "before", "n": "m", "i": "j"} | {f"w{q}": f"x{q}" for q in range(4)}
     fits = (
         (col("before") < col("place")) & (b * col("n") >= a * col("m")) & (b * col("m") >= a * col("n"))
         & ((a + b) * F.least(col("n") - col("i"), col("m") - col("j")) >= a * (col("n") + col("m")))
-        & ((a + b) * differ <= (b - a) * (col("n") + col("m")))
+        & ((a + b) * _unlike() <= (b - a) * (col("n") + col("m")))
     )
 
     def sets_of(at: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ Each document gets a few metrics. Fixed cutoffs are few (the base rule); all
 others are fences from the quantiles of the metric among documents of the same
 language and source. The quantiles come from mergeable sketches (KLL), one per
 language, source and metric, built with partial sketches before the shuffle.
-Groups of few documents take the sketches of their language merged, and where
-those are few too, all sketches merged. The table of fences is written, and
+Quantiles of small groups say little, so each group's are blended with those of its
+language in the proportion of its size to ``BLEND`` documents, and a language's in
+the same way with those of all documents: a group of n weighs n / (n + BLEND).
+There is no size at which a rule changes. The table of fences is written, and
 documents are filtered by a join with it.
 
 The fence of a metric is its median plus a multiple of the spread between its
@@ -34,8 +36,8 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: Per adaptive metric: spreads above the median, and the least distance from it.
 #: ``mean_chars`` has a lower fence too.
 FENCES = {"symbols_per_word": (4.0, 0.25), "dup_lines": (4.0, 0.5), "repeat_words": (4.0, 0.25), "mean_chars": (6.0, 3.0)}
-#: Documents that a group needs for fences of its own, and the sketches' size.
-MIN_GROUP, SKETCH = 200, 4096
+#: Documents at which a group's own quantiles weigh half, and the sketches' size.
+BLEND, SKETCH = 50, 4096
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -54,7 +56,7 @@ def with_metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
     lines = F.filter(F.split(x, "\n"), lambda line: F.length(_without(line, _GAPS)) > 0)
     hashed = plain.withColumns({
         "_q_hashes": F.transform(F.filter(F.split(x, WORD_GAP), lambda w: w != ""), lambda w: F.xxhash64(w)),
-        "_q_all_lines": F.transform(lines, lambda line: F.struct(F.xxhash64(line), F.xxhash64(line, F.lit(1)))),
+        "_q_all_lines": F.transform(lines, lambda line: F.struct(F.xxhash64(F.lit(1), line), F.xxhash64(F.lit(2), line))),
     })
     n = F.size("_q_hashes")
     # the place of a window needs this many bits, its hash keeps the others
@@ -105,28 +107,24 @@ def sketches(metrics: DataFrame, lang: str = "lang", source: str = "source", siz
     return metrics.where("n_words > 0").groupBy(F.col(lang).alias("_q_lang"), F.col(source).alias("_q_source")).agg(F.count("*").alias("_q_n"), *aggregates)
 
 
-def fences(sketched: DataFrame, min_group: int = MIN_GROUP, size: int = SKETCH, limits: dict[str, tuple[float, float]] = FENCES) -> DataFrame:
+def fences(sketched: DataFrame, blend: int = BLEND, size: int = SKETCH, limits: dict[str, tuple[float, float]] = FENCES) -> DataFrame:
     """Lower and upper fence of each metric for each language and source."""
-    merged = sketched.groupBy("_q_lang").agg(F.sum("_q_n").alias("_q_n"), *[F.kll_merge_agg_double(m, size).alias(m) for m in limits])
-    packed = lambda df, name, *keys: df.select(*keys, F.struct("_q_n", *limits).alias(name))
-    by_lang = packed(merged, "by_lang", F.col("_q_lang").alias("_q_l"))
-    out = packed(sketched, "own", "_q_lang", "_q_source").join(by_lang, F.col("_q_lang").eqNullSafe(F.col("_q_l")))
-    out = out.select("_q_lang", "_q_source", F.when(F.col("own._q_n") >= min_group, F.col("own")).when(F.col("by_lang._q_n") >= min_group, F.col("by_lang")).alias("s"))
-    # the fences of the whole corpus are a few numbers
-    whole = sketched.agg(F.sum("_q_n").alias("_q_n"), *[F.kll_merge_agg_double(m, size).alias(m) for m in limits])
-    at = lambda m, q: F.kll_sketch_get_quantile_double(m, F.lit(q))
-    quartiles = lambda of: [at(of(m), q).alias(f"{m}_{q}".replace(".", "")) for m in limits for q in (0.25, 0.5, 0.75)]
-    common = whole.where("_q_n > 0").select(*quartiles(F.col)).first()
-    if common is not None:
-        out = out.select("_q_lang", "_q_source", *[F.coalesce(c, F.lit(common[i])).alias(f"_q_{i}") for i, c in enumerate(quartiles(lambda m: F.col(f"s.{m}")))])
-    else:
-        out = out.select("_q_lang", "_q_source", *[F.lit(0.0).alias(f"_q_{i}") for i in range(3 * len(limits))])
+    wanted = [(m, q) for m in limits for q in (0.25, 0.5, 0.75)]
+    quartiles = lambda prefix: [F.kll_sketch_get_quantile_double(m, F.lit(q)).alias(f"{prefix}{i}") for i, (m, q) in enumerate(wanted)]
+    merged = [F.sum("_q_n").alias("_q_n"), *[F.kll_merge_agg_double(m, size).alias(m) for m in limits]]
+    # the quartiles of the whole corpus are a few numbers
+    common = sketched.agg(*merged).where("_q_n > 0").select(*quartiles("")).first() or [0.0] * len(wanted)
+    by_lang = sketched.groupBy(F.col("_q_lang").alias("_q_l")).agg(*merged).select("_q_l", F.col("_q_n").alias("_q_nl"), *quartiles("_q_b"))
+    own = sketched.select("_q_lang", "_q_source", "_q_n", *quartiles("_q_a")).join(by_lang, F.col("_q_lang").eqNullSafe(F.col("_q_l")))
+    share = lambda n: F.col(n) / (F.col(n) + F.lit(blend))
+    mixed = lambda w, a, b: w * a + (1 - w) * b
+    at = [mixed(share("_q_n"), F.col(f"_q_a{i}"), mixed(share("_q_nl"), F.col(f"_q_b{i}"), F.lit(common[i]))) for i in range(len(wanted))]
     columns = []
-    for i, (m, (spreads, margin)) in enumerate(limits.items()):
-        low, middle, high = (F.col(f"_q_{3 * i + k}") for k in range(3))
+    for k, (m, (spreads, margin)) in enumerate(limits.items()):
+        low, middle, high = at[3 * k : 3 * k + 3]
         reach = F.greatest(F.lit(spreads) * (high - low), F.lit(margin))
         columns += [(middle - reach).alias(f"_q_low_{m}"), (middle + reach).alias(f"_q_high_{m}")]
-    return out.select("_q_lang", "_q_source", *columns)
+    return own.select("_q_lang", "_q_source", *columns)
 
 
 def judged(metrics: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", names: dict[str, tuple[float, float]] = FENCES) -> DataFrame:

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from quilate.llm.common import tidied, written
-from quilate.llm.hashing import Block, Blocks, in_bits, merged_bits, signed
+from quilate.llm.common import Places, tidied, unused, written
+from quilate.llm.hashing import Block, Blocks, in_bits, merged_bits, scrambled, signed
 
 SIZE = 20
 
@@ -75,18 +75,14 @@ def _repeated(docs: DataFrame, text: str, size: int) -> DataFrame:
                     most = np.maximum(most[:-k], most[k:])
                     k *= 2
                 v, c = np.unique(grams[(most == grams) & (most > 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(c.astype(np.int64))], ["v", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(scrambled(v))), pa.array(c.astype(np.int64))], ["v", "c"])
 
     return docs.select(f"`{text}`").mapInArrow(run, "v bigint, c bigint").groupBy("v").agg(F.sum("c").alias("c")).where("c > 1").select("v")
 
 
 def first_places(docs: DataFrame, filled, key: str, text: str, size: int) -> DataFrame:
     """Per document the sorted starts of the windows that start nowhere earlier, among those in the filter."""
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        low = high = 0
-    # (id, place) as one number keeps the order and can be aggregated in place
-    one = "bigint" if (high - low + 1) < 2**33 else "decimal(38,0)"
+    places = Places(docs, key)
 
     def run(batches):
         blocks = Blocks(False)
@@ -94,27 +90,24 @@ def first_places(docs: DataFrame, filled, key: str, text: str, size: int) -> Dat
             ids = batch.column(0)
             for rows, block in blocks.of(batch.column(1)):
                 _, least, inside, _ = _minimisers(block, size)
-                at = np.flatnonzero(inside & in_bits(least, filled.value)) if len(least) else np.zeros(0, np.int64)
+                at = np.flatnonzero(inside & in_bits(scrambled(least), filled.value)) if len(least) else np.zeros(0, np.int64)
                 owner = np.repeat(np.arange(len(block.first) - 1), np.diff(block.first))[at]
                 h1, h2 = block.windows(size)[at], block.windows(size, 1)[at]
                 names = ids.take(pa.array(owner + rows.start, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), names, pa.array((at - block.first[owner]).astype(np.int32))], ["h1", "h2", "d", "p"])
 
     kind = docs.schema[key].dataType.simpleString()
-    place = ((F.col("d").cast(one) - F.lit(low).cast(one)) * F.lit(2**30).cast(one) + F.col("p")).cast(one)
-    firsts = docs.select(f"`{key}`", f"`{text}`").where(F.col(key).isNotNull()).mapInArrow(run, f"h1 bigint, h2 bigint, d {kind}, p int").groupBy("h1", "h2").agg(F.min(place).alias("m"))
-    if one == "bigint":
-        firsts = firsts.select((F.shiftright("m", 30) + F.lit(low)).cast(kind).alias("d"), F.col("m").bitwiseAND(F.lit(2**30 - 1)).cast("int").alias("p"))
-    else:
-        firsts = firsts.select((F.floor(F.col("m") / F.lit(2**30).cast("decimal(20,0)")).cast("decimal(38,0)") + F.lit(low)).cast(kind).alias("d"), (F.col("m") % F.lit(2**30).cast("decimal(20,0)")).cast("int").alias("p"))
-    return firsts.groupBy(F.col("d").alias(key)).agg(F.collect_list("p").alias("_firsts"))
+    windows = docs.select(f"`{key}`", f"`{text}`").where(F.col(key).isNotNull()).mapInArrow(run, f"h1 bigint, h2 bigint, d {kind}, p int")
+    firsts = windows.groupBy("h1", "h2").agg(F.min(places.of("d", "p")).alias("m")).select(places.document("m").alias("d"), places.number("m").alias("p"))
+    return firsts.groupBy("d").agg(F.collect_list("p").alias("firsts"))
 
 
 @tidied
 def _with_firsts(docs: DataFrame, key: str, text: str, size: int):
     filled = docs.sparkSession.sparkContext.broadcast(merged_bits(_repeated(docs.where(F.col(key).isNotNull()), text, size)))
-    firsts = written(first_places(docs, filled, key, text, size))
-    return docs.join(firsts.hint("shuffle_hash"), key, "left"), filled
+    one, name = unused(docs, "first_id"), unused(docs, "firsts")
+    firsts = written(first_places(docs, filled, key, text, size)).withColumnsRenamed({"d": one, "firsts": name})
+    return docs.join(firsts.hint("shuffle_hash"), F.col(key) == F.col(one), "left"), name, filled
 
 
 def _kept(block: Block, size: int, firsts: list[np.ndarray | None], filled: np.ndarray) -> np.ndarray:
@@ -123,7 +116,7 @@ def _kept(block: Block, size: int, firsts: list[np.ndarray | None], filled: np.n
     n = len(block.words)
     gone = np.zeros(n + 1, np.int64)
     if len(least):
-        bad = inside & in_bits(least, filled)
+        bad = inside & in_bits(scrambled(least), filled)
         for i, own in enumerate(firsts):
             if own is not None:
                 bad[own + block.first[i]] = False
@@ -135,9 +128,9 @@ def _kept(block: Block, size: int, firsts: list[np.ndarray | None], filled: np.n
 
 
 def _pass(docs: DataFrame, key: str, text: str, size: int, columns: list[str], schema, finish) -> DataFrame:
-    joined, filled = _with_firsts(docs, key, text, size)
+    joined, name, filled = _with_firsts(docs, key, text, size)
     kept = [c for c in columns if c != text]
-    source = joined.select(*[f"`{c}`" for c in kept], f"`{text}`", (F.col("_firsts") if key in docs.columns else F.lit(None)).alias("_firsts"), F.col(key).isNull().alias("_none"))
+    source = joined.select(*[f"`{c}`" for c in kept], f"`{text}`", name, F.col(key).isNull().alias(unused(joined, "none")))
     k = len(kept)
 
     def run(batches):
