@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quilate.llm.common import mix64
 
 #: Bytes of text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -57,27 +57,54 @@ def _spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray, powers: _Powe
     return (sums[end] - sums[begin]) * powers.down[begin]
 
 
+def _words(data: np.ndarray, starts: np.ndarray, lower: bool, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of the words of ``data``; no word crosses a place in ``starts`` or an end."""
+    gap = _GAP[data]
+    fresh = np.empty(len(data) + 1, bool)
+    fresh[0] = fresh[-1] = True
+    fresh[1:-1] = gap[:-1]
+    fresh[starts] = True  # a text's first byte follows no word of its own
+    begin = np.flatnonzero(fresh[:-1] & ~gap)
+    fresh[:-1] |= gap
+    fresh[starts] = True
+    end = np.flatnonzero(fresh[1:] & ~gap) + 1
+    with np.errstate(over="ignore"):
+        h = _spans((_LOWERED if lower else _BYTES)[data], begin, end, powers)
+        return begin, end, mix64(h + (end - begin).astype(np.uint64) * _BASES[1])
+
+
+def _cuts(data: np.ndarray) -> list[int]:
+    """Places between words that part ``data`` into stretches of about ``BLOCK_BYTES``."""
+    out, step = [0], 4096
+    while out[-1] < len(data):
+        at = out[-1] + BLOCK_BYTES
+        while at < len(data):
+            near = _GAP[data[at : at + step]]
+            if near.any():
+                at += int(near.argmax())
+                break
+            at += step
+        out.append(min(at, len(data)))
+    return out
+
+
 class Block:
-    """Words of a run of texts: ``words`` are hashes, text i has words first[i]:first[i + 1]."""
+    """Words of a run of texts: ``words`` are hashes, text i has words first[i]:first[i + 1].
+
+    A long text is hashed in stretches that end between words, so that its memory
+    follows its words, not its bytes.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, powers: list[_Powers]):
         self.data, self.offsets, self._powers = data, offsets, powers
-        gap = _GAP[data]
-        before = np.empty(len(data) + 1, bool)
-        before[0] = True
-        before[1:] = gap
-        starts = offsets[:-1][offsets[:-1] < len(data)]
-        before[starts] = True  # a text's first byte follows no word of its own
-        self.begin = np.flatnonzero(before[:-1] & ~gap)
-        after = np.empty(len(data) + 1, bool)
-        after[-1] = True
-        after[:-1] = gap
-        after[starts] = True
-        self.end = np.flatnonzero(after[1:] & ~gap) + 1
+        starts, found = offsets[:-1][offsets[:-1] < len(data)], []
+        cuts = _cuts(data) if len(data) > 2 * BLOCK_BYTES else [0, len(data)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = starts[(starts >= a) & (starts < b)] - a
+            begin, end, words = _words(data[a:b], own, lower, powers[0])
+            found.append((begin + a, end + a, words))
+        self.begin, self.end, self.words = (np.concatenate(x) for x in zip(*found, strict=True))
         self.first = np.searchsorted(self.begin, offsets)
-        with np.errstate(over="ignore"):
-            h = _spans((_LOWERED if lower else _BYTES)[data], self.begin, self.end, powers[0])
-            self.words = mix64(h + (self.end - self.begin).astype(np.uint64) * _BASES[1])
 
     def windows(self, size: int, salt: int = 0) -> np.ndarray:
         """Hash of the window that starts at each word; those of the last ``size - 1`` words of a text reach beyond it."""

@@ -13,7 +13,8 @@ judged on the input, not on what is left.
    enough; in a class that stays all lines but the first are removed.
 3. Classes that match share a word among the rarest ``n - ceil(t n) + 1`` of each
    (prefix filter). The entries (word, class) are written once, in buckets of the
-   word, so that no later join on the word shuffles or sorts them. Sets so small
+   word, so that no later join on the word shuffles or sorts them, and in two shares
+   one after the other, which halves the disk that they take. Sets so small
    that only equal ones reach the threshold (up to three words at 0.8) need none.
 4. Candidates must fit in length, in position (what both sets have from their
    shared word on bounds the overlap) and in their bitmaps: a class's bitmap holds
@@ -38,6 +39,8 @@ empty result. Ids are integers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
@@ -46,7 +49,9 @@ from quilate.llm.common import WORD_GAP, Places, bucketed, discarded, settings,
 
 THRESHOLD = (4, 5)
 #: Buckets of the word counts; classes that make a list long, and rounds of comparison with early classes of long lists.
-BUCKETS, LONG, ROUNDS = 1 << 16, 64, 3
+BUCKETS, LONG, ROUNDS = 1 << 18, 64, 3
+#: Shares of the lists, worked on one after the other.
+SHARES = 2
 _GAPS = " \t\x0b\f\r"
 #: Lets the optimiser filter joins of any size by a Bloom filter of the smaller side.
 _BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0"}
@@ -107,8 +112,6 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     classes = written(full.groupBy("s1", "s2", "n", *_bitmap(), "head").agg(F.min("place").alias("place"), F.count("*").alias("many")))
     slim = written(full.select("place", "s1", "s2"))
     discarded(full)
-    entries = bucketed(classes.select("place", "n", *_bitmap(), F.posexplode("head").alias("i", "v")), "v")
-
     parts = {"place": "before", "n": "m", "i": "j"} | {f"w{q}": f"x{q}" for q in range(4)}
     fits = (
         (col("before") < col("place")) & (b * col("n") >= a * col("m")) & (b * col("m") >= a * col("n"))
@@ -138,39 +141,43 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     # of rows that share an id, different lines may have one place: they are never taken as settled by it
     twins = docs.groupBy(col(key).alias("twin")).count().where("count > 1").select("twin")
 
-    def settled(fallen: DataFrame) -> DataFrame:
-        """Entries (v, place) of fallen classes."""
+    def settled(fallen: DataFrame, share: int) -> DataFrame:
+        """Entries (v, place) of fallen classes in a share of the lists."""
         single = fallen.join(twins, places.document("place") == col("twin"), "left_anti").select("s1", "s2")
         with settings(spark, **_BLOOM):
-            return written(classes.join(single, ["s1", "s2"]).select(F.explode("head").alias("v"), "place"))
-
-    with settings(spark, **_BY_WORD):
-        # in each round a long list's centre is its next later class
-        long = written(entries.groupBy("v").count().where(f"count >= {LONG}").select("v"))
-        open_ = bucketed(entries.join(long, "v", "left_semi"), "v")
-        fallen, done, last = None, None, None
-        for turn in range(ROUNDS):
-            later = open_ if last is None else open_.join(last, "v").where("place > at")
-            centre = written(later.groupBy("v").agg(F.min(F.struct(*parts)).alias("c")).select("v", *[col(f"c.{x}").alias(y) for x, y in parts.items()]))
-            gone = falls(open_.join(centre, "v").where(fits))
-            now = settled(gone)
-            # a further round pays only in lists in which many classes fell
-            touched = written(now.groupBy("v").count().where(f"count >= {LONG}").select("v"))
-            fallen, done = (gone, now) if fallen is None else (fallen.unionAll(gone), done.unionAll(now))
-            if turn + 1 == ROUNDS or touched.isEmpty():
-                break
-            before = open_
-            open_ = bucketed(open_.join(touched, "v", "left_semi").join(now.hint("shuffle_hash"), ["v", "place"], "left_anti"), "v")
-            discarded(before)
-            last = centre.select("v", col("before").alias("at"))
-        discarded(open_)
-        still = entries.join(done.hint("shuffle_hash"), ["v", "place"], "left_anti")
-        rest = falls(still.join(entries.select("v", *[col(x).alias(y) for x, y in parts.items()]), "v").where(fits))
-    discarded(entries)
-    fallen = fallen.unionAll(rest)
+            return written(classes.join(single, ["s1", "s2"]).select(F.explode("head").alias("v"), "place").where(F.pmod("v", F.lit(SHARES)) == share))
+
+    fallen, rest = [], []
+    for share in range(SHARES):
+        # words, and with them the lists, are dealt with in shares, so that only one of them is on disk at a time
+        heads = classes.select("place", "n", *_bitmap(), F.posexplode("head").alias("i", "v")).where(F.pmod("v", F.lit(SHARES)) == share)
+        entries, done = bucketed(heads, "v"), None
+        earliest = F.min(F.struct(*parts)).alias("c")
+        with settings(spark, **_BY_WORD):
+            # in each round a long list's centre is its next later class
+            found = entries.groupBy("v").agg(earliest, F.count("*").alias("many")).where(f"many >= {LONG}")
+            for turn in range(ROUNDS):
+                centre = written(found.select("v", *[col(f"c.{x}").alias(y) for x, y in parts.items()]))
+                asked = entries.join(centre, "v").where(fits)
+                gone = falls(asked if done is None else asked.join(done.hint("shuffle_hash"), ["v", "place"], "left_anti"))
+                now = settled(gone, share)
+                fallen.append(gone)
+                done = now if done is None else done.unionAll(now)
+                # a further round pays only in lists in which many classes fell
+                again = written(now.groupBy("v").count().where(f"count >= {LONG}").select("v"))
+                if again.isEmpty():
+                    break
+                last = centre.join(again, "v").select("v", col("before").alias("at"))
+                later = entries.join(last, "v").where("place > at").join(done.hint("shuffle_hash"), ["v", "place"], "left_anti")
+                found = later.groupBy("v").agg(earliest)
+            still = entries.join(done.hint("shuffle_hash"), ["v", "place"], "left_anti")
+            both = still.join(entries.select("v", *[col(x).alias(y) for x, y in parts.items()]), "v").where(fits)
+            rest.append(written(both.select("place", "before").distinct()))
+        discarded(entries)
+    fallen.append(falls(reduce(DataFrame.unionAll, rest)))
 
     # lines of classes of one line that match none before stay
-    fell = fallen.select("s1", "s2").distinct().withColumn("fell", F.lit(True))
+    fell = reduce(DataFrame.unionAll, fallen).select("s1", "s2").distinct().withColumn("fell", F.lit(True))
     marked = written(classes.select("s1", "s2", col("place").alias("first"), "many").join(fell, ["s1", "s2"], "left").where(col("fell") | (col("many") > 1)))
     discarded(classes)
     with settings(spark, **_BLOOM):
