@@ -83,7 +83,9 @@ SLUG_RULES = (
 def prompt_slug(prompt: Column) -> Column:
     """A short name for a prompt template."""
     clean = F.trim(F.replace(F.replace(prompt, F.lit("<user>"), F.lit("")), F.lit("</user>"), F.lit("")))
-    words = F.filter(F.transform(F.slice(F.split(collapse_spaces(clean), " "), 1, 3), lambda w: F.lower(F.regexp_replace(w, r"[.,!?:;]", ""))), lambda w: w.rlike(r"^\p{L}+$"))
+    # a word counts if it holds letters only, braces aside; then punctuation goes
+    raw = F.filter(F.slice(F.split(collapse_spaces(clean), " "), 1, 3), lambda w: F.regexp_replace(w, "[{}]", "").rlike(r"^\p{L}+$"))
+    words = F.transform(raw, lambda w: F.lower(F.regexp_replace(w, "[.,?!]", "")))
     out = F.when(F.size(words) > 0, F.array_join(words, "_")).otherwise(F.lit("unknown_prompt"))
     for needed, name in reversed(SLUG_RULES):
         out = F.when(reduce(lambda a, b: a & b, [clean.contains(x) for x in needed]), F.lit(name)).otherwise(out)
@@ -107,8 +109,48 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, "[.!?]+"), lambda s: F.trim(s) != "")
 
 
+def file_name(x: Column) -> Column:
+    """Safe as a file name: full stops become underscores, slashes and spaces go."""
+    return F.translate(x, "./ ", "_")
+
+
+def without_tags(x: Column) -> Column:
+    """Without the user tags, line feeds as spaces."""
+    return F.trim(F.replace(F.replace(F.replace(x, F.lit("<user>"), F.lit("")), F.lit("</user>"), F.lit("")), F.lit("\n"), F.lit(" ")))
+
+
+def wrapped(x: Column, width: int) -> Column:
+    """The words of a text in lines of at most ``width`` characters (a longer word has its own line)."""
+    words = F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+    fits = lambda a, w: F.length(a["line"]) + 1 + F.length(w) <= width
+    more = lambda a: F.when(a["done"] == "", a["line"]).otherwise(F.concat(a["done"], F.lit("\n"), a["line"]))
+
+    def add(a: Column, w: Column) -> Column:
+        line = F.when(a["line"] == "", w).when(fits(a, w), F.concat(a["line"], F.lit(" "), w)).otherwise(w)
+        done = F.when((a["line"] == "") | fits(a, w), a["done"]).otherwise(more(a))
+        return F.struct(done.alias("done"), line.alias("line"))
+
+    return F.aggregate(words, start, add, more)
+
+
+def punctuation(text: Column) -> Column:
+    """Number of characters that are neither letters, digits, underscores nor white space."""
+    return F.length(F.regexp_replace(text, r"[\p{L}\p{N}_\s]", ""))
+
+
 def register_all(spark: SparkSession) -> None:
     """Make the scalar functions callable from SQL."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / (greatest(sqrt(aggregate(a, 0D, (s, x) -> s + x * x)), 1e-12D) * greatest(sqrt(aggregate(b, 0D, (s, x) -> s + x * x)), 1e-12D))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vec_sub(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN zip_with(a, b, (x, y) -> x - y)")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION flesch_pt(w DOUBLE, s DOUBLE, y DOUBLE) RETURNS DOUBLE RETURN IF(w > 0 AND s > 0, {FLESCH[0]}D - {FLESCH[1]}D * w / s - {FLESCH[2]}D * y / w, 0D)")
+    make = lambda head, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    size = lambda a: f"greatest(sqrt({dot(a, a)}), 1e-12D)"
+    make("cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE", f"{dot('a', 'b')} / ({size('a')} * {size('b')})")
+    make("vec_sub(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>", "zip_with(a, b, (x, y) -> x - y)")
+    make("vec_project(v ARRAY<DOUBLE>, u ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>", f"transform(u, x -> x * if({dot('u', 'u')} > 0, {dot('v', 'u')} / {dot('u', 'u')}, 0D))")
+    make("flesch_pt(w DOUBLE, s DOUBLE, y DOUBLE) RETURNS DOUBLE", f"IF(w > 0 AND s > 0, {FLESCH[0]}D - {FLESCH[1]}D * w / s - {FLESCH[2]}D * y / w, 0D)")
+    letters = f"regexp_replace(lower(trim(word)), '[^{PORTUGUESE_LETTERS}]', '')"
+    pairs = " - ".join(f"(length({letters}) - length(replace({letters}, '{d}', ''))) div 2" for d in DIPHTHONGS)
+    make("syllables_pt(word STRING) RETURNS INT", f"IF(coalesce(trim(word), '') = '', 0, cast(greatest(1, size(regexp_extract_all({letters}, '([{VOWELS}]+)', 1)) - {pairs}) AS INT))")
+    h = "sha1(concat(unhex('6ba7b8109dad11d180b400c04fd430c8'), encode(name, 'UTF-8')))"
+    nibble = f"substring('89ab', cast(conv(substring({h}, 17, 1), 16, 10) AS int) % 4 + 1, 1)"
+    make("uuid5_dns(name STRING) RETURNS STRING", f"concat_ws('-', substring({h}, 1, 8), substring({h}, 9, 4), concat('5', substring({h}, 14, 3)), concat({nibble}, substring({h}, 18, 3)), substring({h}, 21, 12))")

@@ -29,22 +29,44 @@ def _has(token: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
+def word_lists(text: Column) -> tuple[Column, Column]:
+    """The forms of adjectives and of nouns of a parse."""
+    tokens = F.flatten(parsed(F.coalesce(text, F.lit(""))))
+    forms = lambda p: F.transform(F.filter(tokens, lambda t: t["upos"] == p), lambda t: t["form"])
+    return forms("ADJ"), forms("NOUN")
+
+
 def lemmas(tokens: Column) -> Column:
     kept = F.filter(tokens, lambda t: ~t["deprel"].isin("punct", "nummod"))
     return F.array_join(F.transform(kept, lambda t: t["lemma"]), " ")
 
 
-def _depths(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Depth of each sentence's tree: every token climbs to the root, all tokens of a sentence at once.
+def _depths(df: DataFrame) -> DataFrame:
+    """Depth of each sentence's tree by pointer doubling: every token jumps to its ancestor twice as far up each time.
 
-    A sentence is an array, so the climb is a fold over its length: depth[i] = depth[head[i]] + 1, repeated until settled.
+    ``at`` holds the ancestor reached (0 above the root), ``d`` the edges to it; after log2(n) jumps all are at the root.
     """
     heads = "transform(filter(s, t -> NOT contains(t.id, '-') AND NOT contains(t.id, '.')), t -> coalesce(try_cast(t.head AS int), 0))"
-    start = df.withColumn("_h", F.expr(heads))
-    climb = """aggregate(_h, struct(_h AS at, 0 AS depth),
-        (a, x) -> struct(transform(a.at, h -> if(h > 0 AND h <= size(_h), _h[h - 1], 0)) AS at,
-                         a.depth + if(exists(a.at, h -> h > 0), 1, 0) AS depth), a -> a.depth)"""
-    return start.withColumn("depth", F.expr(climb)).drop("_h")
+    start = df.withColumn("_h", F.expr(heads)).withColumn("_h", F.expr("transform(_h, h -> if(h BETWEEN 1 AND size(_h), h, 0))"))
+    climb = """aggregate(sequence(1, cast(ceil(log2(size(_h) + 1)) AS int) + 1), struct(_h AS at, transform(_h, h -> if(h > 0, 1, 0)) AS d),
+        (a, x) -> struct(transform(a.at, h -> if(h > 0, a.at[h - 1], 0)) AS at,
+                         transform(a.d, (k, i) -> if(a.at[i] > 0, k + a.d[a.at[i] - 1], k)) AS d), a -> array_max(a.d))"""
+    return start.withColumn("depth", F.when(F.size("_h") > 0, F.expr(climb)).otherwise(0)).drop("_h")
+
+
+def generated(words: Column) -> Column:
+    """A stand-in parse for an array of sentences (arrays of words), for tests and offline runs.
+
+    Part of speech and relation follow from a word's length and place; each word hangs from the one at half its place.
+    """
+    upos = F.array(*map(F.lit, ("NOUN", "VERB", "ADJ", "ADV", "DET", "PUNCT")))
+    deprel = F.array(*map(F.lit, ("nsubj", "obj", "ccomp", "xcomp", "advcl", "acl", "conj", "cc", "punct", "nummod", "advmod")))
+
+    def row(w: Column, i: Column) -> Column:
+        k = i + 1
+        return F.concat_ws("\t", k.cast("string"), w, F.lower(w), F.get(upos, F.length(w) % 6), F.lit("_"), F.lit("_"), F.floor(k / 2).cast("string"), F.get(deprel, (F.length(w) + k) % 11), F.lit("_"), F.lit("_"))
+
+    return F.array_join(F.transform(words, lambda s: F.array_join(F.transform(s, row), "\n")), "\n\n")
 
 
 def complexity(df: DataFrame, key: str, text: str, notebook: bool = False) -> DataFrame:
@@ -55,12 +77,12 @@ def complexity(df: DataFrame, key: str, text: str, notebook: bool = False) -> Da
     """
     sentences = df.select(key, F.posexplode_outer(parsed(F.coalesce(F.col(text), F.lit("")))).alias("sid", "s"))
     s = F.coalesce(F.col("s"), F.array().cast("array<struct<id:string,form:string,lemma:string,upos:string,none:int,head:string,deprel:string>>"))
-    every = _depths(sentences.withColumn("s", s), [key])
+    every = _depths(sentences.withColumn("s", s))
     tokens = F.col("s") if notebook else F.filter("s", lambda t: t["deprel"] != "punct")
     count = lambda f: F.size(F.filter("s", f))
     lexical = lambda t: t["upos"].isin("NOUN", "ADJ", "VERB") | (t["deprel"].contains("advmod") if notebook else F.lit(False))
     each = every.select(key, "sid", "depth", F.size(tokens).alias("tok"), count(lambda t: t["upos"] != "PUNCT").alias("words"), count(lambda t: _has(t, CLAUSE)).alias("cl"), count(lambda t: _has(t, DEPENDENT)).alias("dep"), count(lambda t: _has(t, COORDINATION)).alias("co"), F.size(F.filter(tokens, lexical)).alias("lex"), F.transform(tokens, lambda t: t["form"]).alias("forms"), lemmas(F.col("s")).alias("lem"), F.size("s").alias("rows"))
-    doc = each.groupBy(key).agg(F.sum("tok").alias("tok"), F.sum("words").alias("words"), F.sum("cl").alias("cl"), F.sum("dep").alias("dep"), F.sum("co").alias("co"), F.sum("lex").alias("lex"), F.avg("depth").alias("pm"), F.max("depth").alias("px"), F.count_if(F.col("rows") > 0).alias("ns"), F.size(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("types"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sid", "lem"))), lambda e: e["lem"]), " ").alias("lemmas"))
+    doc = each.groupBy(key).agg(F.sum("tok").alias("tok"), F.sum("words").alias("words"), F.sum("cl").alias("cl"), F.sum("dep").alias("dep"), F.sum("co").alias("co"), F.sum("lex").alias("lex"), F.avg("depth").alias("pm"), F.max("depth").alias("px"), F.count_if(F.col("rows") > 0).alias("ns"), F.size(F.array_distinct(F.flatten(F.collect_list("forms")))).alias("types"), F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("sid", "lem"))), lambda e: e["lem"]), lambda x: x != ""), " ").alias("lemmas"))
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     show = (lambda c, n: c) if notebook else F.round
     return doc.select(key, show(over("tok", "cl"), 2).alias("MLC"), show(over("tok", "ns"), 2).alias("MLS"), show(over("dep", "cl"), 2).alias("DCC"), show(over("co", "cl"), 2).alias("CPC"), show(F.coalesce("pm", F.lit(0.0)), 2).alias("profundidade_media"), F.coalesce("px", F.lit(0)).alias("profundidade_max"), show(over("types", "words" if notebook else "tok"), 4).alias("ttr"), show(over("lex", "tok"), 4).alias("lexical_density"), F.col("tok").cast("int").alias("token_quantity"), "lemmas")

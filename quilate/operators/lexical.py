@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quilate.functions.text import latin_words, tokens
+from quilate.sources.scratch import written
+
+#: The comparisons (column, target, reference) of a full batch; a group against itself scores zero.
+COMPARISONS = (
+    ("raca", "preta", "branca"), ("raca", "parda", "branca"), ("raca", "branca", "branca"), ("raca", "amarela", "branca"), ("raca", "indígena", "branca"),
+    ("genero", "homem", "homem"), ("genero", "mulher", "homem"), ("genero", "não-binária", "homem"),
+    ("regiao", "nortista", "sudestina"), ("regiao", "nordestina", "sudestina"), ("regiao", "sulista", "sudestina"), ("regiao", "sudestina", "sudestina"), ("regiao", "centro-oestina", "sudestina"),
+)
+
+#: Marks the rows that count a term's documents; alone it counts all documents. No term holds it.
+_PER_DOCUMENT = "\x01"
+
+
+class EmptyVocabulary(ValueError):
+    """No document, or no term, is left to compare."""
 
 
 def term_counts(docs: DataFrame, by: str = "lang", text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
@@ -16,14 +33,19 @@ def term_counts(docs: DataFrame, by: str = "lang", text: str = "text", stop: tup
     return terms.groupBy(by, "term").agg(F.count("*").alias("n"))
 
 
-def ctfidf(counts: DataFrame, by: str = "lang") -> DataFrame:
+def ctfidf(counts: DataFrame, by: str = "lang", required: bool = False) -> DataFrame:
     """Class-based TF-IDF with square-rooted term frequencies and BM25 weights.
 
-    The classes' totals are few; joins with them and with the terms' totals are
-    left to the planner, which broadcasts by measured size.
+    The counts are written once, and all totals are taken from them. The classes'
+    totals are few; joins with them and with the terms' totals are left to the
+    planner, which broadcasts by measured size. ``required`` raises when there is
+    no term at all.
     """
+    counts = written(counts, "counts")
     classes = counts.groupBy(by).agg(F.sum("n").alias("class_total"))
-    mean = counts.groupBy().agg((F.sum("n") / F.countDistinct(by)).cast("bigint").alias("a")).first()["a"] or 0
+    mean = classes.agg((F.sum("class_total") / F.count("*")).cast("bigint")).first()[0] or 0
+    if required and not mean:
+        raise EmptyVocabulary("no terms in any class")
     totals = counts.groupBy("term").agg(F.sum("n").alias("f"))
     tf = F.sqrt(F.col("n") / F.col("class_total"))
     idf = F.log(1 + (F.lit(float(mean)) - F.col("f") + 0.5) / (F.col("f") + 0.5))
@@ -40,31 +62,66 @@ def wide(top: DataFrame, classes: list[str], by: str = "lang") -> DataFrame:
     return top.groupBy("rank").pivot(by, classes).agg(F.first(F.format_string("%s (%.4f)", "term", "score")))
 
 
-def group_counts(docs: DataFrame, by: str, text: str = "text", max_share: float = 0.95, max_terms: int = 10_000, groups: tuple[str, ...] | None = None) -> DataFrame:
-    """Term counts by class over the retained vocabulary.
+def group_counts(docs: DataFrame, by: str | list[str], text: str = "text", max_share: float = 0.95, max_terms: int = 10_000, groups: tuple[str, ...] | None = None, stop: tuple[str, ...] = (), required: bool = False) -> DataFrame:
+    """Term counts by class over the retained vocabulary; a null class is a class like others.
 
     Terms in more than ``max_share`` of the documents go; of the others the
-    ``max_terms`` most frequent stay, ties in order of the term. The vocabulary is
-    bounded by ``max_terms``, hence the broadcast.
+    ``max_terms`` most frequent stay, ties in order of the term. Texts are split
+    once: the rows that count occurrences and those that count documents go through
+    one aggregate. The vocabulary is bounded by ``max_terms``, hence the broadcast.
     """
-    rows = docs.where(F.col(by).isNotNull()).select(by, latin_words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    keys = [by] if isinstance(by, str) else by
+    rows = docs.select(*keys, latin_words(F.col(text)).alias("w"))
+    if stop:
+        rows = rows.select(*keys, F.array_except("w", F.array(*map(F.lit, stop))).alias("_own"), "w").select(*keys, F.filter("w", lambda x: F.array_contains("_own", x)).alias("w"))
+    rows = rows.where(F.size("w") > 0)
     if groups:
-        rows = rows.where(F.col(by).isin(*groups))
-    n = rows.count()
-    # an id per document, made before its terms are
-    each = rows.withColumn("d", F.monotonically_increasing_id()).select(by, "d", F.explode("w").alias("term")).groupBy(by, "d", "term").agg(F.count("*").alias("n"))
-    stats = each.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where(F.col("df") <= max_share * n)
+        rows = rows.where(F.col(keys[0]).isin(*groups))
+    once = F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit(_PER_DOCUMENT), x))
+    counted = written(rows.select(*keys, F.explode(F.concat("w", once, F.array(F.lit(_PER_DOCUMENT)))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n")), "counts")
+    per_document = F.col("term").startswith(_PER_DOCUMENT)
+    total = counted.where(F.col("term") == _PER_DOCUMENT).agg(F.sum("n")).first()[0] or 0
+    if required and not total:
+        raise EmptyVocabulary("no document with words")
+    terms = counted.select(F.when(per_document, F.substr("term", F.lit(2))).otherwise(F.col("term")).alias("term"), F.when(per_document, F.col("n")).alias("df"), F.when(~per_document, F.col("n")).alias("tf"))
+    stats = terms.where("term <> ''").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") <= max_share * total)
     vocabulary = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_terms).select("term")
-    return each.groupBy(by, "term").agg(F.sum("n").alias("n")).join(F.broadcast(vocabulary), "term")
+    return counted.where(~per_document).join(F.broadcast(vocabulary), "term")
+
+
+def _odds(a: Column, b: Column, p: Column, ta: Column, tb: Column, tp: Column) -> Column:
+    """The z-score of a term from its counts in target, reference and prior, and their totals."""
+    x, y = a + p, b + p
+    odds = lambda k, total: F.log(k / F.nullif(total - k, F.lit(0.0)) + 1e-10)
+    return (odds(x, ta + tp) - odds(y, tb + tp)) / F.sqrt(1 / (x + 1e-10) + 1 / (y + 1e-10))
 
 
 def log_odds(counts: DataFrame, target: str, reference: str, by: str = "lang") -> DataFrame:
-    """Log-odds z-score of each term for ``target`` against ``reference``; all other classes are the prior."""
-    at = lambda x: F.sum(F.when(x, F.col("n")).otherwise(0))
-    is_t, is_r = F.col(by) == target, F.col(by) == reference
+    """Log-odds z-score of each term for ``target`` against ``reference``; all other classes, null too, are the prior."""
+    at = lambda x: F.sum(F.when(x, F.col("n")).otherwise(0)).cast("double")
+    is_t, is_r = F.col(by).eqNullSafe(target), F.col(by).eqNullSafe(reference)
     terms = counts.groupBy("term").agg(at(is_t).alias("a"), at(is_r).alias("b"), at(~is_t & ~is_r).alias("p"))
-    totals = terms.agg(F.sum("a"), F.sum("b"), F.sum("p")).first()
-    ta, tb, tp = (float(x or 0) for x in totals)
-    a, b = F.col("a") + F.col("p"), F.col("b") + F.col("p")
-    odds = F.log(a / F.nullif(F.lit(ta + tp) - a, F.lit(0.0)) + 1e-10) - F.log(b / F.nullif(F.lit(tb + tp) - b, F.lit(0.0)) + 1e-10)
-    return terms.withColumn("z", odds / F.sqrt(1 / (a + 1e-10) + 1 / (b + 1e-10)))
+    totals = terms.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"t{x}") for x in "abp"])
+    return terms.crossJoin(F.broadcast(totals)).withColumn("z", _odds(*map(F.col, ("a", "b", "p", "ta", "tb", "tp")))).select("term", "a", "b", "p", "z")
+
+
+def log_odds_batch(counts: DataFrame, comparisons: tuple[tuple[str, str, str], ...] = COMPARISONS) -> DataFrame:
+    """The scores of all comparisons (column, target, reference): one aggregate over the counts by all columns."""
+    sums, cells = [], []
+    for i, (column, target, reference) in enumerate(comparisons):
+        is_t, is_r = F.col(column).eqNullSafe(target), F.col(column).eqNullSafe(reference)
+        for name, which in (("a", is_t), ("b", is_r), ("p", ~is_t & ~is_r)):
+            sums.append(F.sum(F.when(which, F.col("n")).otherwise(0)).cast("double").alias(f"{name}{i}"))
+        cells.append(F.struct(F.lit(column).alias("trait"), F.lit(target).alias("target"), F.lit(reference).alias("reference"), *[F.col(f"{x}{i}").alias(x) for x in "abp"]))
+    terms = counts.groupBy("term").agg(*sums).select("term", F.explode(F.array(*cells)).alias("x")).select("term", "x.*")
+    names = ["trait", "target", "reference"]
+    totals = terms.groupBy(*names).agg(*[F.sum(x).alias(f"t{x}") for x in "abp"])
+    return terms.join(F.broadcast(totals), names).select(*names, "term", _odds(*map(F.col, ("a", "b", "p", "ta", "tb", "tp"))).alias("z"))
+
+
+def all_stop_words(spark, languages: tuple[str, ...] = ("portuguese", "english", "spanish"), more: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """The union of the stop-word lists that ship with Spark, and of those given."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    lists = [StopWordsRemover.loadDefaultStopWords(x) for x in languages]
+    return tuple(sorted(reduce(lambda a, b: a | set(b), lists, set(more))))

@@ -39,9 +39,9 @@ def rendered(template: Column, names: list[str]) -> Column:
 
 
 def messages(personas_: DataFrame, templates: DataFrame, models: list[str]) -> DataFrame:
-    """All prompts of the design with their ids: personas x templates x models."""
+    """All prompts of the design with their ids: personas x templates x models (their product is the design, a few thousand rows)."""
     names = [*TRAITS, "artigo", "pronome"]
     known = [n for n in names if n in personas_.columns]
-    grid = personas_.select("*", F.explode(F.array(*map(F.lit, models))).alias("model")).withColumn("_k", F.lit(1)).join(templates.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    grid = personas_.select("*", F.explode(F.array(*map(F.lit, models))).alias("model")).crossJoin(templates)
     text = grid.withColumn("message", rendered(F.col("original_prompt"), known))
     return text.withColumn("messageId", uuid5_dns(F.concat_ws("|", "original_prompt", *known, "model")))

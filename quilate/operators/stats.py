@@ -7,16 +7,63 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quilate.sources.scratch import written
+
+
+def ranked(df: DataFrame, value: str, *by: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Non-null values with their place ``k`` (from 1) in their group, in order of the value, then of ``then``.
+
+    Rows are dealt by ranges of group and value and sorted there; a table of counts
+    per partition and group, small and of known size, gives each partition its first
+    place. No group is sorted in one task.
+    """
+    order = [*by, value, *then]
+    dealt = df.where(F.col(value).isNotNull()).select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(dealt.select(*order, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ranked")
+    firsts = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*[F.col(b) for b in by] or [F.lit(0)]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = firsts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("_part").alias("_p"), "_first", "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    return placed.join(starts, same).select(*order, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("k"))
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], *by: str) -> DataFrame:
+    """Exact quantiles with linear interpolation, columns q0, q1 and so on, of each group."""
+    places = ranked(df, value, *by)
+    sizes = places.groupBy(*by).agg(F.max("k").alias("_n"))
+    at = [(F.col("_n") - 1) * F.lit(float(q)) for q in shares]
+    wanted = sizes.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], "_n", F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x) + 1, F.ceil(x) + 1) for x in at])))).alias("_k"))
+    same = F.col("k") == F.col("_k")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    # a few places of each group
+    found = places.join(wanted, same).groupBy(*by).agg(F.max("_n").alias("_n"), F.map_from_entries(F.collect_set(F.struct("k", F.col(value).cast("double").alias("v")))).alias("_v"))
+    out = []
+    for i, x in enumerate(at):
+        low, high = F.element_at("_v", F.floor(x) + 1), F.element_at("_v", F.ceil(x) + 1)
+        out.append((low + (high - low) * (x - F.floor(x))).alias(f"q{i}"))
+    return found.select(*by, *out)
+
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    return out.select(*by, "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    """Count, mean, deviation, least, quartiles and greatest of each group."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, value, (0.25, 0.5, 0.75), *by).withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
+    if not by:
+        return plain.join(q, F.lit(True), "left").select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    q = q.withColumnsRenamed({b: f"_q_{b}" for b in by})
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_q_{b}"))
+    return plain.join(q, same, "left").select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def fences(df: DataFrame, value: str) -> tuple[float, float]:
     """Lower and upper 1.5 x IQR fence."""
-    q1, q3 = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (math.nan, math.nan)
+    found = quantiles(df, value, (0.25, 0.75)).first()
+    q1, q3 = (found.q0, found.q1) if found and found.q0 is not None else (math.nan, math.nan)
     return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
 
@@ -26,12 +73,59 @@ def without_outliers(df: DataFrame, value: str) -> DataFrame:
 
 
 def ecdf(df: DataFrame, value: str, key: str, *by: str) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(value, key)
-    return df.select(*by, key, value, (F.row_number().over(order) / F.count("*").over(Window.partitionBy(*by))).alias("y"))
+    """Share of a group's values up to each; ties have places of their own, in order of the key. Nulls come last."""
+    places = ranked(df, value, *by, then=(key,))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).withColumnsRenamed({b: f"_g_{b}" for b in by})
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return places.join(F.broadcast(sizes) if not by else sizes, same).select(*by, key, value, (F.col("k") / F.col("_n")).alias("y"))
+
+
+def zscores(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """``df`` with ``z``: distance from the group's mean in sample deviations."""
+    m = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")).withColumnsRenamed({b: f"_g_{b}" for b in by})
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return df.join(m, same).withColumn("z", (F.col(value) - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s", *[f"_g_{b}" for b in by])
+
+
+def hashed_order(*columns: str, seed: int = 42) -> list[Column]:
+    """A reproducible random order: a 64-bit digest of the seed and the columns, then the columns."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+    return [digest, *map(F.col, columns)]
+
+
+def sampled(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFrame:
+    """``n`` rows by a fixed seed; the same rows whatever the partitioning."""
+    return df.orderBy(*hashed_order(*key, seed=seed)).limit(n)
+
+
+def sampled_per_group(df: DataFrame, n: int, by: str, *key: str, seed: int = 42) -> DataFrame:
+    """``n`` rows of each group by a fixed seed, with their place ``r``; a group limit comes before the shuffle."""
+    order = Window.partitionBy(by).orderBy(*hashed_order(*key, seed=seed))
+    return df.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+
+
+def draws(key: Column, resample: Column) -> Column:
+    """How often a row is in a resample with replacement: Poisson, from a digest of its key and the resample's number."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), resample.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return sum(((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+
+
+def bootstrap_interval(df: DataFrame, key: str, value: str, *by: str, resamples: int = 50) -> DataFrame:
+    """2.5 and 97.5 percentiles of each group's mean over resamples; a group of five or fewer valid resamples has none."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
+    k = draws(F.col(key), F.col("_b"))
+    means = rows.withColumn("_k", k).groupBy(*by, "_b").agg((F.sum(F.col("_k") * F.col(value)) / F.nullif(F.sum("_k"), F.lit(0))).alias("_m")).where("_m IS NOT NULL")
+    # a group has as many means as there are resamples
+    return means.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high")).where("_n > 5").drop("_n")
 
 
 def correlation(x: str, y: str) -> Column:
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    """Pearson's correlation; null where either side doesn't vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

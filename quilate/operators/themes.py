@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A keyword table for texts in English, French, German and Spanish; corpora bring their own.
+#: The six themes and their keywords.
 KEYWORDS = {
-    "motion": ("ation", "heit", "mente", "tion"),
-    "people": ("elle", "ouh", "ihr", "los"),
-    "nature": ("stein", "eau", "mar", "thre"),
-    "change": ("wh", "ung", "ció"),
-}
+    "Identidade de Gênero": (
+        "não-binária", "não binária", "identidade de gênero", "masculino", "feminino", "normas de gênero", "gênero fluido",
+        "identidade fluida", "masculinidade", "feminilidade", "lgbtq", "queer", "trans",
+    ),
+    "Questões Étnicas-Raciais": (
+        "pele parda", "pele preta", "pele amarela", "pele branca", "pele morena", "ancestralidade", "herança africana",
+        "ascendência asiática", "ascendência europeia", "diversidade étnica", "mistura de etnias", "preconceito racial", "racismo",
+        "cabelos crespos", "cabelos cacheados", "olhos puxados", "tons de pele",
+    ),
+    "Geografia": (
+        "nordeste", "sudeste", "sul do brasil", "norte do brasil", "centro-oeste", "região", "sotaque", "tradições locais",
+        "cultura regional", "gaúcho", "nordestina", "sulista", "nortista", "amazônia", "sertão",
+    ),
+    "Discriminação": (
+        "preconceito", "discriminação", "resistência", "incompreensão", "ofensivo", "inadequado", "estereótipo",
+        "luta por direitos", "visibilidade", "representatividade", "igualdade", "inclusão", "respeito",
+    ),
+    "Cultura": (
+        "diversidade cultural", "tradições", "cultura", "culinária", "música", "festas juninas", "forró", "churrasco", "chimarrão",
+        "acarajé", "maracatu", "comunidade", "família",
+    ),
+    "Desafios e Lutas": ("desafios", "dificuldades", "luta", "enfrentar", "resistir", "superar"),
+}
+
+
+def read_keywords(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """A keyword table from a JSON object of lists (a few dozen entries)."""
+    from quilate.sources.tables import read_traits
+
+    found: dict[str, list[str]] = {}
+    for row in read_traits(spark, path).collect():
+        found.setdefault(row.trait, []).append(row.value)
+    return {k: tuple(v) for k, v in found.items()}
 
 
 def detect(docs: DataFrame, key: str, text: str, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:
     """A row per document and theme with a keyword in the text: how many, their share, the first three."""
     table = F.array(*[F.struct(F.lit(t).alias("tema"), F.array(*map(F.lit, ks)).alias("ks")) for t, ks in keywords.items()])
-    low = docs.select(key, F.lower(text).alias("_t"), F.explode(table).alias("e"))
-    hits = low.select(key, F.col("e.tema").alias("tema"), F.size("e.ks").alias("_all"), F.filter("e.ks", lambda k: F.contains(F.col("_t"), F.lower(k))).alias("_m"))
-    return hits.where(F.size("_m") > 0).select(key, "tema", F.size("_m").cast("bigint").alias("keywords_count"), (F.size("_m") / F.col("_all")).alias("intensity"), F.array_join(F.slice("_m", 1, 3), ",").alias("matched_keywords"))
+    # the text is lower-cased once and isn't multiplied: themes are a short array beside it
+    matched = F.transform(table, lambda e: F.struct(e["tema"].alias("tema"), F.size(e["ks"]).alias("_all"), F.filter(e["ks"], lambda k: F.contains(F.col("_t"), F.lower(k))).alias("_m")))
+    found = docs.select(key, F.lower(text).alias("_t")).select(key, F.filter(matched, lambda e: F.size(e["_m"]) > 0).alias("_f"))
+    hits = found.select(key, F.explode("_f").alias("e")).select(key, "e.*")
+    return hits.where(F.size("_m") > 0).select(key, "tema", F.size("_m").cast("bigint").alias("keywords_count"), (F.size("_m") / F.col("_all")).alias("intensity"), F.array_join(F.slice("_m", 1, 3), ", ").alias("matched_keywords"))
 
 
 def together(found: DataFrame, key: str, item: str = "tema") -> DataFrame:

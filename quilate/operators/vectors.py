@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quilate.operators.stats import correlation, draws
+from quilate.sources.scratch import removed
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -62,33 +65,140 @@ def cluster_quality(df: DataFrame, by: str, vector: str = "embedding") -> DataFr
     return total.select("n", "k", "wcss", "bcss", tss.alias("tss"), "mean_intra", F.when(F.col("k") > 1, F.col("size_cv")).otherwise(0.0).alias("size_cv"), index.alias("calinski_harabasz"), F.when(tss > 0, F.col("bcss") / tss).otherwise(0.0).alias("explained"))
 
 
-def silhouette(df: DataFrame, key: str, by: str, vector: str = "embedding") -> DataFrame:
-    """Mean Euclidean silhouette over all points (a table of group means, as in ``pairs``)."""
-    a = df.select(F.col(key).alias("i"), F.col(by).alias("gi"), F.col(vector).alias("vi"))
-    b = df.select(F.col(key).alias("j"), F.col(by).alias("gj"), F.col(vector).alias("vj"))
-    gap = F.sqrt(F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    means = a.join(b, F.col("i") != F.col("j")).select("i", "gi", "gj", gap.alias("d")).groupBy("i", "gi", "gj").agg(F.avg("d").alias("d"))
+def centroid_gap(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """Mean distance between the centroids of different clusters (a few), 0 for a single one."""
+    c = mean_vectors(df, [by], vector)
+    a, b = c.select(F.col(by).alias("g1"), F.col(vector).alias("c1")), c.select(F.col(by).alias("g2"), F.col(vector).alias("c2"))
+    gap = F.sqrt(F.aggregate(F.zip_with("c1", "c2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return a.join(b, F.col("g1") < F.col("g2")).agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("mean_inter"))
+
+
+def resampled_quality(df: DataFrame, key: str, by: str, vector: str = "embedding", resamples: int = 50) -> DataFrame:
+    """2.5 and 97.5 percentiles of the cluster metrics over resamples with replacement, from sufficient statistics.
+
+    A cluster's sum of vectors, sum of squares and size are weighed by how often each
+    row is drawn, so that one aggregate by resample and cluster serves all metrics;
+    rows aren't copied. Resamples of fewer than two clusters count as zero.
+    """
+    drawn = df.select(by, key, vector, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("k", draws(F.col(key), F.col("b"))).where("k > 0")
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
+    sizes = drawn.groupBy("b", by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * square).alias("sq"))
+    parts = drawn.select("b", by, "k", F.posexplode(vector).alias("pos", "x")).groupBy("b", by, "pos").agg(F.sum(F.col("k") * F.col("x")).alias("s"))
+    own = parts.groupBy("b", by).agg(F.sum(F.col("s") * F.col("s")).alias("ss")).join(sizes, ["b", by])
+    whole = parts.groupBy("b", "pos").agg(F.sum("s").alias("s")).groupBy("b").agg(F.sum(F.col("s") * F.col("s")).alias("all"))
+    each = own.groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("sq") - F.col("ss") / F.col("n")).alias("wcss"), F.sum(F.col("ss") / F.col("n")).alias("between"), (F.stddev_pop("n") / F.avg("n")).alias("size_cv")).join(whole, "b")
+    each = each.withColumn("bcss", F.col("between") - F.col("all") / F.col("n"))
+    index = F.when((F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("wcss") > 0), (F.col("bcss") / (F.col("k") - 1)) / (F.col("wcss") / (F.col("n") - F.col("k")))).otherwise(0.0)
+    each = each.withColumns({"calinski_harabasz": index, "explained": F.when(F.col("wcss") + F.col("bcss") > 0, F.col("bcss") / (F.col("wcss") + F.col("bcss"))).otherwise(0.0)})
+    metrics = ("wcss", "bcss", "size_cv", "calinski_harabasz", "explained")
+    long = each.unpivot("b", list(metrics), "metric", "value")
+    return long.groupBy("metric").agg(F.count("value").alias("valid"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high")).where("valid > 5")
+
+
+def silhouette(df: DataFrame, key: str, by: str, vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """Mean Euclidean silhouette over all points, each against all points in blocks.
+
+    A row of one side meets packed blocks of the other, so that the pairs exist only
+    inside a task's matrix product. The work grows with the square of the points, as
+    the measure does; a block's size bounds memory.
+    """
+    import numpy as np
+    import pandas as pd
+
+    numbered = df.select(F.col(key).alias("i"), F.col(by).alias("g"), F.col(vector).alias("v")).where(F.col("g").isNotNull() & F.col("v").isNotNull())
+    blocks = max(1, -(-numbered.count() // block))
+    dealt = numbered.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("i", "g", "v")).alias("rows"))
+    left = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b2"))
+    both = left.join(packed.select(F.col("b").alias("b2"), F.col("rows").alias("r2")), "b2").select("r1", "r2")
+    gtype = numbered.schema["g"].dataType.simpleString()
+
+    def gaps(batches):
+        for pdf in batches:
+            for r1, r2 in zip(pdf["r1"], pdf["r2"], strict=True):
+                x, y = (np.array([r["v"] for r in rows], float) for rows in (r1, r2))
+                square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+                d = np.sqrt(np.maximum(square, 0))
+                ids = np.array([r["i"] for r in r1])
+                d[ids[:, None] == np.array([r["i"] for r in r2])[None, :]] = 0
+                groups, at = np.unique(np.array([r["g"] for r in r2]), return_inverse=True)
+                sums = np.stack([d[:, at == k].sum(1) for k in range(len(groups))], 1)
+                n = np.bincount(at, minlength=len(groups))
+                yield pd.DataFrame({"i": np.repeat(ids, len(groups)), "gi": np.repeat([r["g"] for r in r1], len(groups)), "gj": np.tile(groups, len(ids)), "s": sums.ravel(), "n": np.tile(n, len(ids))})
+
+    itype = numbered.schema["i"].dataType.simpleString()
+    parts = both.repartition(min(blocks * blocks, 4096)).mapInPandas(gaps, f"i {itype}, gi {gtype}, gj {gtype}, s double, n bigint")
+    means = parts.groupBy("i", "gi", "gj").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     same = F.col("gi") == F.col("gj")
-    each = means.groupBy("i").agg(F.max(F.when(same, F.col("d"))).alias("a"), F.min(F.when(~same, F.col("d"))).alias("b"))
+    each = means.groupBy("i").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return each.agg(F.avg(score).alias("silhouette"))
 
 
+def pair_analysis(df: DataFrame, key: str, traits: list[str], columns: list[str] | None = None, vector: str = "embedding") -> DataFrame:
+    """For every trait and value: pairs of group vectors, centred on the mean of that value's group.
+
+    ``df`` has a row per group with its traits. Two analyses: "centering" takes all
+    groups and centres them on the value's mean, "filtered" only the value's groups. A
+    row per pair: its cosine before and after, and the percentage of traits in which
+    both agree. One job for the whole grid; all pairs of the groups are the operator's
+    meaning (the design bounds their number).
+    """
+    columns = columns or traits
+    cells = df.select(key, vector, *traits, F.explode(F.array(*[F.struct(F.lit(c).alias("trait"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x"))
+    centre = mean_vectors(cells.select(F.col("x.trait").alias("trait"), F.col("x.value").alias("value"), vector), ["trait", "value"], vector).withColumnRenamed(vector, "centre")
+    side = lambda n: df.select(F.col(key).alias(n), F.col(vector).alias(f"v{n}"), F.struct(*[F.col(t).cast("string").alias(t) for t in traits]).alias(f"t{n}"))
+    match = sum((F.col("ti")[t].eqNullSafe(F.col("tj")[t]).cast("int") for t in traits), F.lit(0)) * (100.0 / len(traits))
+    two = side("i").join(side("j"), F.col("i") < F.col("j")).withColumns({"original": cosine(F.col("vi"), F.col("vj")), "match_pct": match})
+    held = F.lit(False)
+    for c in columns:
+        held |= (F.col("trait") == c) & F.col("ti")[c].eqNullSafe(F.col("value")) & F.col("tj")[c].eqNullSafe(F.col("value"))
+    every = two.join(F.broadcast(centre), F.lit(True)).withColumns({"centred": cosine(minus(F.col("vi"), F.col("centre")), minus(F.col("vj"), F.col("centre"))), "held": held})
+    rows = every.select("trait", "value", "i", "j", "original", "centred", "match_pct", F.explode(F.when(F.col("held"), F.array(F.lit("centering"), F.lit("filtered"))).otherwise(F.array(F.lit("centering")))).alias("analysis"))
+    return rows
+
+
+def pair_statistics(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per analysis (trait, value, analysis of ``groups``): numbers, means, deviations and correlations; fewer than two groups give ``insufficient_data``.
+
+    ``groups`` has (trait, value, analysis, group_size).
+    """
+    names = ["trait", "value", "analysis"]
+    r = lambda c, n, name: F.round(c, n).alias(name)
+    guarded = correlation
+    made = pairs.groupBy(*names).agg(
+        F.count("*").alias("total_pairs"), r(F.avg("original"), 6, "original_mean"), r(F.stddev_pop("original"), 6, "original_std"),
+        r(F.avg("centred"), 6, "centred_mean"), r(F.stddev_pop("centred"), 6, "centred_std"), r(F.min("centred"), 6, "centred_min"), r(F.max("centred"), 6, "centred_max"),
+        r(F.avg("match_pct"), 2, "match_mean"), r(F.stddev_pop("match_pct"), 2, "match_std"), r(F.min("match_pct"), 2, "match_min"), r(F.max("match_pct"), 2, "match_max"),
+        r(guarded("centred", "original"), 6, "centred_vs_original"), r(guarded("centred", "match_pct"), 6, "centred_vs_match"),
+    )
+    status = F.when(F.col("group_size") < 2, "insufficient_data").otherwise("ok").alias("status")
+    return groups.join(made, names, "left").select(*names, "group_size", status, *[c for c in made.columns if c not in names])
+
+
 def components(edges: DataFrame, nodes: DataFrame, key: str, folder: str) -> DataFrame:
-    """Component (smallest member) of each node by minimum labels with shortcuts; isolated nodes are their own.
+    """Component (smallest member) of each node; isolated nodes are their own.
 
-    Each round is written under ``folder``, a place that all executors share.
+    In each round every node takes the smallest label among its neighbours and then
+    the label of that label, so that paths halve and the rounds grow with the
+    logarithm of the longest. Rounds are written under ``folder``, a place that all
+    executors share, and removed when the next one is there.
     """
     spark = nodes.sparkSession
-    both = edges.select("i", "j").unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    both = edges.select("i", "j").unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).where("i <> j").distinct()
     both.write.mode("overwrite").parquet(f"{folder}/edges")
     both = spark.read.parquet(f"{folder}/edges")
-    labels, turn = nodes.select(F.col(key).alias("node"), F.col(key).alias("component")), 0
+    labels, turn = nodes.select(F.col(key).alias("node"), F.col(key).alias("component")).distinct(), 0
     while True:
         near = both.join(labels.select(F.col("node").alias("j"), "component"), "j").groupBy(F.col("i").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
-        new.write.mode("overwrite").parquet(f"{folder}/labels-{turn}")
+        hooked = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), F.col("component").alias("old"))
+        # whoever is named as a label tells its own smallest, also to the node that named it
+        told = hooked.groupBy(F.col("old").alias("root")).agg(F.min("next").alias("told"))
+        jump = hooked.join(told, F.col("next") == F.col("root"), "left").select("node", F.least("next", F.coalesce("told", "next")).alias("component"), "old")
+        jump.write.mode("overwrite").parquet(f"{folder}/labels-{turn}")
         labels = spark.read.parquet(f"{folder}/labels-{turn}")
-        if not labels.where("component < old").limit(1).count():
+        if turn:
+            removed(spark, f"{folder}/labels-{turn - 1}")
+        if labels.where("component < old").isEmpty():
             return labels.select("node", "component")
         labels, turn = labels.select("node", "component"), turn + 1

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quilate.functions import text as T
-from quilate.operators import conllu, enrich, lexical, prompts, stats, themes, vectors
+from quilate.operators import conllu, enrich, frames, lexical, metrics, prompts, stats, themes, vectors
+from quilate.sources import stores
 from quilate.sources.tables import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -122,7 +123,23 @@ def json_expand(s, d):
 
 @query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS row_id FROM documents")
 def row_ids(s, d):
-    return _docs(s, d).select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint").alias("row_id"))
+    return stats.ranked(_docs(s, d), "doc_id", "source").select("doc_id", (F.col("k") - 1).cast("bigint").alias("row_id"))
+
+
+@query("SELECT doc_id, n_chars, label_doc, toxic FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS r FROM documents) FULL JOIN (SELECT doc_id AS label_doc, toxic, row_number() OVER (ORDER BY doc_id) AS r FROM labels) USING (r)")
+def aligned(s, d):
+    a, b = _docs(s, d).select("doc_id", "n_chars"), table(s, d, "labels").select(F.col("doc_id").alias("label_doc"), "toxic")
+    return frames.aligned(a, b, ("doc_id",), ("label_doc",))
+
+
+@query("SELECT " + ", ".join(("l_orderkey", "l_linenumber")) + ", l_quantity FROM lineitem")
+def numeric_columns(s, d):
+    return frames.numeric(frames.require(table(s, d, "lineitem"), "l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang}) AS j FROM documents")
+def json_rows(s, d):
+    return _docs(s, d).select("doc_id", stores.as_json("doc_id", "lang").alias("j"))
 
 
 # joins
@@ -184,18 +201,25 @@ def prompt_render(s, d):
     return prompts.messages(prompts.personas(s), templates, ["gpt-4o"]).select("genero", "raca", "regiao", "message")
 
 
-_SLUG_ROWS = [*T.SLUGS.items(), ("Descreva uma pessoa qualquer.", "describe_simple"), ("Conte, por favor, uma história", "conte_por_favor"), ("123", "unknown_prompt")]
+_SLUG_RULES_SQL = " ".join("WHEN " + " AND ".join(f"contains(x, '{n}')" for n in needed) + f" THEN '{name}'" for needed, name in T.SLUG_RULES)
+_SLUG_EXACT_SQL = " ".join(f"WHEN x = '{a}' THEN '{b}'" for a, b in T.SLUGS.items())
+_SLUG_PROMPTS = [*T.SLUGS, "Descreva uma pessoa qualquer.", "Conte, por favor, uma história", "123", "<user>Imagine uma pessoa. Por favor</user>", "Um texto {{sobre}} nada"]
+_SLUG_TABLE = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_SLUG_PROMPTS)) + ") t(k, prompt)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SLUG_ROWS) + ") t(prompt, slug)")
+@query(rf"WITH r AS (SELECT -k - 1 AS id, prompt FROM {_SLUG_TABLE} UNION ALL SELECT doc_id, text FROM documents), c AS (SELECT id, trim(replace(replace(prompt, '<user>', ''), '</user>', '')) AS x FROM r), w AS (SELECT id, x, list_filter(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')[1:3], lambda y: regexp_full_match(regexp_replace(y, '[{{}}]', '', 'g'), '\p{{L}}+')) AS w FROM c) SELECT CAST(id AS BIGINT) AS id, CASE {_SLUG_EXACT_SQL} {_SLUG_RULES_SQL} WHEN len(w) > 0 THEN array_to_string(list_transform(w, lambda y: lower(regexp_replace(y, '[.,?!]', '', 'g'))), '_') ELSE 'unknown_prompt' END AS slug FROM w")
 def prompt_slug(s, d):
-    rows = s.range(1).select(F.explode(F.array(*[F.lit(a) for a, _ in _SLUG_ROWS])).alias("prompt"))
-    return rows.select("prompt", T.prompt_slug(F.col("prompt")).alias("slug"))
+    fixed = s.range(1).select(F.posexplode(F.array(*map(F.lit, _SLUG_PROMPTS))).alias("k", "prompt")).select((-F.col("k") - 1).cast("bigint").alias("id"), "prompt")
+    rows = fixed.unionAll(_docs(s, d).select(F.col("doc_id").cast("bigint"), "text"))
+    return rows.select("id", T.prompt_slug(F.col("prompt")).alias("slug"))
+
+
+_UUID_H = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_name))"
 
 
-@query("SELECT * FROM (VALUES ('olá mundo', '095a05c8-360b-5e9e-aa1f-b3245da19bec'), ('python.org', '886313e1-3b8a-5372-9b90-0c9aee199e5d')) t(name, id)")
+@query(f"SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(h, 17, 1))::INTEGER + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT p_partkey, {_UUID_H} AS h FROM part)")
 def uuid5(s, d):
-    return s.range(1).select(F.explode(F.array(F.lit("olá mundo"), F.lit("python.org"))).alias("name")).select("name", T.uuid5_dns(F.col("name")).alias("id"))
+    return table(s, d, "part").select("p_partkey", T.uuid5_dns(F.col("p_name")).alias("id"))
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents")
@@ -208,10 +232,16 @@ def truncate(s, d):
     return _docs(s, d).select("doc_id", T.truncate(F.col("text"), 100).alias("preview"))
 
 
-@query("SELECT * FROM (VALUES ('LABEL_0', 'negative'), ('LABEL_1', 'neutral'), ('LABEL_2', 'positive'), ('UNKNOWN', 'unknown'), ('Foo', 'foo')) t(label, name)")
+@query("SELECT doc_id, CASE label WHEN 'LABEL_0' THEN 'negative' WHEN 'LABEL_1' THEN 'neutral' WHEN 'LABEL_2' THEN 'positive' WHEN 'UNKNOWN' THEN 'unknown' ELSE lower(label) END AS name FROM (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'UNKNOWN' WHEN 4 THEN upper(lang) ELSE 'LABEL_' || (doc_id % 5) END AS label FROM documents)")
 def label_norm(s, d):
-    rows = s.range(1).select(F.explode(F.array(*map(F.lit, ("LABEL_0", "LABEL_1", "LABEL_2", "UNKNOWN", "Foo")))).alias("label"))
-    return rows.select("label", T.label_name(F.col("label")).alias("name"))
+    k = F.col("doc_id") % 5
+    label = F.when(k == 3, F.lit("UNKNOWN")).when(k == 4, F.upper("lang")).otherwise(F.concat(F.lit("LABEL_"), k.cast("string")))
+    return _docs(s, d).select("doc_id", T.label_name(label).alias("name"))
+
+
+@query(r"SELECT doc_id, replace(replace(translate(text, './ ', '_'), '/', ''), ' ', '') AS name, sha256(replace(trim(replace(replace(replace(text, '<user>', ''), '</user>', ''), chr(10), ' ')), '', '')) AS plain FROM documents")
+def file_names(s, d):
+    return _docs(s, d).select("doc_id", T.file_name(F.col("text")).alias("name"), F.sha2(T.without_tags(F.col("text")), 256).alias("plain"))
 
 
 # aggregation
@@ -323,8 +353,7 @@ def ecdf(s, d):
 
 @query("SELECT event_id, round((value - avg(value) OVER (PARTITION BY event_type)) / stddev_samp(value) OVER (PARTITION BY event_type), 6) AS z FROM events")
 def zscore(s, d):
-    w = Window.partitionBy("event_type")
-    return table(s, d, "events").select("event_id", r6((F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)).alias("z"))
+    return stats.zscores(table(s, d, "events"), "value", "event_type").select("event_id", r6(F.col("z")).alias("z"))
 
 
 @query("WITH m AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT CAST(least(floor((value - a) / ((b - a) / 20)), 19) AS INTEGER) AS bin, count(*) AS n FROM events, m WHERE value IS NOT NULL GROUP BY 1")
@@ -335,8 +364,7 @@ def histogram(s, d):
 @query("SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{i}" for i, q in enumerate((0.5, 0.25, 0.125, 0.0625))) + " FROM events GROUP BY 1")
 def letter_values(s, d):
     q = (0.5, 0.25, 0.125, 0.0625)
-    out = table(s, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, q))).alias("q"))
-    return out.select("event_type", *[r6(F.col("q")[i]).alias(f"q{i}") for i in range(4)])
+    return stats.quantiles(table(s, d, "events"), "value", q, "event_type").select("event_type", *[r6(F.col(f"q{i}")).alias(f"q{i}") for i in range(4)])
 
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
@@ -381,10 +409,14 @@ def union_all(s, d):
     return a.unionByName(table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("origin")), allowMissingColumns=True)
 
 
-@query()
+@query("SELECT lang, doc_id, CAST(r AS INTEGER) AS r FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5")
 def sample_per_group(s, d):
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id")
-    return _docs(s, d).select("lang", "doc_id", F.row_number().over(order).alias("r")).where("r <= 5")
+    return stats.sampled_per_group(_docs(s, d).select("lang", "doc_id"), 5, "lang", "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 20")
+def sample_seeded(s, d):
+    return stats.sampled(_docs(s, d).select("doc_id", "source"), 20, "doc_id")
 
 
 # text
@@ -499,11 +531,11 @@ def ctfidf_wide(s, d):
     return lexical.wide(lexical.top_terms(_tfidf(s, d), 10), ["de", "en", "es", "fr"])
 
 
-_VOCAB = r"w AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-ZÀ-ÿ]{2,}')) AS w FROM documents WHERE lang IS NOT NULL), g AS (SELECT * FROM w WHERE len(w) > 0), e AS (SELECT lang, doc_id, unnest(w) AS term FROM g), v AS (SELECT term FROM (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM e GROUP BY 1) WHERE df <= 0.95 * (SELECT count(*) FROM g) ORDER BY tf DESC, term LIMIT 10000), c AS (SELECT lang, term, count(*) AS n FROM e JOIN v USING (term) GROUP BY 1, 2)"
+_VOCAB = r"w AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-ZÀ-ÿ]{2,}')) AS w FROM documents), g AS (SELECT * FROM w WHERE len(w) > 0), e AS (SELECT lang, doc_id, unnest(w) AS term FROM g), v AS (SELECT term FROM (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM e GROUP BY 1) WHERE df <= 0.95 * (SELECT count(*) FROM g) ORDER BY tf DESC, term LIMIT 10000), c AS (SELECT lang, term, count(*) AS n FROM e JOIN v USING (term) GROUP BY 1, 2)"
 
 
 def _odds_sql(target: str, reference: str) -> str:
-    return f"""{_VOCAB}, q AS (SELECT term, coalesce(sum(n) FILTER (WHERE lang = '{target}'), 0) AS a, coalesce(sum(n) FILTER (WHERE lang = '{reference}'), 0) AS b, coalesce(sum(n) FILTER (WHERE lang NOT IN ('{target}', '{reference}')), 0) AS p FROM c GROUP BY 1),
+    return f"""{_VOCAB}, q AS (SELECT term, coalesce(sum(n) FILTER (WHERE lang = '{target}'), 0) AS a, coalesce(sum(n) FILTER (WHERE lang = '{reference}'), 0) AS b, coalesce(sum(n) FILTER (WHERE lang IS DISTINCT FROM '{target}' AND lang IS DISTINCT FROM '{reference}'), 0) AS p FROM c GROUP BY 1),
     t AS (SELECT CAST(sum(a) AS DOUBLE) AS ta, CAST(sum(b) AS DOUBLE) AS tb, CAST(sum(p) AS DOUBLE) AS tp FROM q),
     z AS (SELECT term, round((ln((a + p) / (ta + tp - (a + p)) + 1e-10) - ln((b + p) / (tb + tp - (b + p)) + 1e-10)) / sqrt(1 / (a + p + 1e-10) + 1 / (b + p + 1e-10)), 6) AS z FROM q, t)"""
 
@@ -521,26 +553,45 @@ def logodds_report(s, d):
     return found.select(F.format_string("%s: %.2f", "term", "z").alias("line"))
 
 
-_PAIRS = (("fr", "es"), ("de", "en"), ("en", "fr"), ("es", "es"))
+def _traits(s, d):
+    """Documents with the traits of a design, by their ids."""
+    pick = lambda name, k: F.get(F.array(*map(F.lit, prompts.TRAITS[name])), k.cast("int")).alias(name)
+    k = F.col("doc_id")
+    return _docs(s, d).select("doc_id", "text", pick("genero", k % 3), pick("raca", k % 5), pick("regiao", F.floor(k / 5) % 5))
 
 
-@query()
+def _trait_sql(name: str) -> str:
+    k = {"genero": "doc_id % 3", "raca": "doc_id % 5", "regiao": "(doc_id // 5) % 5"}[name]
+    return "[" + ", ".join(f"'{x}'" for x in prompts.TRAITS[name]) + f"][{k} + 1]"
+
+
+def _batch_sql() -> str:
+    by = ", ".join(f"{_trait_sql(n)} AS {n}" for n in ("genero", "raca", "regiao"))
+    sums = " UNION ALL ".join(
+        f"SELECT '{c}' AS trait, '{t}' AS target, '{r}' AS reference, term, coalesce(sum(n) FILTER (WHERE {c} = '{t}'), 0) AS a, coalesce(sum(n) FILTER (WHERE {c} = '{r}'), 0) AS b, coalesce(sum(n) FILTER (WHERE {c} NOT IN ('{t}', '{r}')), 0) AS p FROM k GROUP BY term"
+        for c, t, r in lexical.COMPARISONS
+    )
+    return f"""WITH {_VOCAB}, k AS (SELECT {by}, term, count(*) AS n FROM e JOIN v USING (term) GROUP BY ALL), q AS ({sums}),
+    t AS (SELECT trait, target, reference, sum(a)::DOUBLE AS ta, sum(b)::DOUBLE AS tb, sum(p)::DOUBLE AS tp FROM q GROUP BY ALL)
+    SELECT * FROM (SELECT trait, target, reference, term, round((ln((a + p) / (ta + tp - (a + p)) + 1e-10) - ln((b + p) / (tb + tp - (b + p)) + 1e-10)) / sqrt(1 / (a + p + 1e-10) + 1 / (b + p + 1e-10)), 6) AS z FROM q JOIN t USING (trait, target, reference)) WHERE z > 1.96"""
+
+
+@query(_batch_sql())
 def logodds_all(s, d):
-    counts = lexical.group_counts(_docs(s, d), "lang").cache()
-    out = None
-    for t, r in _PAIRS:
-        one = lexical.log_odds(counts, t, r).where("z > 1.96").select(F.lit(t).alias("target"), F.lit(r).alias("reference"), "term", r6(F.col("z")).alias("z"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    counts = lexical.group_counts(_traits(s, d), ["genero", "raca", "regiao"])
+    return lexical.log_odds_batch(counts).withColumn("z", r6(F.col("z"))).where("z > 1.96")
 
 
 # themes
 
-_THEMES = "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', [{', '.join(repr(k) for k in ks)}])" for t, ks in themes.KEYWORDS.items()) + ") t(tema, ks)), m AS (SELECT doc_id, tema, len(ks) AS total, list_filter(ks, lambda x: contains(lower(text), x)) AS m FROM documents, k), h AS (SELECT doc_id, tema, len(m) AS keywords_count, len(m) / total AS intensity, array_to_string(m[1:3], ',') AS matched_keywords FROM m WHERE len(m) > 0)"
+#: The themes, and word parts of the languages of the test corpus.
+_KEYWORDS = themes.KEYWORDS | {"motion": ("ation", "heit", "mente", "tion"), "people": ("elle", "ouh", "ihr", "los"), "nature": ("stein", "eau", "mar", "thre"), "change": ("wh", "ung", "ció")}
+
+_THEMES = "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', [{', '.join(repr(k) for k in ks)}])" for t, ks in _KEYWORDS.items()) + ") t(tema, ks)), m AS (SELECT doc_id, tema, len(ks) AS total, list_filter(ks, lambda x: contains(lower(text), x)) AS m FROM documents, k), h AS (SELECT doc_id, tema, len(m) AS keywords_count, len(m) / total AS intensity, array_to_string(m[1:3], ', ') AS matched_keywords FROM m WHERE len(m) > 0)"
 
 
 def _themes(s, d):
-    return themes.detect(_docs(s, d), "doc_id", "text")
+    return themes.detect(_docs(s, d), "doc_id", "text", _KEYWORDS)
 
 
 @query(f"WITH {_THEMES} SELECT doc_id, tema, keywords_count, round(intensity, 6) AS intensity, matched_keywords FROM h")
@@ -553,9 +604,9 @@ def theme_stats(s, d):
     return _themes(s, d).groupBy("tema").agg(F.count("*").alias("n"), F.sum("keywords_count").alias("keywords"), F.round(F.avg("intensity"), 3).alias("intensity"))
 
 
-@query(f"WITH {_THEMES} SELECT doc_id, " + ", ".join(f"max(CASE WHEN tema = '{t}' THEN 1 ELSE 0 END) AS {t}" for t in themes.KEYWORDS) + " FROM h GROUP BY 1")
+@query(f"WITH {_THEMES} SELECT doc_id, " + ", ".join(f"max(CASE WHEN tema = '{t}' THEN 1 ELSE 0 END) AS \"{t}\"" for t in _KEYWORDS) + " FROM h GROUP BY 1")
 def theme_matrix(s, d):
-    return _themes(s, d).groupBy("doc_id").agg(*[F.max(F.when(F.col("tema") == t, 1).otherwise(0)).alias(t) for t in themes.KEYWORDS])
+    return _themes(s, d).groupBy("doc_id").agg(*[F.max(F.when(F.col("tema") == t, 1).otherwise(0)).alias(t) for t in _KEYWORDS])
 
 
 @query(f"WITH {_THEMES} SELECT x.tema AS a, y.tema AS b, count(*) AS n FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.tema <> y.tema GROUP BY 1, 2")
@@ -579,39 +630,87 @@ def tag_cooc(s, d):
     return themes.together(tags, "p_partkey", "tag")
 
 
-# parses (the fixture of two sentences)
+# parses (a stand-in parse of every document)
+
+
+def _parses(s, d):
+    words = F.transform(T.sentences(F.col("text")), lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    labels = F.array(*map(F.lit, ("PER", "ORG", "LOC", "GPE", "MISC")))
+    names = F.transform(F.filter(F.split("text", " "), lambda w: w.rlike("^[A-Z]")), lambda w: F.get(labels, F.length(w) % 5))
+    return _docs(s, d).select("doc_id", "text", conllu.generated(words).alias("parse"), names.alias("entities"))
+
+
+_PARSED = r"""ps AS (SELECT doc_id, generate_subscripts(s, 1) AS sid, unnest(s) AS x FROM (SELECT doc_id, list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '') AS s FROM documents)),
+pw AS (SELECT * FROM (SELECT doc_id, sid, list_filter(string_split_regex(x, '\s+'), lambda y: y <> '') AS w FROM ps) WHERE len(w) > 0),
+pt AS (SELECT doc_id, sid, len(w) AS n, unnest(w) AS y, generate_subscripts(w, 1) AS k FROM pw),
+tok AS (SELECT *, ['NOUN', 'VERB', 'ADJ', 'ADV', 'DET', 'PUNCT'][length(y) % 6 + 1] AS upos, ['nsubj', 'obj', 'ccomp', 'xcomp', 'advcl', 'acl', 'conj', 'cc', 'punct', 'nummod', 'advmod'][(length(y) + k) % 11 + 1] AS rel FROM pt),
+ws AS (SELECT doc_id, sid, CAST(floor(log2(any_value(n))) AS BIGINT) AS depth, coalesce(string_agg(lower(y), ' ' ORDER BY k) FILTER (WHERE rel NOT IN ('punct', 'nummod')), '') AS lem FROM tok GROUP BY 1, 2),
+dd AS (SELECT doc_id, count(*) AS ns, sum(depth)::BIGINT AS ds, max(depth) AS dm, coalesce(string_agg(lem, ' ' ORDER BY sid) FILTER (WHERE lem <> ''), '') AS lemmas FROM ws GROUP BY 1),
+cc AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE rel <> 'punct') AS tok, count(*) FILTER (WHERE upos <> 'PUNCT') AS words, count(*) FILTER (WHERE rel IN ('ccomp', 'xcomp', 'advcl', 'acl')) AS cl, count(*) FILTER (WHERE rel IN ('advcl', 'acl')) AS dep, count(*) FILTER (WHERE rel IN ('ccomp', 'conj', 'cc')) AS co,
+  count(*) FILTER (WHERE rel <> 'punct' AND upos IN ('NOUN', 'ADJ', 'VERB')) AS lex, count(*) FILTER (WHERE rel = 'advmod' OR upos IN ('NOUN', 'ADJ', 'VERB')) AS lex_b, count(DISTINCT y) FILTER (WHERE rel <> 'punct') AS types, count(DISTINCT y) AS types_b,
+  count(*) FILTER (WHERE upos = 'NOUN') AS c_noun, count(*) FILTER (WHERE upos = 'VERB') AS c_verb, count(*) FILTER (WHERE upos = 'ADJ') AS c_adj, count(*) FILTER (WHERE upos = 'ADV') AS c_adv FROM tok GROUP BY 1),
+z AS (SELECT documents.doc_id, coalesce(ns, 0) AS ns, coalesce(ds, 0) AS ds, coalesce(dm, 0) AS dm, coalesce(lemmas, '') AS lemmas, coalesce(total, 0) AS total, coalesce(tok, 0) AS tok, coalesce(words, 0) AS words, coalesce(cl, 0) AS cl, coalesce(dep, 0) AS dep, coalesce(co, 0) AS co, coalesce(lex, 0) AS lex, coalesce(lex_b, 0) AS lex_b, coalesce(types, 0) AS types, coalesce(types_b, 0) AS types_b, coalesce(c_noun, 0) AS c_noun, coalesce(c_verb, 0) AS c_verb, coalesce(c_adj, 0) AS c_adj, coalesce(c_adv, 0) AS c_adv FROM documents LEFT JOIN dd USING (doc_id) LEFT JOIN cc USING (doc_id))"""
+
 
-CONLLU = "# text = Ela disse que viu o gato no jardim.\n1\tEla\tele\tPRON\t_\t_\t2\tnsubj\t_\t_\n2\tdisse\tdizer\tVERB\t_\t_\t0\troot\t_\t_\n3\tque\tque\tSCONJ\t_\t_\t4\tmark\t_\t_\n4\tviu\tver\tVERB\t_\t_\t2\tccomp\t_\t_\n5\to\to\tDET\t_\t_\t6\tdet\t_\t_\n6\tgato\tgato\tNOUN\t_\t_\t4\tobj\t_\t_\n7-8\tno\t_\t_\t_\t_\t_\t_\t_\t_\n7\tem\tem\tADP\t_\t_\t9\tcase\t_\t_\n8\to\to\tDET\t_\t_\t9\tdet\t_\t_\n9\tjardim\tjardim\tNOUN\t_\t_\t4\tobl\t_\t_\n10\t.\t.\tPUNCT\t_\t_\t2\tpunct\t_\t_\n\n# text = Tem 2 cães e gatos pretos.\n1\tTem\tter\tVERB\t_\t_\t0\troot\t_\t_\n2\t2\t2\tNUM\t_\t_\t3\tnummod\t_\t_\n3\tcães\tcão\tNOUN\t_\t_\t1\tobj\t_\t_\n4\te\te\tCCONJ\t_\t_\t5\tcc\t_\t_\n5\tgatos\tgato\tNOUN\t_\t_\t3\tconj\t_\t_\n6\tpretos\tpreto\tADJ\t_\t_\t5\tamod\t_\t_\n7\t.\t.\tPUNCT\t_\t_\t1\tpunct\t_\t_\n"
+def _half_up(a: str, b: str, places: int) -> str:
+    """a / b of whole numbers, rounded half up; 0 where b is 0."""
+    return f"CASE WHEN {b} > 0 THEN ({2 * 10**places} * ({a}) + ({b})) // (2 * ({b})) / {10**places}.0::DOUBLE ELSE 0 END"
 
 
-def _parses(s):
-    return s.range(1).select(F.lit("r1").alias("id"), F.lit(CONLLU).alias("parse"))
+_COMPLEXITY_SQL = ", ".join(f"{_half_up(a, b, n)} AS {name}" for name, a, b, n in (("MLC", "tok", "cl", 2), ("MLS", "tok", "ns", 2), ("DCC", "dep", "cl", 2), ("CPC", "co", "cl", 2), ("profundidade_media", "ds", "ns", 2), ("ttr", "types", "tok", 4), ("lexical_density", "lex", "tok", 4))) + ", CAST(dm AS INTEGER) AS profundidade_max, CAST(tok AS INTEGER) AS token_quantity"
+_POS_SQL = ", ".join(f"{_half_up(f'100 * c_{p}', 'words', 2)} AS {p}_freq" for p in ("noun", "verb", "adj", "adv"))
 
 
-@query("SELECT * FROM (VALUES ('r1', 2::INTEGER, 18::INTEGER)) t(id, sentences, tokens)")
+@query(f"WITH {_PARSED} SELECT doc_id, ns AS sentences, total AS tokens FROM z")
 def conllu_parse(s, d):
-    p = _parses(s).select("id", conllu.parsed(F.col("parse")).alias("p"))
-    return p.select("id", F.size("p").alias("sentences"), F.size(F.flatten("p")).alias("tokens"))
+    p = _parses(s, d).select("doc_id", conllu.parsed(F.col("parse")).alias("p"))
+    return p.select("doc_id", F.size("p").cast("bigint").alias("sentences"), F.size(F.flatten("p")).cast("bigint").alias("tokens"))
 
 
-@query("SELECT 'r1' AS id, 'ele dizer que ver o gato _ em o jardim ter cão e gato preto' AS lemmas")
+@query(f"WITH {_PARSED} SELECT doc_id, sha256(lemmas) AS lemmas FROM z")
 def lemmas(s, d):
-    return conllu.complexity(_parses(s), "id", "parse").select("id", "lemmas")
+    return conllu.complexity(_parses(s, d), "doc_id", "parse").select("doc_id", F.sha2("lemmas", 256).alias("lemmas"))
 
 
-@query("SELECT 'r1' AS id, 16.0::DOUBLE AS MLC, 8.0::DOUBLE AS MLS, 0.0::DOUBLE AS DCC, 3.0::DOUBLE AS CPC, 3.0::DOUBLE AS profundidade_media, 3::INTEGER AS profundidade_max, 0.9375::DOUBLE AS ttr, 0.5::DOUBLE AS lexical_density, 16::INTEGER AS token_quantity")
+@query(f"WITH {_PARSED} SELECT doc_id, {_COMPLEXITY_SQL} FROM z")
 def complexity(s, d):
-    return conllu.complexity(_parses(s), "id", "parse").drop("lemmas")
+    return conllu.complexity(_parses(s, d), "doc_id", "parse").drop("lemmas")
 
 
-@query("SELECT 'r1' AS id, 18::INTEGER AS token_quantity, 1.0::DOUBLE AS ttr")
+_RATIO = lambda a, b: f"CASE WHEN {b} > 0 THEN round(({a})::DOUBLE / ({b}), 6) ELSE 0 END"
+
+
+@query(f"WITH {_PARSED} SELECT doc_id, {_RATIO('total', 'cl')} AS MLC, {_RATIO('total', 'ns')} AS MLS, {_RATIO('dep', 'cl')} AS DCC, {_RATIO('co', 'cl')} AS CPC, {_RATIO('ds', 'ns')} AS profundidade_media, CAST(dm AS INTEGER) AS profundidade_max, {_RATIO('types_b', 'words')} AS ttr, {_RATIO('lex_b', 'total')} AS lexical_density, CAST(total AS INTEGER) AS token_quantity FROM z")
 def complexity_b(s, d):
-    return conllu.complexity(_parses(s), "id", "parse", notebook=True).select("id", "token_quantity", "ttr")
+    c = conllu.complexity(_parses(s, d), "doc_id", "parse", notebook=True).drop("lemmas")
+    return c.select(*[r6(F.col(n)).alias(n) if t == "double" else n for n, t in c.dtypes])
 
 
-@query("SELECT 'r1' AS id, 26.67::DOUBLE AS noun_freq, 20.0::DOUBLE AS verb_freq, 6.67::DOUBLE AS adj_freq, 0.0::DOUBLE AS adv_freq")
+@query(f"WITH {_PARSED} SELECT doc_id, {_POS_SQL} FROM z")
 def pos_freq(s, d):
-    return conllu.pos_frequencies(_parses(s), "id", "parse")
+    return conllu.pos_frequencies(_parses(s, d), "doc_id", "parse")
+
+
+_METRICS_SQL = rf"""{_PARSED},
+ms AS (SELECT doc_id, len(w) AS k, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS chars, coalesce(list_sum(list_transform(w, lambda y: {_syllables_sql('y')})), 0)::BIGINT AS syl, len(list_filter(w, lambda y: length(y) > 6)) AS long FROM (SELECT doc_id, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM ps)),
+md AS (SELECT doc_id, count(*)::BIGINT AS s, sum(k)::BIGINT AS k, sum(chars)::BIGINT AS chars, sum(syl)::BIGINT AS syl, sum(long)::BIGINT AS long, sum(k * k)::BIGINT AS k2 FROM ms GROUP BY 1),
+mp AS (SELECT doc_id, trim(coalesce(text, '')) = '' AS blank, length(regexp_replace(coalesce(text, ''), '[\p{{L}}\p{{N}}_\s]', '', 'g')) AS p, list_transform(list_filter(string_split(text, ' '), lambda y: regexp_matches(y, '^[A-Z]')), lambda y: ['PER', 'ORG', 'LOC', 'GPE', 'MISC'][length(y) % 5 + 1]) AS e FROM documents),
+m AS (SELECT mp.doc_id, blank, p, e, coalesce(s, 0) AS s, coalesce(k, 0) AS k, coalesce(chars, 0) AS chars, coalesce(syl, 0) AS syl, coalesce(long, 0) AS long, coalesce(k2, 0) AS k2 FROM mp LEFT JOIN md USING (doc_id))
+SELECT doc_id, {_COMPLEXITY_SQL}, {_POS_SQL}, {_half_up('chars', 'k', 2)} AS avg_word_length, {_half_up('100 * long', 'k', 2)} AS long_words_ratio, CASE WHEN s > 1 THEN {_half_up('s * k2 - k * k', 's * s', 2)} ELSE 0 END AS sentence_length_variance, {_half_up('100 * p', 'k + p', 2)} AS punctuation_ratio,
+CASE WHEN k > 0 AND s > 0 THEN round(248.835::DOUBLE - 1.015::DOUBLE * k / s - 84.6::DOUBLE * syl / k, 2) ELSE 0 END AS flesch_reading_ease,
+CAST(len(list_filter(e, lambda x: x IN ('PER', 'PERSON'))) AS INTEGER) AS per_count, CAST(len(list_filter(e, lambda x: x = 'ORG')) AS INTEGER) AS org_count, CAST(len(list_filter(e, lambda x: x IN ('LOC', 'GPE', 'PLACE'))) AS INTEGER) AS loc_count, sha256(lemmas) AS lemmas FROM m JOIN z USING (doc_id)"""
+
+
+@query(f"WITH {_METRICS_SQL} WHERE NOT blank")
+def metrics_row(s, d):
+    docs = _parses(s, d).where(F.coalesce(F.trim("text"), F.lit("")) != "")
+    return metrics.analyzed(docs, "doc_id", "text", "parse", "entities").withColumn("lemmas", F.sha2("lemmas", 256))
+
+
+@query(f"WITH x AS (WITH {_METRICS_SQL}) SELECT CAST(sum(per_count) AS BIGINT) AS total_per_count, CAST(sum(org_count) AS BIGINT) AS total_org_count, CAST(sum(loc_count) AS BIGINT) AS total_loc_count, " + ", ".join(f"round(avg({p}_freq), 6) AS mean_{p}_freq" for p in ("noun", "verb", "adj", "adv")) + " FROM x")
+def corpus_totals(s, d):
+    t = metrics.corpus_totals(metrics.analyzed(_parses(s, d), "doc_id", "text", "parse", "entities"))
+    return t.select(*[r6(F.col(c)).alias(c) if c.startswith("mean") else c for c in t.columns])
 
 
 # embeddings
@@ -710,9 +809,9 @@ def cluster_quality(s, d):
     return q.select("n", "k", F.round("wcss", 4).alias("wcss"), F.round("bcss", 4).alias("bcss"), r6(F.col("size_cv")).alias("size_cv"), r6(F.col("calinski_harabasz")).alias("calinski_harabasz"))
 
 
-@query(f"WITH {_MEAN}, e AS (SELECT m, pos, avg(v) AS v FROM x GROUP BY 1, 2), g AS (SELECT m, m % 5 AS g, list(v ORDER BY pos) AS v FROM e GROUP BY 1), d AS (SELECT a.m AS i, a.g AS gi, b.g AS gj, avg(list_distance(a.v, b.v)) AS d FROM g a JOIN g b ON a.m <> b.m GROUP BY 1, 2, 3), s AS (SELECT i, max(d) FILTER (WHERE gi = gj) AS a, min(d) FILTER (WHERE gi <> gj) AS b FROM d GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s")
+@query("WITH v AS (SELECT vec_id AS i, label AS g, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), d AS (SELECT a.i, a.g AS gi, b.g AS gj, avg(list_distance(a.v, b.v)) AS d FROM v a JOIN v b ON a.i <> b.i GROUP BY 1, 2, 3), s AS (SELECT i, max(d) FILTER (WHERE gi = gj) AS a, min(d) FILTER (WHERE gi <> gj) AS b FROM d GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s")
 def silhouette(s, d):
-    return vectors.silhouette(_means(s, d).withColumn("g", F.col("m") % 5), "m", "g").select(r6(F.col("silhouette")).alias("silhouette"))
+    return vectors.silhouette(_vectors(s, d), "vec_id", "label").select(r6(F.col("silhouette")).alias("silhouette"))
 
 
 @query(f"WITH {_GROUPS} SELECT i, j, round(sim, 6) AS weight FROM p WHERE sim >= 0.3")

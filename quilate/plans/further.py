@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quilate.functions import text as T
 from quilate.operators import graphs, lexical, stats, vectors
 from quilate.plans import catalogue as C
 from quilate.plans.catalogue import query, r6
+from quilate.sources.scratch import new_folder, written
 from quilate.sources.tables import table
 
 
@@ -19,27 +19,41 @@ def _nodes(s, d):
     return table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("m")).distinct()
 
 
-def _folder(s, name):
-    """A new folder that driver and executors share."""
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
+def _graph(s, d):
+    """The edges as one graph, and its nodes."""
+    return _edges(s, d).withColumn("graph", F.lit(0)), _nodes(s, d).select(F.lit(0).alias("graph"), F.col("m").alias("node"))
 
-        shared = "file://" + tempfile.mkdtemp(prefix=f"{name}-")
-    import uuid
 
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+@query()
+def louvain(s, d):
+    edges, nodes = _graph(s, d)
+    return graphs.communities(edges, "graph", nodes)
 
 
 @query()
-def louvain(s, d):
-    nodes = _nodes(s, d).select(F.lit(0).alias("graph"), F.col("m").alias("node"))
-    return graphs.communities(_edges(s, d).withColumn("graph", F.lit(0)), "graph", nodes)
+def greedy_modularity(s, d):
+    edges, nodes = _graph(s, d)
+    return graphs.communities(edges, "graph", nodes, "greedy")
+
+
+@query()
+def community_summary(s, d):
+    edges, nodes = _graph(s, d)
+    found = written(graphs.communities(edges, "graph", nodes).select("node", "community"))
+    people = nodes.select("node", (F.col("node") % 3).cast("int").alias("genero"))
+    return graphs.summaries(found, people, "genero")
+
+
+@query()
+def density_clusters(s, d):
+    pairs = written(C._pairs(s, d).select("i", "j", (1 - F.col("sim")).alias("distance")))
+    nodes = _nodes(s, d)
+    return graphs.density_clusters(pairs, nodes, "m", 0.5, 3, lambda e, n: vectors.components(e, n, "node", new_folder(s, "density")))
 
 
 @query()
 def label_prop(s, d):
-    return graphs.label_propagation(_edges(s, d), _nodes(s, d), "m", _folder(s, "label_prop"))
+    return graphs.label_propagation(_edges(s, d), _nodes(s, d), "m", new_folder(s, "label_prop"))
 
 
 @query(f"WITH {C._GROUPS}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS threshold), te AS (SELECT threshold, count(*) FILTER (WHERE sim >= threshold) AS edges FROM p, t GROUP BY 1) SELECT threshold, edges FROM te ORDER BY edges > 10 DESC, abs(threshold - 0.3), edges DESC LIMIT 1")
@@ -55,33 +69,59 @@ def config_match(s, d):
     return C._pairs(s, d).select("i", "j", r6(F.lit(50.0) * (same(5) + same(3))).alias("match_pct"))
 
 
-@query(f"WITH {C._GROUPS} SELECT i % 5 AS value, count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS std FROM p WHERE i % 5 = j % 5 GROUP BY 1")
-def pair_stats_grid(s, d):
-    p = C._pairs(s, d).where(F.col("i") % 5 == F.col("j") % 5)
-    return p.groupBy((F.col("i") % 5).alias("value")).agg(F.count("*").alias("n"), r6(F.avg("sim")).alias("mean"), r6(F.stddev_pop("sim")).alias("std"))
-
-
 @query(f"WITH RECURSIVE {C._GROUPS}, ed AS (SELECT i, j FROM p WHERE sim >= 0.3 UNION SELECT j, i FROM p WHERE sim >= 0.3), r(node, other) AS (SELECT m, m FROM g UNION SELECT r.node, ed.j FROM r JOIN ed ON r.other = ed.i) SELECT node, min(other) AS component FROM r GROUP BY 1")
 def components(s, d):
-    nodes = table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("m")).distinct()
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
+    return vectors.components(_edges(s, d), _nodes(s, d), "m", new_folder(s, "components"))
 
-        shared = "file://" + tempfile.mkdtemp(prefix="components-")
-    import uuid
 
-    return vectors.components(_edges(s, d), nodes, "m", f"{shared}/components-{uuid.uuid4().hex}")
+_DRAWS = " + ".join(f"(u > {p})::INT" for p in ("0.36787944", "0.73575888", "0.91969860", "0.98101184", "0.99634015", "0.99940582"))
+_U = "('0x' || substr(md5({} || '|' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
-@query()
+@query(f"WITH r AS (SELECT event_type, value, {_U.format('event_id')} AS u, b FROM events, (SELECT unnest(range(1, 51)) AS b) WHERE value IS NOT NULL), k AS (SELECT event_type, b, value, {_DRAWS} AS k FROM r), m AS (SELECT event_type, b, sum(k * value) / nullif(sum(k), 0) AS m FROM k GROUP BY 1, 2) SELECT event_type, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m WHERE m IS NOT NULL GROUP BY 1 HAVING count(*) > 5")
 def bootstrap_ci(s, d):
-    """95 % intervals of a mean from 50 resamples; a row's multiplicity in a resample is Poisson, drawn from its id's hash."""
-    rows = table(s, d, "events").where("value IS NOT NULL").select("event_type", "event_id", "value", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("b"))
-    u = F.pmod(F.xxhash64("event_id", "b"), F.lit(1_000_000)) / 1_000_000.0
-    times = sum(((u > p).cast("int") for p in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)), F.lit(0))
-    means = rows.withColumn("k", times).groupBy("event_type", "b").agg((F.sum(F.col("k") * F.col("value")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
-    return means.groupBy("event_type").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    """95 % intervals of a mean from 50 resamples; a row's multiplicity in a resample is Poisson, drawn from its id's digest."""
+    return stats.bootstrap_interval(table(s, d, "events"), "event_id", "value", "event_type").select("event_type", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+
+
+@query(f"WITH v AS (SELECT vec_id, label, embedding, b, {_U.format('vec_id')} AS u FROM embeddings, (SELECT unnest(range(1, 51)) AS b)), k AS (SELECT * FROM (SELECT vec_id, label, embedding, b, {_DRAWS} AS k FROM v) WHERE k > 0), x AS (SELECT b, label, k, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM k), s AS (SELECT b, label, pos, sum(k * x) AS s, sum(k * x * x) AS q FROM x GROUP BY ALL), n AS (SELECT b, label, sum(k) AS n FROM k GROUP BY ALL), w AS (SELECT b, label, sum(s * s) AS ss, sum(q) AS sq FROM s GROUP BY ALL), t AS (SELECT b, sum(s * s) AS tt FROM (SELECT b, pos, sum(s) AS s FROM s GROUP BY ALL) GROUP BY ALL), e AS (SELECT b, sum(n) AS n, count(*) AS g, sum(sq - ss / n) AS wcss, sum(ss / n) AS bt FROM w JOIN n USING (b, label) GROUP BY ALL), m AS (SELECT b, wcss, bt - tt / n AS bcss FROM e JOIN t USING (b)) SELECT round(quantile_cont(bcss / (wcss + bcss), 0.025), 6) AS low, round(quantile_cont(bcss / (wcss + bcss), 0.975), 6) AS high FROM m")
+def bootstrap_quality(s, d):
+    """The interval of the explained share of variance by label."""
+    q = vectors.resampled_quality(C._vectors(s, d), "vec_id", "label").where("metric = 'explained'")
+    return q.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+
+
+@query(f"WITH {C._CENTRED}, l AS (SELECT label, list(c ORDER BY pos) AS c FROM c GROUP BY 1) SELECT round(coalesce(avg(list_distance(a.c, b.c)), 0), 6) AS mean_inter FROM l a JOIN l b ON a.label < b.label")
+def centroid_gap(s, d):
+    return vectors.centroid_gap(C._vectors(s, d), "label").select(r6(F.col("mean_inter")).alias("mean_inter"))
+
+
+def _designed(s, d):
+    m = F.col("m")
+    return C._means(s, d).select("m", "embedding", (m % 3).cast("string").alias("genero"), (m % 5).cast("string").alias("raca"), (F.floor(m / 5) % 2).cast("string").alias("regiao"))
+
+
+_DESIGN = ", ".join(f"{x} AS {n}" for n, x in (("genero", "(m % 3)::VARCHAR"), ("raca", "(m % 5)::VARCHAR"), ("regiao", "((m // 5) % 2)::VARCHAR")))
+_GRID_SQL = f"""WITH {C._GROUPS}, h AS (SELECT m, v, {_DESIGN} FROM g), cells AS (SELECT m, v, 'genero' AS trait, genero AS value FROM h UNION ALL SELECT m, v, 'raca', raca FROM h UNION ALL SELECT m, v, 'regiao', regiao FROM h),
+cx AS (SELECT trait, value, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM cells), ce AS (SELECT trait, value, list(a ORDER BY pos) AS c FROM (SELECT trait, value, pos, avg(x) AS a FROM cx GROUP BY ALL) GROUP BY ALL),
+two AS (SELECT a.m AS i, b.m AS j, a.v AS vi, b.v AS vj, a.genero AS gi, b.genero AS gj, a.raca AS ri, b.raca AS rj, a.regiao AS ei, b.regiao AS ej FROM h a JOIN h b ON a.m < b.m),
+ev AS (SELECT trait, value, i, j, list_cosine_similarity(vi, vj) AS original, list_cosine_similarity(list_transform(range(1, len(c) + 1), lambda k: vi[k] - c[k]), list_transform(range(1, len(c) + 1), lambda k: vj[k] - c[k])) AS centred, ((gi = gj)::INT + (ri = rj)::INT + (ei = ej)::INT) * 100.0::DOUBLE / 3 AS match_pct, CASE trait WHEN 'genero' THEN gi = value AND gj = value WHEN 'raca' THEN ri = value AND rj = value ELSE ei = value AND ej = value END AS held FROM two, ce),
+pr AS (SELECT *, 'centering' AS analysis FROM ev UNION ALL SELECT *, 'filtered' FROM ev WHERE held)
+SELECT trait, value, analysis, count(*) AS total_pairs, round(round(avg(original), 6), 5) AS original_mean, round(round(avg(centred), 6), 5) AS centred_mean, round(round(stddev_pop(centred), 6), 5) AS centred_std, round(avg(match_pct), 2) AS match_mean, round(round(CASE WHEN stddev_pop(centred) > 0 AND stddev_pop(original) > 0 THEN corr(centred, original) END, 6), 5) AS centred_vs_original FROM pr GROUP BY ALL"""
+
+
+@query(_GRID_SQL)
+def pair_stats_grid(s, d):
+    """The whole grid: every trait and value, centred on its mean, over all groups and over its own."""
+    df = written(_designed(s, d))
+    traits = ["genero", "raca", "regiao"]
+    pairs = vectors.pair_analysis(df, "m", traits)
+    cells = df.select("m", F.explode(F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("value")) for t in traits])).alias("x"))
+    own = cells.groupBy("x.trait", "x.value").agg(F.count("*").alias("own")).crossJoin(df.agg(F.count("*").alias("every")))
+    groups = own.select("trait", "value", F.explode(F.array(F.struct(F.lit("centering").alias("analysis"), F.col("every").alias("group_size")), F.struct(F.lit("filtered").alias("analysis"), F.col("own").alias("group_size")))).alias("g")).select("trait", "value", "g.*")
+    found = vectors.pair_statistics(pairs, groups).where("status = 'ok'")
+    short = lambda c: F.round(c, 5).alias(c)
+    return found.select("trait", "value", "analysis", "total_pairs", *map(short, ("original_mean", "centred_mean", "centred_std")), "match_mean", short("centred_vs_original"))
 
 
 @query()
@@ -122,13 +162,6 @@ def ctfidf_compare(s, d):
     return half(0).join(half(1), ["lang", "rank"])
 
 
-@query(f"WITH {C._STYLE} SELECT doc_id, words::BIGINT AS words, sents::BIGINT AS sentences, {C._FLESCH} AS flesch, CASE WHEN words > 0 THEN round(len(list_distinct(w)) / words, 6) ELSE 0 END AS ttr FROM f")
-def metrics_row(s, d):
-    m = C._styled(s, d)
-    ttr = F.when(F.col("words") > 0, r6(F.size(F.array_distinct("w")) / F.col("words"))).otherwise(0.0)
-    return m.select("doc_id", F.col("words").cast("bigint").alias("words"), F.col("sents").cast("bigint").alias("sentences"), F.round(T.flesch(F.col("words"), F.col("sents"), F.col("syl")), 4).alias("flesch"), ttr.alias("ttr"))
-
-
 @query("SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 20")
 def highest_values(s, d):
     return table(s, d, "events").where("value IS NOT NULL").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(20)

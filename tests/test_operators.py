@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quilate.functions import text as T
-from quilate.operators import conllu, enrich, graphs, prompts, stats, vectors
+from quilate.operators import enrich, graphs, prompts, stats, vectors
 from quilate.plans import further  # noqa: F401
-from quilate.plans.catalogue import CONLLU, QUERIES
+from quilate.plans.catalogue import QUERIES
 
 
 def test_syllables(spark):
@@ -23,14 +23,6 @@ def test_persona_grid_and_ids(spark):
     assert m.count() == 3600 and m.select("messageId").distinct().count() == 3600
 
 
-def test_complexity_of_empty_parse(spark):
-    df = spark.createDataFrame([("a", CONLLU), ("b", ""), ("c", None)], "id string, parse string")
-    rows = {r["id"]: r for r in conllu.complexity(df, "id", "parse").collect()}
-    assert rows["a"]["MLC"] == 16.0 and rows["a"]["profundidade_max"] == 3
-    for k in ("b", "c"):
-        assert all(rows[k][m] == 0 for m in conllu.METRICS) and rows[k]["lemmas"] == ""
-
-
 def test_pending_and_call(spark):
     items = spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", "z")], "id string, text string")
     done = spark.createDataFrame([("a",), ("c",), ("c",)], "id string")
