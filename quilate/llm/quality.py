@@ -146,8 +146,11 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that the rules keep, with their columns as they came."""
+    """The documents that the rules keep, with their columns as they came, also those named like a metric."""
+    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
+    aside = {c: f"_q_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in own}
     # written with the texts: a filter on the verdict must not be pushed into the metrics, which would nest them
-    metrics = written(with_metrics(docs, text))
+    metrics = written(with_metrics(docs.withColumnsRenamed(aside), text))
     limits = written(fences(sketches(metrics, lang, source)))
-    return judged(metrics, limits, lang, source).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    kept = judged(metrics, limits, lang, source).where("kept").drop(*own)
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*[f"`{c}`" for c in docs.columns])

@@ -1,25 +1,28 @@
 """Exact top-k search by inner product with KD-trees.
 
-Candidates are dealt into shards by a hash of their id. Each shard is one
-KD-tree: nodes are split at the median of the widest coordinate and carry tight
-bounding boxes. No vector in a box scores more with a query q than
-``max(q, 0) . high + min(q, 0) . low``. A search goes through the nodes best
-bound first and stops when no bound beats the k-th score found so far.
-
-That k-th score is propagated: a first, cheap round lets every query look into
-its single best leaf of every shard and keeps the k best scores over all shards;
-the k-th of them is a lower bound with which the second, exact round starts in
-every shard. Queries come in blocks of bounded size; a task holds one shard's
-tree and one block.
+Candidates are dealt into regions of space by median splits that a bounded sample
+gives; regions of many rows (copies of one vector fall into one) are cut further by
+a hash of the id. Each such shard is one KD-tree: nodes are split at the median of
+the widest coordinate and carry tight bounding boxes. No vector in a box scores more
+with a query q than ``max(q, 0) . high + min(q, 0) . low``. A search goes through the
+nodes best bound first and stops when no bound beats the k-th score found so far.
+
+That k-th score is propagated: a first, cheap round lets every query look into the
+best leaf of the few shards whose root boxes promise most; the k-th score found is a
+floor. The second, exact round sends a query only to the shards whose root box
+reaches its floor, and starts there from it. Root boxes are compared with queries in
+packed blocks of both; a task holds one shard's tree and one block of queries.
 
 Scores are exact integers: vectors hold integers, and products are summed in
 doubles only while they stay below 2**53, else in 64-bit integers (beyond which no
 score of type long exists).
 
 Edge cases: vectors that are null, or hold null or non-finite components, take
-no part; ties go to the smaller id; identical vectors are split by position, so
-that they can't overfill a leaf; a query is never its own candidate; fewer
-candidates than k give all of them; an empty table gives an empty result.
+no part; of vectors of different lengths the shorter count as filled up with zeros;
+ties go to the smaller id; identical vectors are split by position, so that they
+can't overfill a leaf; a query is never its own candidate; rows that share an id
+are candidates each; fewer candidates than k give all of them; an empty table gives
+an empty result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quilate.llm.common import tidied, written
 
-#: Vectors in a shard and in a leaf, queries in a block.
-SHARD, LEAF, BLOCK = 8192, 128, 16_384
+#: Vectors in a shard and in a leaf, queries in a block, root boxes in a chunk.
+SHARD, LEAF, BLOCK, CHUNK = 8192, 128, 4096, 1024
+#: Rows that the regions are fitted to, rows of the sample that a region needs, and shards of the first round.
+SAMPLE, SUPPORT, FIRST = 20_000, 16, 4
 
 
 def quantised(vectors: DataFrame, vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -51,6 +56,14 @@ def _is_small(a: np.ndarray, b: np.ndarray) -> bool:
     return most(a) * most(b) * max(a.shape[-1], 1) < 2**53
 
 
+def upper_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Upper bound of the score of each query (row) with each box (column)."""
+    q = queries.astype(np.float64)
+    bound = np.maximum(q, 0) @ high.T.astype(np.float64) + np.minimum(q, 0) @ low.T.astype(np.float64)
+    # where doubles may round, the bound is raised a little
+    return bound if _is_small(queries, low) and _is_small(queries, high) else bound * (1 + np.sign(bound) * 1e-9) + 1
+
+
 class Tree:
     """KD-tree over integer vectors."""
 
@@ -86,10 +99,7 @@ class Tree:
         return node
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bound of the score of each query (row) with each node (column)."""
-        q = queries.astype(np.float64)
-        bound = np.maximum(q, 0) @ self.high.T.astype(np.float64) + np.minimum(q, 0) @ self.low.T.astype(np.float64)
-        return bound if _is_small(queries, np.stack([self.low.ravel(), self.high.ravel()]).reshape(2, -1)[:, : queries.shape[1]]) and _is_small(queries, self.vectors) else bound * (1 + np.sign(bound) * 1e-9) + 1
+        return upper_bounds(queries, self.low, self.high)
 
     def scores(self, query: np.ndarray, node: int, exact: bool) -> np.ndarray:
         own = self.vectors[self.begin[node] : self.end[node]]
@@ -132,62 +142,144 @@ class Tree:
             yield i, best
 
 
-def _rounds(paired: DataFrame, k: int, leaves: int | None) -> DataFrame:
-    """Search every (shard, block) pair; the tree and the block come as pickled rows."""
-
-    def one(batches):
-        for pdf in batches:
-            out = []
-            for tree, block in zip(pdf["tree"], pdf["block"], strict=True):
-                tree, (names, queries, floor) = pickle.loads(tree), pickle.loads(block)
-                for i, best in tree.search(queries, names, k, floor, leaves):
-                    out += [(int(names[i]), -own, score) for score, own in best]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+class Regions:
+    """Regions of space by median splits of a sample; the number of regions is given."""
+
+    def __init__(self, sample: np.ndarray, count: int):
+        self.axis, self.cut, self.child, self.count = [], [], [], 0
+        self._split(sample, max(1, count))
+        self.axis, self.cut, self.child = np.array(self.axis), np.array(self.cut, float), np.array(self.child)
+
+    def _split(self, rows: np.ndarray, count: int) -> int:
+        """A node: an axis, a cut and two children; a region's axis is -1 and its first child is its number."""
+        at = len(self.axis)
+        self.axis.append(-1)
+        self.cut.append(0.0)
+        self.child.append((self.count, 0))
+        spread = rows.max(0) - rows.min(0) if len(rows) > 1 else np.zeros(1)
+        if count > 1 and spread.max() > 0:
+            axis = int(spread.argmax())
+            x = np.sort(rows[:, axis])
+            cut = x[len(x) * (count // 2) // count]
+            if cut == x[0]:
+                cut = x[np.searchsorted(x, cut, "right")]
+            below = rows[:, axis] < cut
+            self.axis[at], self.cut[at] = axis, float(cut)
+            left = self._split(rows[below], count // 2)
+            right = self._split(rows[~below], count - count // 2)
+            self.child[at] = (left, right)
+        else:
+            self.count += 1
+        return at
 
-    return paired.mapInPandas(one, "query_id bigint, vec_id bigint, score bigint")
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(vectors), np.int64)
+        while True:
+            inner = self.axis[node] >= 0
+            if not inner.any():
+                return self.child[node, 0]
+            at = np.flatnonzero(inner)
+            n = node[at]
+            node[at] = self.child[n, (vectors[at, self.axis[n]] >= self.cut[n]).astype(np.int64)]
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, by an aggregate that keeps at most k rows per group before the shuffle."""
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64)
 
-    def keep(batches):
-        for pdf in batches:
-            yield pdf.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], ignore_index=True).groupby("query_id").head(k)
 
-    entry = F.struct((-F.col("score")).alias("minus"), "vec_id")
-    ranked = found.mapInPandas(keep, found.schema).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "e")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.minus")).alias("score"))
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; the limit per group applies before the shuffle, too."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+class Index:
+    """Trees of all shards and packed chunks of their root boxes, as written tables."""
+
+    def __init__(self, source: DataFrame, shard: int, leaf: int):
+        """``source``: vec_id and v, integer vectors of one length."""
+        rows = source.count()
+        sample = source.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"]
+        fitted = np.stack(sample.to_numpy()).astype(np.int64) if len(sample) else np.zeros((0, 1), np.int64)
+        regions = Regions(fitted, min(-(-rows // shard), max(1, len(fitted) // SUPPORT)))
+
+        def assign(batches):
+            for pdf in batches:
+                yield pdf.assign(region=regions.of(_matrix(pdf["v"])).astype(np.int32)) if len(pdf) else pdf.assign(region=pd.Series([], dtype="int32"))
+
+        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+            tree = Tree(pdf["vec_id"].to_numpy(), _matrix(pdf["v"]), leaf)
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "low": [tree.low[0].tolist()], "high": [tree.high[0].tolist()], "tree": [pickle.dumps(tree, protocol=5)]})
+
+        dealt = written(source.select("vec_id", "v").mapInPandas(assign, "vec_id bigint, v array<bigint>, region int"))
+        # at most SAMPLE / SUPPORT regions
+        pieces = F.broadcast(dealt.groupBy("region").agg(F.ceil(F.count("*") / shard).alias("pieces")))
+        number = F.col("region").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))
+        self.trees = written(dealt.join(pieces, "region").select("vec_id", "v", number.alias("shard")).groupBy("shard").applyInPandas(grow, "shard bigint, low array<bigint>, high array<bigint>, tree binary"))
+        self.shards = self.trees.count()
+        chunks = max(1, -(-self.shards // CHUNK))
+        pack = lambda pdf: pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "roots": [pickle.dumps((pdf["shard"].to_numpy(), _matrix(pdf["low"]), _matrix(pdf["high"])), protocol=5)]})
+        self.chunks, numbered = chunks, self.trees.select("shard", "low", "high", F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int").alias("chunk"))
+        self.roots = written(numbered.groupBy("chunk").applyInPandas(pack, "chunk int, roots binary"))
+
+    def visits(self, queries: DataFrame, blocks: int, most: int | None = None) -> DataFrame:
+        """(query_id, shard) for the shards whose root box reaches a query's floor, at most ``most`` per query: those of the best bounds."""
+
+        def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"block": [pickle.dumps((pdf["query_id"].to_numpy(), _matrix(pdf["v"]), pdf["floor"].to_numpy()), protocol=5)]})
+
+        def compare(batches):
+            for pdf in batches:
+                for roots, block in zip(pdf["roots"], pdf["block"], strict=True):
+                    (shards, low, high), (names, vectors, floor) = pickle.loads(roots), pickle.loads(block)
+                    bound = upper_bounds(vectors, low, high)
+                    near = bound >= floor[:, None]
+                    if most is not None and len(shards) > most:
+                        near &= bound >= -np.partition(-bound, most - 1, axis=1)[:, most - 1 : most]
+                    i, j = np.nonzero(near)
+                    yield pd.DataFrame({"query_id": names[i], "shard": shards[j], "bound": bound[i, j]})
+
+        packed = queries.withColumn("b", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInPandas(bundle, "block binary")
+        # the stated queries against all root boxes, in blocks
+        spread = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(self.chunks - 1))).alias("chunk"))
+        found = self.roots.join(spread, "chunk").mapInPandas(compare, "query_id bigint, shard bigint, bound double")
+        if most is not None:
+            order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard")
+            found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+        return found.select("query_id", "shard")
+
+    def search(self, queries: DataFrame, visits: DataFrame, k: int, blocks: int, leaves: int | None) -> DataFrame:
+        """Candidates of each query in the shards that it visits, at most k of each."""
+
+        def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "block": [pickle.dumps((pdf["query_id"].to_numpy(), _matrix(pdf["v"]), pdf["floor"].to_numpy()), protocol=5)]})
+
+        def one(batches):
+            for pdf in batches:
+                out = []
+                for tree, block in zip(pdf["tree"], pdf["block"], strict=True):
+                    tree, (names, vectors, floor) = pickle.loads(tree), pickle.loads(block)
+                    for i, best in tree.search(vectors, names, k, floor, leaves):
+                        out += [(int(names[i]), -own, score) for score, own in best]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+        asked = visits.join(queries, "query_id").withColumn("b", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(blocks)).cast("int"))
+        packed = asked.groupBy("shard", "b").applyInPandas(bundle, "shard bigint, block binary")
+        return self.trees.select("shard", "tree").join(packed, "shard").mapInPandas(one, "query_id bigint, vec_id bigint, score bigint")
 
 
 @tidied
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, shard: int = SHARD, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """The k candidates of highest inner product for each query among all other rows.
 
-    ``vectors`` holds integer vectors (see ``quantised``), all of one length.
+    ``vectors`` holds integer vectors (see ``quantised``).
     """
-    source = written(vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")))
-    rows, asked = source.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-rows // shard)), max(1, -(-asked // block))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.int64), leaf)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(tree, protocol=5)]})
-
-    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-        floor = pdf["floor"].to_numpy() if "floor" in pdf else np.full(len(pdf), -(2**63))
-        packed = pickle.dumps((pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.int64), floor), protocol=5)
-        return pd.DataFrame({"block": [packed]})
-
-    trees = written(source.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(grow, "shard int, tree binary"))
-    queries = source.where("asks").select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
-
-    def against_all(asking: DataFrame) -> DataFrame:
-        """Each block goes to each shard: the stated queries against all rows, in blocks."""
-        packed = asking.groupBy("b").applyInPandas(bundle, "block binary")
-        spread = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        return trees.join(spread, "shard").repartition(min(shards * blocks, 4096)) if shards * blocks > 1 else trees.join(spread, "shard")
-
-    first = _best(_rounds(against_all(queries), k, 1), k)
-    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    known = written(queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(2**63)))))
-    return _best(_rounds(against_all(known), k, None), k)
+    source = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id IS NOT NULL")
+    dims = source.agg(F.max(F.size("v"))).first()[0] or 0
+    source = written(source.withColumn("v", F.when(F.size("v") < dims, F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(dims) - F.size("v")))).otherwise(F.col("v"))).where(F.size("v") > 0))
+    queries = source.where("asks").select(F.col("vec_id").alias("query_id"), "v").withColumn("floor", F.lit(-(2**63)))
+    blocks, index = max(1, -(-queries.count() // block)), Index(source, shard, leaf)
+    first = _best(index.search(queries, index.visits(queries, blocks, FIRST), k, blocks, 1), k)
+    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    known = written(queries.join(floors, "query_id", "left").select("query_id", "v", F.coalesce("reached", "floor").alias("floor")))
+    return _best(index.search(known, index.visits(known, blocks), k, blocks, None), k)

@@ -6,23 +6,25 @@ share, gaps allowed: each occurrence weighs ``DECAY`` to the power of its span.
 character put into an insult, or one left out, only stretches some spans, so the
 similarity stays high. Units begin and end with a boundary character.
 
-Training takes sentences of labelled documents. All words of clean documents'
-sentences are negative. A toxic document says that some sentence holds an insult,
-not which: the machine starts from words that toxic documents have and clean
-ones lack, and then alternates (as in multiple-instance learning) between fitting
-and taking each toxic document's most suspicious word as its witness. Negatives
-that it still gets wrong join the fit each time. Witnesses are also shown with
-characters inserted, doubled or replaced, and negatives alike.
+Training takes sentences of labelled documents. A sentence's decision is that of
+its worst unit. All sentences of clean documents are negative. A toxic document says
+that some sentence is toxic, not which: the machine starts from sentences with a
+word that toxic documents have and clean ones lack, and then alternates (as in
+multiple-instance learning) between fitting and taking the most suspicious sentence
+of each toxic document that has none yet; the sentence shows its worst unit.
+Negatives that it still gets wrong join the fit each time. Toxic units are also
+shown with characters inserted, doubled or replaced, and negatives alike.
 
 The machine is linear in Nyström features, whose landmarks are taken greedily
 where the kernel is approximated worst. As a sum over landmarks its decision is
 linear in subsequence counts too, and so collapses into one weight per
 subsequence: scoring a unit is a handful of table lookups.
 
-A document's score is a logistic function of its worst unit's decision.
+A document's score is a logistic function of its worst sentence's decision. As no
+unit reaches over a sentence's end, that is the worst of the text's distinct units.
 
-The sample of labelled documents is bounded by ``SAMPLE`` per class; scoring covers
-all documents whole.
+The sample of labelled documents is bounded by ``SAMPLE`` per class, and by
+``SENTENCES`` of each (those of the smallest hashes); scoring covers all documents whole.
 
 Edge cases: null and empty texts score as a text of harmless words; very long
 words are scored in overlapping windows; texts without labels are scored alike;
@@ -37,6 +39,7 @@ import re
 import string
 from functools import lru_cache
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each class, landmarks, and rounds of witness choice.
 SAMPLE, LANDMARKS, TURNS = 2500, 320, 4
+#: Sentences of a labelled document that training takes, and words of one.
+SENTENCES, WORDS = 400, 80
 ORDER, DECAY, SPAN, WINDOW = 4, 0.75, 7, 28
 #: Decisions remembered in a Python worker.
 REMEMBERED = 400_000
@@ -81,6 +86,25 @@ def units(text: str | None) -> set[str]:
     return found
 
 
+_END_OF_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def sentences(text: str | None, most: int | None = None, words: int = WORDS) -> list[list[str]]:
+    """The units of each sentence with any: sentences end at a full stop, exclamation or question mark before white space, and at line feeds.
+
+    Sentences of more than ``words`` words (lists, text without stops) are cut. ``most``
+    bounds their number; those of the smallest hashes stay.
+    """
+    parts: list[str] = []
+    for part in _END_OF_SENTENCE.split(text or ""):
+        own = part.split(" ")
+        parts += [part] if len(own) <= words else [" ".join(own[i : i + words]) for i in range(0, len(own), words)]
+    parts = [x for x in parts if x.strip()]
+    if most is not None and len(parts) > most:
+        parts = sorted(parts, key=lambda x: crc32(x.encode()))[:most]
+    return [sorted(u) for u in map(units, parts) if u]
+
+
 @lru_cache(maxsize=64)
 def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of subsequences in a unit of ``n`` characters (boundaries included) and their weights."""
@@ -243,8 +267,11 @@ class Detector:
         return 1 / (1 + np.exp(-np.clip(self.slope * (worst - self.middle), -50, 50)))
 
 
-def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMARKS, turns: int = TURNS, seed: int = 11) -> Detector:
-    """Fit to the units of toxic and of clean documents."""
+Sentences = list[list[str]]
+
+
+def fit(toxic: list[Sentences], clean: list[Sentences], landmarks: int = LANDMARKS, turns: int = TURNS, seed: int = 11) -> Detector:
+    """Fit to the sentences (lists of units) of toxic and of clean documents."""
     if not toxic or not clean:
         return Detector(np.zeros(FEATURES), -1.0, 0.0, 0.0) if not toxic else Detector(np.zeros(FEATURES), 1.0, 50.0, 0.0)
     rng = random.Random(seed)
@@ -253,23 +280,26 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
     if len(toxic) >= 20 and len(clean) >= 20:
         toxic, clean = ([b for i, b in enumerate(x) if i % 5] for x in (toxic, clean))
     in_clean: dict[str, int] = {}
-    for bag in clean:
-        for w in set(bag):
+    for document in clean:
+        for w in {w for sentence in document for w in sentence}:
             in_clean[w] = in_clean.get(w, 0) + 1
     in_toxic: dict[str, int] = {}
-    for bag in toxic:
-        for w in set(bag):
+    for document in toxic:
+        for w in {w for sentence in document for w in sentence}:
             in_toxic[w] = in_toxic.get(w, 0) + 1
     odds = lambda w: in_toxic[w] / len(toxic) - 2 * in_clean.get(w, 0) / len(clean)
-    bags = [sorted({w for w in bag if len(w) > 2 and odds(w) > 0 and _LETTERS.search(w)}, key=lambda w: (-odds(w), w)) for bag in toxic]
+    # what of each toxic document's sentences may be toxic
+    suspects = lambda sentence: sorted({w for w in sentence if len(w) > 2 and odds(w) > 0 and _LETTERS.search(w)}, key=lambda w: (-odds(w), w))
+    bags = [[x for x in map(suspects, document) if x] for document in toxic]
     bags = [b for b in bags if b]
+    first = lambda b: min((x[0] for x in b), key=lambda w: (-odds(w), w))
     harmless = sorted(w for w in in_clean if _LETTERS.search(w))
     common = sorted(harmless, key=lambda w: (-in_clean[w], w))[:1000]
     # words that several toxic documents have, far more often than clean ones, are witnesses throughout
     rate = lambda n, bags: (n + 0.5) / len(bags)
     support = max(3, len(toxic) // 100)
-    telling = sorted({w for b in bags for w in b if in_toxic[w] >= support and rate(in_toxic[w], toxic) > 20 * rate(in_clean.get(w, 0), clean)})
-    telling = telling or sorted({w for b in bags for w in b if in_toxic[w] >= 3}) or sorted({b[0] for b in bags})
+    telling = sorted({w for b in bags for x in b for w in x if in_toxic[w] >= support and rate(in_toxic[w], toxic) > 20 * rate(in_clean.get(w, 0), clean)})
+    telling = telling or sorted({w for b in bags for x in b for w in x if in_toxic[w] >= 3}) or sorted({first(b) for b in bags})
     witnesses, known = list(telling), set(telling)
     negatives = sorted({*common, *rng.sample(harmless, min(4000, len(harmless)))})
     table, bias, wrong = np.zeros(FEATURES), 0.0, []
@@ -295,12 +325,12 @@ def fit(toxic: list[list[str]], clean: list[list[str]], landmarks: int = LANDMAR
         wrong = [harmless[i] for i in np.argsort(-f)[:2000] if f[i] > -0.8]
         negatives = sorted({*negatives, *wrong})
         if turn + 1 < turns:
-            # documents without a telling word show their most suspicious one, if it is suspicious at all
-            silent = [b for b in bags if known.isdisjoint(b)]
-            scores = [decisions(b, table, bias) for b in silent]
-            witnesses = telling + [b[int(s.argmax())] for b, s in zip(silent, scores, strict=True) if s.max() > 0.5]
+            # documents without a sentence known as toxic show their most suspicious one, if it is suspicious at all
+            silent = [b for b in bags if all(known.isdisjoint(x) for x in b)]
+            worst = [[(s.max(), x[int(s.argmax())]) for x in b for s in (decisions(x, table, bias),)] for b in silent]
+            witnesses = telling + [w for score, w in map(max, worst) if score > 0.5]
     found = Detector(table, bias, 1.0, 0.0)
-    a, b = (found.worst([set(x) for x in side]) for side in placing)
+    a, b = (found.worst([{w for x in document for w in x} for document in side]) for side in placing)
     # the middle lies where the fewest documents of equally weighted classes fall on the wrong side
     cuts = np.unique(np.r_[a, b])
     cuts = (cuts[:-1] + cuts[1:]) / 2 if len(cuts) > 1 else cuts
@@ -323,12 +353,12 @@ def learned(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "d
 
     def split(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(units(x)) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["y", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentences(x, SENTENCES) for x in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.string())))], ["y", "sentences"])
 
     texts = docs.select(key, text).join(bounded, key).select("_y", text)
-    found = texts.mapInArrow(split, "y int, units array<string>").collect()
-    found.sort(key=lambda r: (r.y, len(r.units), r.units))
-    return fit([r.units for r in found if r.y == 1], [r.units for r in found if r.y == 0])
+    found = texts.mapInArrow(split, "y int, sentences array<array<string>>").collect()
+    found.sort(key=lambda r: (r.y, sum(map(len, r.sentences)), r.sentences))
+    return fit([r.sentences for r in found if r.y == 1], [r.sentences for r in found if r.y == 0])
 
 
 def scored(docs: DataFrame, detector: Detector, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
