@@ -10,7 +10,8 @@ thousands.
 Within a shard pieces are placed by best fit, longest first. Then underfull bins
 exchange pieces one for one, two for one, or move them, whenever this raises the
 sum of squared fills; emptier bins lose to fuller ones until some are empty and
-vanish. The search ends when a pass over the underfull bins finds nothing.
+vanish. The search ends when a pass over all pairs of underfull bins finds nothing,
+or when no packing of the shard could have fewer bins.
 
 Edge cases: null and empty texts are a lone separator; repeated rows are packed
 once each; an empty table gives an empty result; columns of the input other than
@@ -129,11 +130,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, partners: int = 64, passes: int = 50) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, partners: int = 64) -> list[list[int]]:
     """Local search on the underfull bins; each change raises the sum of squared fills.
 
-    A bin is compared with the ``partners`` next fuller ones. Bins that are full, or
-    that hold one piece too long to share a bin with any other, can't change.
+    First a bin is compared with the ``partners`` next fuller ones, pass after pass;
+    when that finds nothing more, with all fuller ones. The search ends when a pass
+    over all pairs finds nothing, or when there are as few bins as the total length
+    needs. Bins that are full, or that hold one piece too long to share a bin with any
+    other, can't change.
     """
     size = [int(x) for x in lengths]
     fill = [sum(size[i] for i in b) for b in bins]
@@ -173,17 +177,19 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, partners:
         fill[b] += gain
         return True
 
-    for _ in range(passes):
+    least, reach = -(-sum(size) // capacity), partners
+    while sum(map(bool, bins)) > least:
         order, changed = sorted(live, key=fill.__getitem__), False
         for k, a in enumerate(order):
-            for b in order[k + 1 : k + 1 + partners]:
+            for b in order[k + 1 : k + 1 + reach]:
                 if not bins[a]:
                     break
                 if fill[b] < capacity and fill[b] >= fill[a]:
                     changed |= swap(a, b)
         live = {b for b in live if bins[b] and fill[b] < capacity}
-        if not changed:
+        if not changed and reach >= len(order):
             break
+        reach = partners if changed else len(order)
     return [b for b in bins if b]
 
 

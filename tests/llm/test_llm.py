@@ -537,3 +537,19 @@ def test_pages_in_spark(spark):
     by = {x.page_id: x.text for x in got}
     assert by[1].startswith("Title\nSome words") and by[2] == by[3] == "" and by[4].count("\n") == 2000
     assert html_text.extracted(df.where("false")).count() == 0
+
+
+def test_packing_of_repeated_and_tight_pieces():
+    # pairs that only a swap brings together; copies; pieces that share a bin with nothing
+    assert len(packing.improve([[0, 1], [2, 3], [4]], np.array([1000, 900, 1100, 900, 196]), 2048)) == 2
+    r = np.random.default_rng(9)
+    for lengths in (np.full(50, 1024), np.full(20, 1500), r.integers(1, 2049, 300), r.integers(680, 1100, 200), np.array([], np.int64)):
+        bins = packing.improve(packing.best_fit(lengths, 2048), lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(lengths[b].sum() <= 2048 for b in bins)
+        assert len(bins) >= -(-lengths.sum() // 2048)
+
+
+def test_repeated_rows_are_packed_each(spark):
+    df = documents(spark, [(1, "a b c"), (1, "a b c"), (None, None)])
+    got = packing.pack_documents(df, queries.BYTE_BPE, queries.BYTE_BPE_RANKS, public_tokenizers.PATTERN).collect()
+    assert len(got) == 3 and sorted(x.offset for x in got) == [0, *sorted(x.offset for x in got)[1:]] and sum(x.length for x in got) == 2 * 4 + 1
