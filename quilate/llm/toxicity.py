@@ -39,6 +39,7 @@ import re
 import string
 from functools import lru_cache
 from itertools import combinations
+from sys import intern
 from zlib import crc32
 
 import numpy as np
@@ -327,8 +328,10 @@ def fit(toxic: list[Sentences], clean: list[Sentences], landmarks: int = LANDMAR
         if turn + 1 < turns:
             # documents without a sentence known as toxic show their most suspicious one, if it is suspicious at all
             silent = [b for b in bags if all(known.isdisjoint(x) for x in b)]
-            worst = [[(s.max(), x[int(s.argmax())]) for x in b for s in (decisions(x, table, bias),)] for b in silent]
-            witnesses = telling + [w for score, w in map(max, worst) if score > 0.5]
+            units_ = sorted({w for b in silent for x in b for w in x})
+            score = dict(zip(units_, decisions(units_, table, bias).tolist(), strict=True))
+            worst = [max((score[w], w) for x in b for w in x) for b in silent]
+            witnesses = telling + [w for s, w in worst if s > 0.5]
     found = Detector(table, bias, 1.0, 0.0)
     a, b = (found.worst([{w for x in document for w in x} for document in side]) for side in placing)
     # the middle lies where the fewest documents of equally weighted classes fall on the wrong side
@@ -353,12 +356,13 @@ def learned(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "d
 
     def split(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentences(x, SENTENCES) for x in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.string())))], ["y", "sentences"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["\n".join(map(" ".join, sentences(x, SENTENCES))) for x in batch.column(1).to_pylist()], pa.string())], ["y", "packed"])
 
     texts = docs.select(key, text).join(bounded, key).select("_y", text)
-    found = texts.mapInArrow(split, "y int, sentences array<array<string>>").collect()
-    found.sort(key=lambda r: (r.y, sum(map(len, r.sentences)), r.sentences))
-    return fit([r.sentences for r in found if r.y == 1], [r.sentences for r in found if r.y == 0])
+    # a line per sentence, units apart by spaces (they hold none): one text per document, and each unit once in memory
+    found = sorted((r.y, len(r.packed), r.packed) for r in texts.mapInArrow(split, "y int, packed string").collect())
+    parted = lambda y: [[[intern(u) for u in line.split(" ")] for line in packed.split("\n") if line] for own, _, packed in found if own == y]
+    return fit(parted(1), parted(0))
 
 
 def scored(docs: DataFrame, detector: Detector, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
