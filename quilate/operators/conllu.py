@@ -16,8 +16,10 @@ def parsed(text: Column) -> Column:
 
     def sentence(block: Column) -> Column:
         lines = F.filter(F.split(block, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
-        cells = lambda x: F.split(x, "\t")
-        return F.transform(lines, lambda x: F.struct(F.get(cells(x), 0).alias("id"), F.get(cells(x), 1).alias("form"), F.get(cells(x), 2).alias("lemma"), F.get(cells(x), 3).alias("upos"), F.expr("try_cast(null AS int)").alias("none"), F.get(cells(x), 6).alias("head"), F.get(cells(x), 7).alias("deprel")))
+        # each row is split once
+        rows = F.transform(lines, lambda x: F.split(x, "\t"))
+        fields = {"id": 0, "form": 1, "lemma": 2, "upos": 3, "head": 6, "deprel": 7}
+        return F.transform(rows, lambda c: F.struct(*[F.get(c, i).alias(name) for name, i in fields.items()]))
 
     return F.transform(blocks, sentence)
 
@@ -76,7 +78,7 @@ def complexity(df: DataFrame, key: str, text: str, notebook: bool = False) -> Da
     tokens that aren't punctuation, counts adverbial modifiers as lexical, and doesn't round.
     """
     sentences = df.select(key, F.posexplode_outer(parsed(F.coalesce(F.col(text), F.lit("")))).alias("sid", "s"))
-    s = F.coalesce(F.col("s"), F.array().cast("array<struct<id:string,form:string,lemma:string,upos:string,none:int,head:string,deprel:string>>"))
+    s = F.coalesce(F.col("s"), F.array().cast("array<struct<id:string,form:string,lemma:string,upos:string,head:string,deprel:string>>"))
     every = _depths(sentences.withColumn("s", s))
     tokens = F.col("s") if notebook else F.filter("s", lambda t: t["deprel"] != "punct")
     count = lambda f: F.size(F.filter("s", f))

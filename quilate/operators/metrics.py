@@ -26,12 +26,17 @@ def entity_counts(labels: Column) -> list[Column]:
 def stylometrics(df: DataFrame, key: str, text: str) -> DataFrame:
     """Word, sentence, syllable and punctuation metrics per document, rounded to two places.
 
-    Sentences are exploded once; words stay arrays, so that a document is one group of its sentences.
+    Words are exploded, so that their lengths and syllables are compiled expressions,
+    and summed by sentence before the shuffle.
     """
-    sentences = df.select(key, F.length(F.coalesce(text, F.lit(""))).alias("_n"), T.punctuation(F.coalesce(text, F.lit(""))).alias("_p"), F.explode_outer(T.sentences(F.col(text))).alias("x"))
-    words = sentences.select(key, "_p", F.col("x").isNotNull().alias("_is"), T.tokens(F.coalesce("x", F.lit(""))).alias("w"))
-    total = lambda f: F.aggregate("w", F.lit(0), lambda a, x: a + f(x))
-    each = words.select(key, "_p", "_is", F.size("w").alias("k"), total(F.length).alias("chars"), total(T.syllables).alias("syl"), F.size(F.filter("w", lambda x: F.length(x) > 6)).alias("long"))
+    x = F.coalesce(text, F.lit(""))
+    sentences = df.select(key, T.punctuation(x).alias("_p"), F.posexplode_outer(T.sentences(x)).alias("_sid", "_x"))
+    words = sentences.select(key, "_p", "_sid", F.explode_outer(T.tokens(F.coalesce("_x", F.lit("")))).alias("w"))
+    length = F.length("w")
+    each = words.groupBy(key, "_sid").agg(
+        F.max("_p").alias("_p"), F.count("w").alias("k"), F.coalesce(F.sum(length), F.lit(0)).alias("chars"), F.sum(F.when(F.col("w").isNotNull(), T.syllables(F.col("w"))).otherwise(0)).alias("syl"), F.count_if(length > 6).alias("long")
+    )
+    each = each.withColumn("_is", F.col("_sid").isNotNull())
     doc = each.groupBy(key).agg(F.max("_p").alias("p"), F.count_if("_is").alias("s"), F.sum("k").alias("k"), F.sum("chars").alias("chars"), F.sum("syl").alias("syl"), F.sum("long").alias("long"), F.sum(F.col("k").cast("bigint") * F.col("k")).alias("k2"))
     over = lambda c, n: F.when(n > 0, F.round(c / n, 2)).otherwise(0.0)
     k = F.col("k")

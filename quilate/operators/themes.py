@@ -44,11 +44,11 @@ def read_keywords(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
 
 def detect(docs: DataFrame, key: str, text: str, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:
     """A row per document and theme with a keyword in the text: how many, their share, the first three."""
-    table = F.array(*[F.struct(F.lit(t).alias("tema"), F.array(*map(F.lit, ks)).alias("ks")) for t, ks in keywords.items()])
-    # the text is lower-cased once and isn't multiplied: themes are a short array beside it
-    matched = F.transform(table, lambda e: F.struct(e["tema"].alias("tema"), F.size(e["ks"]).alias("_all"), F.filter(e["ks"], lambda k: F.contains(F.col("_t"), F.lower(k))).alias("_m")))
-    found = docs.select(key, F.lower(text).alias("_t")).select(key, F.filter(matched, lambda e: F.size(e["_m"]) > 0).alias("_f"))
-    hits = found.select(key, F.explode("_f").alias("e")).select(key, "e.*")
+    # the text is lower-cased once; each keyword is a compiled test, and themes are a short array beside the key
+    low = docs.select(key, F.lower(text).alias("_t"))
+    hit = lambda k: F.when(F.contains(F.col("_t"), F.lit(k.lower())), F.lit(k))
+    found = [F.struct(F.lit(t).alias("tema"), F.lit(len(ks)).alias("_all"), F.array_compact(F.array(*map(hit, ks))).alias("_m")) for t, ks in keywords.items()]
+    hits = low.select(key, F.explode(F.array(*found)).alias("e")).select(key, "e.*")
     return hits.where(F.size("_m") > 0).select(key, "tema", F.size("_m").cast("bigint").alias("keywords_count"), (F.size("_m") / F.col("_all")).alias("intensity"), F.array_join(F.slice("_m", 1, 3), ", ").alias("matched_keywords"))
 
 
