@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilate.llm.bpe import _ODD, _PLAIN, Codec, _Memo
+from quilate.llm.bpe import _ODD, _PLAIN, _PLAIN_PATTERN, REMEMBERED, Codec, _Memo
 from quilate.llm.common import written
 
 CAPACITY = 2048
@@ -60,10 +60,12 @@ class Tokens:
         self.path, self.special = path, special
         self.codec = Codec(ranks, pattern)
         self.first = _Memo(self._ids, 50_000)
-        self.spaced = _Memo(lambda word: self._ids(" " + word))
+        self.spaced = _Memo(lambda word: self._ids(" " + word), 2 * REMEMBERED)
+        # only texts that the faster pattern splits rightly get there
+        self.find = _PLAIN_PATTERN.findall if self.codec.splitter.known else self.codec.splitter.own.findall
 
     def _ids(self, text: str) -> bytes:
-        return np.array([i for piece in self.codec.splitter.split(text) for i in self.codec.encode_piece(piece)], "<u4").tobytes()
+        return np.array([i for piece in self.find(text) for i in self.codec.encode_piece(piece)], "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
