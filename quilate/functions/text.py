@@ -136,7 +136,7 @@ def wrapped(x: Column, width: int) -> Column:
 
 def punctuation(text: Column) -> Column:
     """Number of characters that are neither letters, digits, underscores nor white space."""
-    return F.length(F.regexp_replace(text, r"[\p{L}\p{N}_\s]", ""))
+    return F.length(F.regexp_replace(text, r"[\p{L}\p{N}_\s]+", ""))
 
 
 def register_all(spark: SparkSession) -> None:

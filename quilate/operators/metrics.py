@@ -32,10 +32,9 @@ def stylometrics(df: DataFrame, key: str, text: str) -> DataFrame:
     x = F.coalesce(text, F.lit(""))
     sentences = df.select(key, T.punctuation(x).alias("_p"), F.posexplode_outer(T.sentences(x)).alias("_sid", "_x"))
     words = sentences.select(key, "_p", "_sid", F.explode_outer(T.tokens(F.coalesce("_x", F.lit("")))).alias("w"))
-    length = F.length("w")
-    each = words.groupBy(key, "_sid").agg(
-        F.max("_p").alias("_p"), F.count("w").alias("k"), F.coalesce(F.sum(length), F.lit(0)).alias("chars"), F.sum(F.when(F.col("w").isNotNull(), T.syllables(F.col("w"))).otherwise(0)).alias("syl"), F.count_if(length > 6).alias("long")
-    )
+    # a step of its own keeps the compiled aggregate small enough for the just-in-time compiler
+    measured = words.select(key, "_p", "_sid", "w", F.length("w").alias("_n"), T.syllables(F.col("w")).alias("_y"))
+    each = measured.groupBy(key, "_sid").agg(F.max("_p").alias("_p"), F.count("w").alias("k"), F.coalesce(F.sum("_n"), F.lit(0)).alias("chars"), F.sum("_y").alias("syl"), F.count_if(F.col("_n") > 6).alias("long"))
     each = each.withColumn("_is", F.col("_sid").isNotNull())
     doc = each.groupBy(key).agg(F.max("_p").alias("p"), F.count_if("_is").alias("s"), F.sum("k").alias("k"), F.sum("chars").alias("chars"), F.sum("syl").alias("syl"), F.sum("long").alias("long"), F.sum(F.col("k").cast("bigint") * F.col("k")).alias("k2"))
     over = lambda c, n: F.when(n > 0, F.round(c / n, 2)).otherwise(0.0)
