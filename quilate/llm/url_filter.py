@@ -17,9 +17,11 @@ result's own columns replace input columns of the same name (but for the key).
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -110,7 +112,10 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str
     """
     spark: SparkSession = pages.sparkSession
     name = f"digests-{uuid.uuid4().hex}"
-    for file in DigestArray.build(rules, tempfile.mkdtemp(prefix="digests-"), name, default):
+    folder = tempfile.mkdtemp(prefix="digests-")
+    # the driver hands the files out as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    for file in DigestArray.build(rules, folder, name, default):
         spark.sparkContext.addFile(file)
     own = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c.lower() not in own or c == url]

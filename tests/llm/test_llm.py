@@ -196,6 +196,40 @@ def test_substrings_match_brute_force(spark, rows, size):
     assert got == removals_of(rows, size)
 
 
+def test_removal_intervals_match_brute_force(spark, rows):
+    rows = [*rows, (505, "a b " * 200)]
+    size, first, want = 20, {}, {}
+    for d, t in rows:
+        w = words(t)
+        for p in range(len(w) - size + 1):
+            k = tuple(w[p : p + size])
+            first[k] = min(first.get(k, (d, p)), (d, p))
+    for d, t in rows:
+        w, out = words(t), []
+        for p in range(len(w) - size + 1):
+            if first[tuple(w[p : p + size])] < (d, p):
+                if out and p <= out[-1][1]:
+                    out[-1][1] = p + size
+                else:
+                    out.append([p, p + size])
+        if out:
+            want[d] = [tuple(x) for x in out]
+    got = {x.doc_id: [(i.begin, i.end) for i in x.intervals] for x in substrings.spans(documents(spark, rows)).collect()}
+    assert got == want and substrings.spans(documents(spark, [])).count() == 0
+
+
+def test_filter_keeps_members_and_few_others(spark):
+    from quilate.llm import hashing
+
+    r = np.random.default_rng(4)
+    members, others = (hashing.scrambled(r.integers(0, 2**40, 4000).astype(np.uint64)) for _ in range(2))
+    df = spark.createDataFrame([(int(x),) for x in members.view(np.int64)], "v bigint")
+    filled = hashing.merged_bits(df, 20)
+    assert len(filled) == 1 << 17 and hashing.in_bits(members, filled).all() and hashing.in_bits(others, filled).mean() < 0.01
+    pieces = np.bincount((np.concatenate([members & np.uint64(2**20 - 1), members >> np.uint64(32) & np.uint64(2**20 - 1)]) >> np.uint64(15)).astype(int))
+    assert pieces.max() < 1.35 * pieces.mean()
+
+
 def test_deduplicated_texts_keep_columns(spark, rows):
     got = substrings.deduplicated(documents(spark, rows))
     assert got.columns == ["doc_id", "text", "host"] and got.count() == len(rows)
@@ -284,6 +318,18 @@ def test_url_rules(spark):
     assert got[10] == (".net", "/z", "net/", "block")
 
 
+def test_url_edge_cases(spark):
+    rows = [(1, "http://a.net/x", "h", "v"), (1, "http://a.net/x", "h", "v"), (2, "http://" + "a." * 3000 + "example.com/de/" + "y" * 50_000, "h", "v"), (3, "://", "h", "v"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, HOST string, note string")
+    got = url_filter.judge_urls(df, queries.URL_RULES)
+    assert got.columns == ["page_id", "url", "note", "host", "path", "rule", "verdict"]
+    found = got.collect()
+    assert len(found) == 5 and [x.verdict for x in found if x.page_id == 1] == ["block", "block"]
+    assert [(x.rule, x.verdict) for x in found if x.page_id == 2] == [("example.com/de/", "block")]
+    assert [(x.host, x.path, x.verdict) for x in found if x.page_id in (3, None)] == [("", "", "allow")] * 2
+    assert url_filter.judge_urls(df.where("false"), queries.URL_RULES).count() == 0
+
+
 def test_digest_collisions_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda _: 7)
     url_filter.DigestArray.build([("block", "a.com", "/"), ("allow", "b.com", "/")], str(tmp_path), "x")
