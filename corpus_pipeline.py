@@ -4,12 +4,21 @@
 returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All stages but the last return the columns of ``documents``:
 
-* quality rules: documents that the rules reject go;
-* line dedup: lines that match an earlier line go, documents stay;
+* quality rules: documents that the rules reject go; null and empty texts have no words
+  and go with them;
+* line dedup: lines that match an earlier line go, documents stay, emptied ones with
+  an empty text; rows without an id stay as they are;
 * n-gram Jaccard join: of each component of near duplicates the document of the
-  smallest id stays; documents without words link with nothing and stay;
-* substring dedup: word windows that start earlier go, documents stay;
-* best-fit packing: a row per piece of a document with its sequence and place.
+  smallest id stays; documents without words link with nothing and stay, as do rows
+  without an id; repeated rows of the leading id all stay;
+* substring dedup: word windows that start earlier go, documents stay; rows that share
+  an id are one document;
+* best-fit packing: a row per piece of a document with its sequence and place; null
+  and empty texts are a lone separator, repeated rows are packed each.
+
+``n_chars`` follows changed texts (a null text has none). Very long texts are worked
+on whole, columns beyond those of ``documents`` stay until the last stage, and an empty
+table stays empty.
 """
 
 from __future__ import annotations
