@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quilate.functions import text as T
 from quilate.operators import conllu, enrich, frames, lexical, metrics, prompts, stats, themes, vectors
 from quilate.sources import stores
-from quilate.sources.tables import table
+from quilate.sources.tables import spread, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -30,6 +30,11 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
+def _texts(s, d):
+    """Documents, for work that is costly by text."""
+    return spread(_docs(s, d))
+
+
 def _labelled(s, d):
     return _docs(s, d).select("doc_id", "lang", "source").join(table(s, d, "labels"), "doc_id")
 
@@ -424,7 +429,7 @@ def sample_seeded(s, d):
 
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS n FROM documents")
 def tokens(s, d):
-    return _docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias("n"))
+    return _texts(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias("n"))
 
 
 _COUNTS = r"t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents WHERE lang IS NOT NULL AND length(text) > 0), c AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2)"
@@ -432,12 +437,12 @@ _COUNTS = r"t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{
 
 @query(f"WITH {_COUNTS} SELECT lang, term, n FROM c")
 def term_counts(s, d):
-    return lexical.term_counts(_docs(s, d))
+    return lexical.term_counts(_texts(s, d))
 
 
 @query(f"WITH {_COUNTS} SELECT lang, term, n FROM c WHERE term NOT IN ('the', 'de', 'la', 'der')")
 def stopwords(s, d):
-    return lexical.term_counts(_docs(s, d), stop=("the", "de", "la", "der"))
+    return lexical.term_counts(_texts(s, d), stop=("the", "de", "la", "der"))
 
 
 @query("SELECT doc_id, sha256(lower(trim(text))) AS h, length(text) AS n FROM documents")
@@ -447,7 +452,7 @@ def text_basic(s, d):
 
 @query(r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > 0 THEN round(len(list_distinct(w)) / len(w), 6) ELSE 0 END AS ttr FROM t")
 def ttr(s, d):
-    w = _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    w = _texts(s, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
     return w.select("doc_id", F.when(F.size("w") > 0, r6(F.size(F.array_distinct("w")) / F.size("w"))).otherwise(0.0).alias("ttr"))
 
 
@@ -459,14 +464,14 @@ def _syllables_sql(x: str) -> str:
 
 @query(f"WITH {_COUNTS}, u AS (SELECT DISTINCT term FROM c) SELECT term, CAST({_syllables_sql('term')} AS INTEGER) AS n FROM u")
 def syllables(s, d):
-    return lexical.term_counts(_docs(s, d)).select("term").distinct().select("term", T.syllables(F.col("term")).alias("n"))
+    return lexical.term_counts(_texts(s, d)).select("term").distinct().select("term", T.syllables(F.col("term")).alias("n"))
 
 
 _STYLE = rf"w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w, list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '') AS s, text FROM documents), f AS (SELECT doc_id, text, len(w) AS words, len(s) AS sents, s, w, coalesce(list_sum(list_transform(w, lambda y: {_syllables_sql('y')})), 0) AS syl FROM w)"
 
 
 def _styled(s, d):
-    w = _docs(s, d).select("doc_id", "text", T.tokens(F.col("text")).alias("w"), T.sentences(F.col("text")).alias("s"))
+    w = _texts(s, d).select("doc_id", "text", T.tokens(F.col("text")).alias("w"), T.sentences(F.col("text")).alias("s"))
     each = w.select("doc_id", F.explode_outer("w").alias("t")).groupBy("doc_id").agg(F.coalesce(F.sum(T.syllables(F.col("t"))), F.lit(0)).alias("syl"))
     return w.withColumns({"words": F.size("w"), "sents": F.size("s")}).join(each, "doc_id")
 
@@ -487,7 +492,7 @@ def flesch_band(s, d):
 
 @query(f"WITH {_STYLE} SELECT doc_id, CASE WHEN words > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / words, 4) ELSE 0 END AS avg_word_length, CASE WHEN words > 0 THEN round(100.0 * len(list_filter(w, lambda x: length(x) > 6)) / words, 4) ELSE 0 END AS long_words_ratio FROM f")
 def lexical_metrics(s, d):
-    w = _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    w = _texts(s, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
     total = F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x))
     some = lambda c: F.when(F.size("w") > 0, F.round(c, 4)).otherwise(0.0)
     return w.select("doc_id", some(total / F.size("w")).alias("avg_word_length"), some(100.0 * F.size(F.filter("w", lambda x: F.length(x) > 6)) / F.size("w")).alias("long_words_ratio"))
@@ -498,7 +503,7 @@ _LENGTHS = r"WITH n AS (SELECT doc_id, unnest(list_transform(list_filter(string_
 
 @query(f"{_LENGTHS} SELECT doc_id, CASE WHEN count(*) > 1 THEN round(var_pop(k), 4) ELSE 0 END AS sentence_length_variance FROM n GROUP BY 1")
 def syntactic_metrics(s, d):
-    n = _docs(s, d).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("x")).select("doc_id", F.size(T.tokens(F.col("x"))).alias("k"))
+    n = _texts(s, d).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("x")).select("doc_id", F.size(T.tokens(F.col("x"))).alias("k"))
     return n.groupBy("doc_id").agg(F.when(F.count("*") > 1, F.round(F.var_pop("k"), 4)).otherwise(0.0).alias("sentence_length_variance"))
 
 
@@ -508,7 +513,7 @@ _TFIDF = f"{_COUNTS}, k AS (SELECT lang, sum(n) AS ct FROM c GROUP BY 1), a AS (
 
 
 def _tfidf(s, d):
-    return lexical.ctfidf(lexical.term_counts(_docs(s, d))).withColumn("score", F.round("score", 9))
+    return lexical.ctfidf(lexical.term_counts(_texts(s, d))).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_TFIDF} SELECT lang, term, round(score, 9) AS score FROM x")
@@ -542,13 +547,13 @@ def _odds_sql(target: str, reference: str) -> str:
 
 @query(f"WITH {_odds_sql('fr', 'es')} SELECT term, z FROM z WHERE z > 1.96")
 def logodds(s, d):
-    counts = lexical.group_counts(_docs(s, d), "lang")
+    counts = lexical.group_counts(_texts(s, d), "lang")
     return lexical.log_odds(counts, "fr", "es").select("term", r6(F.col("z")).alias("z")).where("z > 1.96")
 
 
 @query(f"WITH {_odds_sql('de', 'en')} SELECT term || ': ' || printf('%.2f', z) AS line FROM z WHERE z > 1.96")
 def logodds_report(s, d):
-    counts = lexical.group_counts(_docs(s, d), "lang")
+    counts = lexical.group_counts(_texts(s, d), "lang")
     found = lexical.log_odds(counts, "de", "en").select("term", r6(F.col("z")).alias("z")).where("z > 1.96")
     return found.select(F.format_string("%s: %.2f", "term", "z").alias("line"))
 
@@ -557,7 +562,7 @@ def _traits(s, d):
     """Documents with the traits of a design, by their ids."""
     pick = lambda name, k: F.get(F.array(*map(F.lit, prompts.TRAITS[name])), k.cast("int")).alias(name)
     k = F.col("doc_id")
-    return _docs(s, d).select("doc_id", "text", pick("genero", k % 3), pick("raca", k % 5), pick("regiao", F.floor(k / 5) % 5))
+    return _texts(s, d).select("doc_id", "text", pick("genero", k % 3), pick("raca", k % 5), pick("regiao", F.floor(k / 5) % 5))
 
 
 def _trait_sql(name: str) -> str:
@@ -591,7 +596,7 @@ _THEMES = "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', [{', '.join(repr(
 
 
 def _themes(s, d):
-    return themes.detect(_docs(s, d), "doc_id", "text", _KEYWORDS)
+    return themes.detect(_texts(s, d), "doc_id", "text", _KEYWORDS)
 
 
 @query(f"WITH {_THEMES} SELECT doc_id, tema, keywords_count, round(intensity, 6) AS intensity, matched_keywords FROM h")
@@ -637,7 +642,7 @@ def _parses(s, d):
     words = F.transform(T.sentences(F.col("text")), lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != ""))
     labels = F.array(*map(F.lit, ("PER", "ORG", "LOC", "GPE", "MISC")))
     names = F.transform(F.filter(F.split("text", " "), lambda w: w.rlike("^[A-Z]")), lambda w: F.get(labels, F.length(w) % 5))
-    return _docs(s, d).select("doc_id", "text", conllu.generated(words).alias("parse"), names.alias("entities"))
+    return _texts(s, d).select("doc_id", "text", conllu.generated(words).alias("parse"), names.alias("entities"))
 
 
 _PARSED = r"""ps AS (SELECT doc_id, generate_subscripts(s, 1) AS sid, unnest(s) AS x FROM (SELECT doc_id, list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '') AS s FROM documents)),

@@ -157,7 +157,7 @@ _HALF = C._TFIDF.replace("documents WHERE", "documents WHERE doc_id % 2 = @ AND"
 
 @query(f"SELECT lang, rank, a.term AS term_0, b.term AS term_1 FROM (WITH {_HALF.replace('@', '0')} SELECT lang, rank, term FROM r WHERE rank <= 10) a JOIN (WITH {_HALF.replace('@', '1')} SELECT lang, rank, term FROM r WHERE rank <= 10) b USING (lang, rank)")
 def ctfidf_compare(s, d):
-    docs = C._docs(s, d)
+    docs = C._texts(s, d)
     half = lambda h: lexical.top_terms(lexical.ctfidf(lexical.term_counts(docs.where(F.col("doc_id") % 2 == h))).withColumn("score", F.round("score", 9)), 10).select("lang", "rank", F.col("term").alias(f"term_{h}"))
     return half(0).join(half(1), ["lang", "rank"])
 

@@ -11,6 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, per_core: int = 64 << 20) -> DataFrame:
+    """Rows of a small input over all cores, for costly work on texts.
+
+    A file of one row group is read by one task, whatever the cores. Inputs of more
+    than ``per_core`` bytes a core fill them by their files and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_core else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header; cells may hold line feeds."""
     return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
