@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilate.llm import bpe, html_text, lines, ngram_join, packing, quality, substrings, topk, toxicity, url_filter
+from quilate.llm import alignment, bpe, html_text, lines, ngram_join, packing, pair_bpe, quality, substrings, topk, toxicity, url_filter
 from quilate.llm.common import table
 
-BYTE_BPE, BYTE_BPE_RANKS, MULTI_RANKS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
+BYTE_BPE, BYTE_BPE_RANKS, MULTI_RANKS, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"))
 
 #: The rules of the URL query (verdict, host, path).
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -68,8 +68,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN, PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_exact_top_k, op3_ngram_jaccard, op4_url_filter, op5_toxicity, op6_quality_rules, op7_substring_dedup, op8_byte_bpe, op9_line_dedup, op10_html_extraction)
+    found = (op1_best_fit_packing, op2_exact_top_k, op3_ngram_jaccard, op4_url_filter, op5_toxicity, op6_quality_rules, op7_substring_dedup, op8_byte_bpe, op9_line_dedup, op10_html_extraction, op12_pair_bpe, op13_alignment)
     return {f.__name__: f for f in found}
 
 
