@@ -48,7 +48,8 @@ def with_metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
     """Add the counts of the base rule and ``_q_lines`` (lines with a word).
 
     A window's hash and place share one integer, the place in as many low bits as
-    the text's length needs, so that one sort brings equal windows together.
+    the text's length needs, so that one sort brings equal windows together. Some bits
+    of the hash don't fit in, so the places found are sorted again by whole hashes.
     """
     x = F.coalesce(F.col(text), F.lit(""))
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_q_lines")
@@ -74,7 +75,12 @@ def with_metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
             (j > 1 AND shiftright(_q_keys[j - 1], _q_bits) = shiftright(_q_keys[j - 2], _q_bits))
             OR (j < size(_q_keys) AND shiftright(_q_keys[j - 1], _q_bits) = shiftright(_q_keys[j], _q_bits))),
             j -> _q_keys[j - 1] & (shiftleft(1L, _q_bits) - 1))) END""")
-    placed = keyed.withColumn("_q_places", places)
+    whole = F.expr("CASE WHEN _q_repeats THEN sort_array(transform(_q_near, p -> struct(_q_grams[cast(p AS int)] AS g, p AS p))) END")
+    equal = F.expr("""
+        CASE WHEN _q_repeats THEN sort_array(transform(filter(sequence(0, size(_q_whole) - 1), j ->
+            (j > 0 AND _q_whole[j].g = _q_whole[j - 1].g) OR (j < size(_q_whole) - 1 AND _q_whole[j].g = _q_whole[j + 1].g)),
+            j -> _q_whole[j].p)) END""")
+    placed = keyed.withColumn("_q_near", places).withColumn("_q_whole", whole).withColumn("_q_places", equal)
     covered = F.expr(f"""
         CASE WHEN _q_repeats THEN aggregate(_q_places, struct(-{window}L AS last, 0L AS n),
             (a, p) -> struct(p AS last, a.n + least({window}L, p - a.last) AS n), a -> a.n) ELSE 0L END""")
@@ -85,7 +91,7 @@ def with_metrics(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
         "n_dup_lines": (F.size("_q_all_lines") - F.size(F.array_distinct("_q_all_lines"))).cast("bigint"),
         "n_repeat_words": covered,
         "_q_lines": F.size("_q_all_lines").cast("bigint"),
-    }).drop("_q_hashes", "_q_all_lines", "_q_grams", "_q_bits", "_q_repeats", "_q_keys", "_q_places")
+    }).drop("_q_hashes", "_q_all_lines", "_q_grams", "_q_bits", "_q_repeats", "_q_keys", "_q_near", "_q_whole", "_q_places")
 
 
 def _ratios() -> dict[str, Column]:

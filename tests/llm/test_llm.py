@@ -599,3 +599,9 @@ def test_repeated_rows_are_packed_each(spark):
     df = documents(spark, [(1, "a b c"), (1, "a b c"), (None, None)])
     got = packing.pack_documents(df, queries.BYTE_BPE, queries.BYTE_BPE_RANKS, public_tokenizers.PATTERN).collect()
     assert len(got) == 3 and sorted(x.offset for x in got) == [0, *sorted(x.offset for x in got)[1:]] and sum(x.length for x in got) == 2 * 4 + 1
+
+
+def test_repeats_in_a_text_of_four_million_words(spark):
+    first = " ".join(map(str, range(8)))
+    long = spark.range(1).selectExpr("id AS doc_id", f"concat(array_join(transform(sequence(0, 3999999), i -> cast(i AS string)), ' '), ' ', '{first}') AS text")
+    assert quality.with_metrics(long).select("n_words", "n_repeat_words").first() == (4_000_008, 16)
