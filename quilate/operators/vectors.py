@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quilate.operators.stats import correlation, draws
+from quilate.operators.tiles import group_gaps, tiles
 from quilate.sources.scratch import removed
 
 
@@ -96,41 +97,16 @@ def resampled_quality(df: DataFrame, key: str, by: str, vector: str = "embedding
 
 
 def silhouette(df: DataFrame, key: str, by: str, vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """Mean Euclidean silhouette over all points, each against all points in blocks.
+    """Mean Euclidean silhouette over all points, each against all points.
 
-    A row of one side meets packed blocks of the other, so that the pairs exist only
-    inside a task's matrix product. The work grows with the square of the points, as
-    the measure does; a block's size bounds memory.
+    Tiles of about ``block`` points meet in cells, so a tile is sent once to a cell and
+    not once to every other tile; distances are summed by group inside a task's matrix
+    product. The work grows with the square of the points, as the measure does.
     """
-    import numpy as np
-    import pandas as pd
-
-    numbered = df.select(F.col(key).alias("i"), F.col(by).alias("g"), F.col(vector).alias("v")).where(F.col("g").isNotNull() & F.col("v").isNotNull())
-    blocks = max(1, -(-numbered.count() // block))
-    dealt = numbered.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("i", "g", "v")).alias("rows"))
-    left = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b2"))
-    both = left.join(packed.select(F.col("b").alias("b2"), F.col("rows").alias("r2")), "b2").select("r1", "r2")
-    gtype = numbered.schema["g"].dataType.simpleString()
-
-    def gaps(batches):
-        for pdf in batches:
-            for r1, r2 in zip(pdf["r1"], pdf["r2"], strict=True):
-                x, y = (np.array([r["v"] for r in rows], float) for rows in (r1, r2))
-                square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-                d = np.sqrt(np.maximum(square, 0))
-                ids = np.array([r["i"] for r in r1])
-                d[ids[:, None] == np.array([r["i"] for r in r2])[None, :]] = 0
-                groups, at = np.unique(np.array([r["g"] for r in r2]), return_inverse=True)
-                sums = np.stack([d[:, at == k].sum(1) for k in range(len(groups))], 1)
-                n = np.bincount(at, minlength=len(groups))
-                yield pd.DataFrame({"i": np.repeat(ids, len(groups)), "gi": np.repeat([r["g"] for r in r1], len(groups)), "gj": np.tile(groups, len(ids)), "s": sums.ravel(), "n": np.tile(n, len(ids))})
-
-    itype = numbered.schema["i"].dataType.simpleString()
-    parts = both.repartition(min(blocks * blocks, 4096)).mapInPandas(gaps, f"i {itype}, gi {gtype}, gj {gtype}, s double, n bigint")
-    means = parts.groupBy("i", "gi", "gj").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    points = df.select(key, F.col(by).alias("g"), vector).where("g IS NOT NULL")
+    means = group_gaps(tiles(points, key, vector, ("g",), block), "g")
     same = F.col("gi") == F.col("gj")
-    each = means.groupBy("i").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
+    each = means.groupBy("key").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return each.agg(F.avg(score).alias("silhouette"))
 
