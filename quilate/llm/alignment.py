@@ -32,10 +32,10 @@ columns aren't carried along.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quilate.llm.common import discarded, tidied, written
 from quilate.llm.pair_bpe import Encoder, Texts, chunks
 
-#: Chunks in all documents of a block, documents in it, and chunks remembered in a Python worker.
-BLOCK, DOCUMENTS, REMEMBERED = 1 << 20, 1 << 16, 500_000
+#: Chunks in all documents of a block, documents in it, chunks remembered in a Python worker, and characters aligned together.
+BLOCK, DOCUMENTS, REMEMBERED, HELD = 1 << 19, 1 << 16, 300_000, 1 << 20
+#: Links of a group up to which all its occurrences are paired, instead of distinct ids with how often each occurs.
+SMALL = 64
 _SPAN = re.compile(rb"[^\x03]*\x03", re.DOTALL)
 _SPACE = "▁"
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -74,15 +76,13 @@ class Pieces:
         return [ids if x else [self.space] for x, ids in zip(texts, found, strict=True)]
 
 
-def groups(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
-    """Numbers of A and B tokens in each group; both spell the same bytes."""
-    labels = bytearray(sum(map(len, a)))
-    for bit, tokens in ((1, a), (2, b)):
-        end = -1
-        for token in tokens:
-            end += len(token)
-            labels[end] |= bit
-    return [(span.count(1) + 1, span.count(2) + 1) for span in _SPAN.findall(bytes(labels))]
+def spans(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many A and B tokens have ended by the end of each group, from where in ``size`` bytes tokens end."""
+    labels = np.zeros(size, np.uint8)
+    labels[ends_a - 1] |= 1
+    labels[ends_b - 1] |= 2
+    until = np.array([m.end() for m in _SPAN.finditer(labels.tobytes())], np.int64) - 1
+    return np.cumsum(labels & 1, dtype=np.int64)[until], np.cumsum(labels >> 1, dtype=np.int64)[until]
 
 
 class Aligned:
@@ -90,41 +90,95 @@ class Aligned:
 
     __slots__ = ("counts", "text", "pairs", "times", "number")
 
-    def __init__(self, a: list[int], b: list[int], parts: list[tuple[int, int]]):
-        text, pairs, i, j = [], Counter(), 0, 0
-        for m, n in parts:
-            left, right = a[i : i + m], b[j : j + n]
-            i, j = i + m, j + n
-            text.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            if m == n == 1:
-                pairs[left[0] << 32 | right[0]] += 1
-            else:
-                others = Counter(right).items()
-                for x, p in Counter(left).items():
-                    for y, q in others:
-                        pairs[x << 32 | y] += p * q
-        self.counts = (len(a), len(b), len(parts), sum(m * n for m, n in parts))
-        self.text = ";".join(text)
-        self.pairs, self.times, self.number = list(pairs), list(pairs.values()), -1
+    def __init__(self, counts: tuple[int, int, int, int], text: str, pairs: bytes, times: bytes):
+        self.counts, self.text, self.pairs, self.times, self.number = counts, text, pairs, times, -1
+
+
+class Aligner:
+    """Aligns many chunks at once, in arrays over all their tokens."""
+
+    def __init__(self, path_a: str, pattern: str, path_b: str):
+        self.encoder, self.pieces = Encoder(path_a, pattern), Pieces(path_b)
+        of = self.encoder.vocabulary.bytes_of
+        self.bytes_a, self.bytes_b = np.array([of.get(i, b"") for i in range(max(of) + 1)], object), np.array(self.pieces.bytes_of, object)
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        # an id with what follows it in the text of groups
+        self.written = np.array([f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)], object)
+
+    def make(self, new: Iterable[str]) -> dict[str, Aligned | None]:
+        """Each chunk aligned, None where its tokens don't spell it."""
+        own = list(new)
+        if not own:
+            return {}
+        coded = self.encoder.encoded(own)
+        first, second = [coded[c] for c in own], self.pieces.encoded(own)
+        n_a = np.fromiter(map(len, first), np.int64, len(own)) // 4
+        n_b = np.fromiter(map(len, second), np.int64, len(own))
+        ids_a, ids_b = np.frombuffer(b"".join(first), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(second), np.int64)
+        whole = [(" " + c).encode("utf-8", "replace") for c in own]
+        size = np.fromiter(map(len, whole), np.int64, len(own))
+        ends = [np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b)]
+        cuts = [np.concatenate([[0], np.cumsum(x)])[e] for x, e in ((self.length_a[ids_a], ends[0]), (self.length_b[ids_b], ends[1]))]
+        text = b"".join(whole)
+        spelt = (np.diff(cuts[0]) == size) & (np.diff(cuts[1]) == size)
+        for table, ids, cut, end in ((self.bytes_a, ids_a, cuts[0], ends[0]), (self.bytes_b, ids_b, cuts[1], ends[1])):
+            if not (spelt.all() and b"".join(table[ids].tolist()) == text):
+                spelt &= np.array([b"".join(table[ids[end[k] : end[k + 1]]].tolist()) == w for k, w in enumerate(whole)])
+        out: dict[str, Aligned | None] = dict.fromkeys(own)
+        if spelt.any():
+            keep = [c for c, x in zip(own, spelt.tolist(), strict=True) if x]
+            found = self._aligned(n_a[spelt], n_b[spelt], ids_a[np.repeat(spelt, n_a)], ids_b[np.repeat(spelt, n_b)])
+            out.update(zip(keep, found, strict=True))
+        return out
+
+    def _aligned(self, n_a: np.ndarray, n_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> Iterator[Aligned]:
+        """Chunks of so many tokens of A and B each, all of which are spelt by both."""
+        until_a, until_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        # of each group: tokens, where they begin, and the chunk
+        last_a, last_b = spans(until_a, until_b, int(until_a[-1]))
+        in_a, in_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
+        chunk = np.searchsorted(np.cumsum(n_a), last_a)
+        n_groups = np.bincount(chunk, minlength=len(n_a))
+        n_links = np.bincount(chunk, in_a * in_b, len(n_a)).astype(np.int64)
+        owners, pairs, times = self._pairs(ids_a, ids_b, last_a - in_a, last_b - in_b, in_a, in_b, chunk)
+        # the text: A tokens of a group, then its B tokens, the last ones marked
+        both, of_a, of_b = len(ids_a) + len(ids_b), np.repeat(np.arange(len(in_a)), in_a), np.repeat(np.arange(len(in_b)), in_b)
+        codes, ends_a, ends_b = np.empty(both, np.int64), np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        ends_a[last_a - 1], ends_b[last_b - 1] = 1, 1
+        codes[np.arange(len(ids_a)) + (last_b - in_b)[of_a]] = ids_a + ends_a * len(self.bytes_a)
+        codes[np.arange(len(ids_b)) + last_a[of_b]] = ids_b + ends_b * len(self.bytes_b) + 2 * len(self.bytes_a)
+        text = self.written[codes].tolist()
+        cuts = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        rows = np.searchsorted(owners, np.arange(len(n_a) + 1)).tolist()
+        raw, often = pairs.astype("<i8").tobytes(), times.astype("<i4").tobytes()
+        for k, counts in enumerate(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True)):
+            x, y = rows[k], rows[k + 1]
+            yield Aligned(counts, "".join(text[cuts[k] : cuts[k + 1]])[:-1], raw[8 * x : 8 * y], often[4 * x : 4 * y])
+
+    def _pairs(self, ids_a, ids_b, begin_a, begin_b, in_a, in_b, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (chunk, pair of ids) of linked tokens in order, and how often each is."""
+        small = in_a * in_b <= SMALL
+        n = np.where(small, in_a * in_b, 0)
+        of = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        keys = [ids_a[begin_a[of] + at // in_b[of]] << 32 | ids_b[begin_b[of] + at % in_b[of]]]
+        owners, weights = [chunk[of]], [np.ones(len(of), np.int64)]
+        for g in np.flatnonzero(~small).tolist():  # distinct ids only
+            (x, p), (y, q) = (np.unique(ids[k : k + m], return_counts=True) for ids, k, m in ((ids_a, begin_a[g], in_a[g]), (ids_b, begin_b[g], in_b[g])))
+            keys.append((x[:, None] << 32 | y[None, :]).ravel())
+            weights.append((p[:, None] * q[None, :]).ravel())
+            owners.append(np.full(len(x) * len(y), chunk[g]))
+        key, owner, weight = (np.concatenate(x) for x in (keys, owners, weights))
+        order = np.lexsort((key, owner))
+        key, owner, weight = key[order], owner[order], weight[order]
+        fresh = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+        return owner[fresh], key[fresh], np.add.reduceat(weight, fresh)
 
 
 @lru_cache(maxsize=2)
 def aligner(path_a: str, pattern: str, path_b: str) -> Texts:
-    """Aligned chunks of texts (None where the tokens don't spell the chunk); kept in a worker from task to task."""
-    encoder, pieces = Encoder(path_a, pattern), Pieces(path_b)
-    bytes_a, bytes_b = encoder.vocabulary.bytes_of, pieces.bytes_of
-
-    def make(new: Iterable[str]) -> dict[str, Aligned | None]:
-        own, out = list(new), {}
-        first = encoder.encoded(own)
-        for c, b in zip(own, pieces.encoded(own), strict=True):
-            a = np.frombuffer(first[c], "<u4").tolist()
-            left, right = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-            whole = (" " + c).encode("utf-8", "replace")
-            out[c] = Aligned(a, b, groups(left, right)) if b"".join(left) == whole == b"".join(right) else None
-        return out
-
-    texts = Texts(make, {}, REMEMBERED)
+    """Aligned chunks of texts; kept in a worker from task to task."""
+    texts = Texts(Aligner(path_a, pattern, path_b).make, {}, REMEMBERED)
     texts.own = chunks  # the space before the text belongs to the first chunk
     return texts
 
@@ -142,7 +196,7 @@ class _Block:
     """Documents of a block as they come."""
 
     def __init__(self):
-        self.keys, self.counts, self.digests, self.lengths, self.places = [], [], [], [], []
+        self.keys, self.digests, self.lengths, self.places = [], [], [], []
         self.chunks: list[Aligned] = []
 
     def add(self, key: object, own: list[Aligned | None]) -> None:
@@ -153,17 +207,18 @@ class _Block:
             if c.number < 0:
                 c.number = len(self.chunks)
                 self.chunks.append(c)
-        self.counts.append(tuple(map(sum, zip(*[c.counts for c in own], strict=True))) if own else (0, 0, 0, 0))
         self.digests.append(sha256(";".join([c.text for c in own]).encode()).hexdigest() if own else "")
         self.lengths.append(len(own))
-        self.places.append(np.array([c.number for c in own], np.int64))
+        self.places.append(np.array([c.number for c in own], np.uint32))
 
     def row(self, block: int) -> dict[str, object]:
         lengths = np.array(self.lengths, np.int64)
-        places = np.concatenate(self.places) if self.places else np.zeros(0, np.int64)
-        widths = np.array([len(c.pairs) for c in self.chunks], np.int64)
-        every = np.array([x for c in self.chunks for x in c.pairs], np.int64)
-        times = np.array([x for c in self.chunks for x in c.times], np.int64)
+        places = np.concatenate(self.places).astype(np.int64)
+        counts = np.array([c.counts for c in self.chunks], np.int64).reshape(-1, 4)
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[places], axis=0)])[np.concatenate([[0], np.cumsum(lengths)])]
+        widths = np.array([len(c.times) // 4 for c in self.chunks], np.int64)
+        every = np.frombuffer(b"".join([c.pairs for c in self.chunks]), "<i8")
+        times = np.frombuffer(b"".join([c.times for c in self.chunks]), "<i4").astype(np.int64)
         pairs, inverse = np.unique(every, return_inverse=True)
         for c in self.chunks:
             c.number = -1
@@ -176,7 +231,7 @@ class _Block:
         linked = np.unique(np.repeat(document, n) * max(1, len(pairs)) + inverse[at])
         held = np.bincount(linked % max(1, len(pairs)), minlength=len(pairs))
         packed = {k: v for name, x in (("place", places), ("pair", inverse), ("time", times)) for k, v in zip((f"{name}_low", f"{name}_high"), _planes(x), strict=True)}
-        shape = {"counts": np.array(self.counts, "<i8").tobytes(), "lengths": lengths.astype("<i8").tobytes(), "widths": widths.astype("<i8").tobytes()}
+        shape = {"counts": np.diff(sums, axis=0).astype("<i8").tobytes(), "lengths": lengths.astype("<i8").tobytes(), "widths": widths.astype("<i8").tobytes()}
         return {"block": block, "keys": self.keys, "digests": self.digests, "pairs": pairs, "held": held} | shape | packed
 
 
@@ -198,7 +253,7 @@ def blocks(docs: DataFrame, path_a: str, pattern: str, path_b: str, key: str = "
         texts, number, own, held = aligner(path_a, pattern, path_b), TaskContext.get().partitionId() << 32, _Block(), 0
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for k, found in zip(keys, texts.of(v.as_py() for v in batch.column(1)), strict=True):
+            for k, found in zip(keys, texts.of((v.as_py() for v in batch.column(1)), HELD), strict=True):
                 own.add(k, found)
                 held += len(found)
                 if held >= block or len(own.keys) >= DOCUMENTS:

@@ -118,15 +118,16 @@ def aligned(rows):
 
 @pytest.mark.parametrize("block", [50, 1 << 20])
 def test_alignment_matches_brute_force(spark, rows, block):
-    short = [(d, t[:600] if t else t) for d, t in rows]
+    short = [(d, t[:600] if t else t) for d, t in rows] + [(9000, "中文字符测试文本" * 60 + "🙂🙃" * 40)]
     got = alignment.alignments(documents(spark, short), A, PATTERN, B, block=block)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert Counter(map(tuple, got.collect())) == aligned(short)
 
 
 def test_spans_end_where_both_end():
-    assert alignment.groups([b" ab", b"c", b" d"], [b" a", b"bc", b" ", b"d"]) == [(2, 2), (1, 2)]
-    assert alignment.groups([b"\n", b"\n\n"], [b"\n", b"\n", b"\n"]) == [(1, 1), (1, 2)]
+    ends = lambda tokens: np.cumsum([len(t) for t in tokens])
+    first, second = alignment.spans(ends([b" ab", b"c", b" d", b"\n"]), ends([b" a", b"bc", b" ", b"d", b"\n"]), 7)
+    assert first.tolist() == [2, 3, 4] and second.tolist() == [2, 4, 5]
 
 
 # ranked search
