@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quilate.operators import clusters, density, tiles
 from quilate.plans.catalogue import query, r6
-from quilate.sources.scratch import written
+from quilate.sources import stores
+from quilate.sources.scratch import new_folder, written
 from quilate.sources.tables import table
 
 #: Lengths of vectors and the cosine of all pairs of different ones.
@@ -42,3 +46,13 @@ def cluster_report(s, d):
     """Size, share, counts and dominant label of each density cluster, and of noise."""
     found = written(density.hierarchical_clusters(_embeddings(s, d), "vec_id"))
     return clusters.report(found, _embeddings(s, d).select("vec_id", F.col("label").cast("string").alias("label")), "vec_id", ["label"])
+
+
+@query("SELECT kind, vec_id, len(embedding)::INTEGER AS dimensions, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings, (SELECT unnest(['npy', 'parquet', 'pkl']) AS kind)")
+def embedding_store(s, d):
+    """All vectors written to files of each format and read back."""
+    kinds, path = ("npy", "parquet", "pkl"), new_folder(s, "embeddings")
+    stores.save_embeddings(_embeddings(s, d), path, "vec_id", formats=kinds)
+    read = [stores.load_embeddings(s, path, "vec_id", k, "bigint").select(F.lit(k).alias("kind"), "vec_id", "embedding") for k in kinds]
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return reduce(DataFrame.unionAll, read).select("kind", "vec_id", F.size("embedding").alias("dimensions"), F.round(total, 5).alias("total"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from quilate.sources import arrays
 from quilate.sources.scratch import exists, removed
 from quilate.sources.tables import wide_to_vectors
 
@@ -111,44 +109,39 @@ def written_once(df: DataFrame, path: str) -> DataFrame:
 
 
 def save_embeddings(df: DataFrame, path: str, key: str = "responseId", vector: str = "embedding", formats: tuple[str, ...] = ("parquet",)) -> None:
-    """``parquet``: rows of key and vector. ``npy`` and ``pkl``: a file per partition, arrays of vectors and of keys.
+    """``parquet``: rows of key and vector. ``npy`` and ``pkl``: files of arrays, or of dictionaries of ids and arrays (see ``arrays``).
 
     Files are written by the tasks through the shared file system, never gathered on the driver.
     """
     rows = df.select(key, F.col(vector).cast("array<float>").alias(vector))
-    if "parquet" in formats:
-        rows.write.mode("overwrite").parquet(f"{path}/parquet")
-    for kind in ("npy", "pkl"):
-        if kind in formats:
-            packed = rows.mapInPandas(_packer(kind, key, vector), "name string, content binary")
-            packed.write.mode("overwrite").parquet(f"{path}/{kind}")
+    if rows.schema[key].dataType.simpleString() in ("int", "smallint", "tinyint"):
+        rows = rows.withColumn(key, F.col(key).cast("bigint"))
+    for kind in formats:
+        if kind == "parquet":
+            rows.write.mode("overwrite").parquet(f"{path}/parquet")
+        else:
+            arrays.registered(df.sparkSession)
+            rows.write.format("embedding_files").option("kind", kind).mode("overwrite").save(f"{path}/{kind}")
     meta = rows.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dimensions"))
     meta.select("*", F.lit(",".join(formats)).alias("formats")).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def _packer(kind: str, key: str, vector: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, pdf in enumerate(batches):
-            if pdf.empty:
-                continue
-            array = np.stack(pdf[vector].to_numpy()).astype(np.float32)
-            if kind == "npy":
-                buffer = io.BytesIO()
-                np.save(buffer, array)
-                raw = buffer.getvalue()
-            else:
-                raw = pickle.dumps({"ids": pdf[key].tolist(), "embeddings": array})
-            yield pd.DataFrame({"name": [f"{n}.{kind}"], "content": [raw]})
-
-    return run
-
-
-def load_embeddings(spark: SparkSession, path: str, key: str = "responseId") -> DataFrame:
-    """Key and vector; a table with a column per dimension becomes one of vectors."""
+def load_embeddings(spark: SparkSession, path: str, key: str = "responseId", kind: str = "parquet", key_type: str = "string", vector: str = "embedding") -> DataFrame:
+    """Key and vector; a table with a column per dimension becomes one of vectors. ``npy`` and ``pkl`` read files of arrays."""
+    if kind in ("npy", "pkl"):
+        at = f"{path}/{kind}" if exists(spark, f"{path}/{kind}") else path
+        return arrays.registered(spark).read.format("embedding_files").options(kind=kind, key=key, type=key_type, vector=vector).load(at)
     df = spark.read.parquet(f"{path}/parquet" if exists(spark, f"{path}/parquet") else path)
     return df if len(df.columns) == 2 else wide_to_vectors(df, key)
 
 
+def load_with_metadata(spark: SparkSession, path: str, metadata: DataFrame, key: str = "responseId", kind: str = "pkl") -> DataFrame:
+    """Embeddings beside the columns of ``metadata`` for the same key; keys without metadata keep nulls."""
+    types = metadata.schema[key].dataType.simpleString()
+    found = load_embeddings(spark, path, key, kind, "string" if types == "string" else "bigint")
+    return found.join(metadata, key, "left")
+
+
 def embedding(df: DataFrame, name, key: str = "responseId", vector: str = "embedding") -> np.ndarray | None:
     """The vector of one id."""
     row = df.where(F.col(key) == name).select(vector).first()

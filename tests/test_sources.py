@@ -87,13 +87,13 @@ def test_embedding_stores(spark, tmp_path):
     loaded = stores.load_embeddings(spark, f"file://{tmp_path}/e")
     assert stores.embedding(loaded, "b").tolist() == [3.0, 4.0] and stores.embedding(loaded, "z") is None
     assert [r.responseId for r in stores.embeddings_of(loaded, ["a", "a", "q"]).collect()] == ["a"]
-    import io
-    import pickle
-
-    arrays = [np.load(io.BytesIO(r.content)) for r in spark.read.parquet(f"file://{tmp_path}/e/npy").collect()]
-    assert sorted(np.concatenate(arrays)[:, 0].tolist()) == [1.0, 3.0]
-    packs = [pickle.loads(r.content) for r in spark.read.parquet(f"file://{tmp_path}/e/pkl").collect()]
-    assert sorted(i for p in packs for i in p["ids"]) == ["a", "b"]
+    for kind in ("npy", "pkl"):
+        back = stores.load_embeddings(spark, f"file://{tmp_path}/e", kind=kind)
+        assert sorted((r.responseId, r.embedding) for r in back.collect()) == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
+        assert [r.responseId for r in stores.embeddings_of(back, ["b", "q"]).collect()] == ["b"]
+        assert stores.embedding(back, "a").tolist() == [1.0, 2.0]
+    with_more = stores.load_with_metadata(spark, f"file://{tmp_path}/e", spark.createDataFrame([("a", "x")], "responseId string, genero string"))
+    assert {(r.responseId, r.genero) for r in with_more.collect()} == {("a", "x"), ("b", None)}
     meta = spark.read.json(f"file://{tmp_path}/e/metadata").first()
     assert (meta.n, meta.dimensions) == (2, 2)
     wide = spark.createDataFrame([("a", 1.0, 2.0)], "responseId string, d0 double, d1 double")
