@@ -116,10 +116,10 @@ def aligned(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [50, 1 << 20])
-def test_alignment_matches_brute_force(spark, rows, block):
+@pytest.mark.parametrize("block, held", [(50, 30), (1 << 20, 1 << 19)])
+def test_alignment_matches_brute_force(spark, rows, block, held):
     short = [(d, t[:600] if t else t) for d, t in rows] + [(9000, "中文字符测试文本" * 60 + "🙂🙃" * 40)]
-    got = alignment.alignments(documents(spark, short), A, PATTERN, B, block=block)
+    got = alignment.alignments(documents(spark, short), A, PATTERN, B, block=block, held=held)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert Counter(map(tuple, got.collect())) == aligned(short)
 
