@@ -56,3 +56,19 @@ def together(found: DataFrame, key: str, item: str = "tema") -> DataFrame:
     """Ordered pairs of different items and the number of documents that have both."""
     a, b = found.select(key, F.col(item).alias("a")).distinct(), found.select(key, F.col(item).alias("b")).distinct()
     return a.join(b, key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def most_frequent(tags: DataFrame, key: str, tag: str, n: int = 10) -> DataFrame:
+    """The rows of the ``n`` tags that most keys have; of equally frequent ones the first by name.
+
+    Counts are summed before they are shuffled, and only ``n`` tags are kept of each
+    task's before the last ``n`` are chosen, so no list of all tags is gathered.
+    """
+    counts = tags.where(F.col(tag).isNotNull()).groupBy(tag).agg(F.count_distinct(key).alias("n"))
+    top = counts.orderBy(F.desc("n"), tag).limit(n).select(tag)
+    return tags.join(top, tag, "left_semi")
+
+
+def top_together(tags: DataFrame, key: str, tag: str, n: int = 10) -> DataFrame:
+    """How many keys have both of two of the ``n`` most frequent tags; a key gives at most ``n * (n - 1)`` pairs, however many tags it has."""
+    return together(most_frequent(tags, key, tag, n), key, tag)

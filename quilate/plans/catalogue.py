@@ -629,10 +629,11 @@ def themes_per_doc(s, d):
     return _themes(s, d).groupBy("doc_id").agg(F.count("*").alias("themes")).groupBy("themes").agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT p_partkey, unnest(list_transform(string_split(p_type, ' '), lambda x: trim(x))) AS tag FROM part), u AS (SELECT DISTINCT * FROM t) SELECT a.tag AS a, b.tag AS b, count(*) AS n FROM u a JOIN u b ON a.p_partkey = b.p_partkey AND a.tag <> b.tag GROUP BY 1, 2")
+@query("WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(text, ' '), lambda x: x <> ''))) AS tag FROM documents), f AS (SELECT tag FROM t GROUP BY 1 ORDER BY count(*) DESC, tag LIMIT 10), u AS (SELECT * FROM t WHERE tag IN (SELECT tag FROM f)) SELECT a.tag AS a, b.tag AS b, count(*) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.tag <> b.tag GROUP BY 1, 2")
 def tag_cooc(s, d):
-    tags = table(s, d, "part").select("p_partkey", F.explode(F.transform(F.split("p_type", " "), lambda x: F.trim(x))).alias("tag"))
-    return themes.together(tags, "p_partkey", "tag")
+    """Pairs of the ten words that most documents have."""
+    words = F.array_distinct(F.filter(F.split("text", " "), lambda x: x != ""))
+    return themes.top_together(_texts(s, d).select("doc_id", F.explode(words).alias("tag")), "doc_id", "tag")
 
 
 # parses (a stand-in parse of every document)

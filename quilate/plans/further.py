@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quilate.operators import graphs, lexical, stats, vectors
+from quilate.operators import clusters, graphs, lexical, stats, vectors
 from quilate.plans import catalogue as C
 from quilate.plans.catalogue import query, r6
 from quilate.sources.scratch import new_folder, written
@@ -56,6 +56,13 @@ def label_prop(s, d):
     return graphs.label_propagation(_edges(s, d), _nodes(s, d), "m", new_folder(s, "label_prop"))
 
 
+@query()
+def community_purity(s, d):
+    """Number, mean and weighed purity of the communities that label propagation finds."""
+    found = graphs.label_propagation(_edges(s, d), _nodes(s, d), "m", new_folder(s, "label_prop")).select("node", F.col("label").alias("cluster"))
+    return clusters.average_purity(found, _nodes(s, d).select(F.col("m").alias("node"), (F.col("m") % 3).cast("string").alias("genero")), "node", "genero")
+
+
 @query(f"WITH {C._GROUPS}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS threshold), te AS (SELECT threshold, count(*) FILTER (WHERE sim >= threshold) AS edges FROM p, t GROUP BY 1) SELECT threshold, edges FROM te ORDER BY edges > 10 DESC, abs(threshold - 0.3), edges DESC LIMIT 1")
 def best_threshold(s, d):
     t = C._pairs(s, d).select("sim", F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7)))).alias("threshold"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilate.operators import clusters, density, tiles
+from quilate.operators import clusters, density, embedding, tiles, vectors
 from quilate.plans.catalogue import query, r6
 from quilate.sources import stores
 from quilate.sources.scratch import new_folder, written
@@ -56,3 +56,24 @@ def embedding_store(s, d):
     read = [stores.load_embeddings(s, path, "vec_id", k, "bigint").select(F.lit(k).alias("kind"), "vec_id", "embedding") for k in kinds]
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return reduce(DataFrame.unionAll, read).select("kind", "vec_id", F.size("embedding").alias("dimensions"), F.round(total, 5).alias("total"))
+
+
+def _reduced(s, d):
+    """Ten dimensions by the neighbour graph, and density clusters there."""
+    low = written(embedding.neighbour_embedding(_embeddings(s, d), "vec_id", dimensions=10))
+    return low, written(density.hierarchical_clusters(low, "vec_id"))
+
+
+@query()
+def neighbour_embedding(s, d):
+    """Every vector in ten dimensions."""
+    return embedding.neighbour_embedding(_embeddings(s, d), "vec_id", dimensions=10)
+
+
+@query()
+def reduced_silhouette(s, d):
+    """The silhouette of the density clusters in ten dimensions, noise left out, and the report's numbers of them."""
+    low, found = _reduced(s, d)
+    inner = low.join(found.where(F.col("cluster") != density.NOISE), "vec_id")
+    numbers = found.agg(F.count("*").alias("vectors"), F.count_if(F.col("cluster") == density.NOISE).alias("noise"), F.count_distinct(F.when(F.col("cluster") != density.NOISE, F.col("cluster"))).alias("clusters"))
+    return vectors.silhouette(inner, "vec_id", "cluster").select(F.coalesce("silhouette", F.lit(0.0)).alias("silhouette")).join(numbers, F.lit(True))
