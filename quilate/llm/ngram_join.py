@@ -27,7 +27,7 @@ link when the Jaccard similarity of their sets reaches a threshold.
    fragments is the overlap.
 
 Nothing that grows with the corpus is collected or broadcast. N-grams are known
-by at least 54 bits of a hash, sets in the lists by 64, equal sets by 128.
+by at least 52 bits of a hash (48 and those of the part; 54 from 33 shuffle partitions on), sets in the lists by 64, equal sets by 128.
 
 Edge cases: null and empty texts have an empty set and link with nothing; texts
 of fewer words than ``gram`` have their whole sequence as one n-gram; repeated

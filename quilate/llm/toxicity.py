@@ -23,12 +23,14 @@ subsequence: scoring a unit is a handful of table lookups.
 A document's score is a logistic function of its worst sentence's decision. As no
 unit reaches over a sentence's end, that is the worst of the text's distinct units.
 
-The sample of labelled documents is bounded by ``SAMPLE`` per class, and by
-``SENTENCES`` of each (those of the smallest hashes); scoring covers all documents whole.
+The sample of labelled documents is bounded by ``sample`` per class (those of the smallest
+hashes), and of each training takes the first ``per_document`` sentences; a toxic document
+whose only toxic sentence comes later teaches nothing. Scoring covers all documents whole.
 
 Edge cases: null and empty texts score as a text of harmless words; very long
 words are scored in overlapping windows; texts without labels are scored alike;
-repeated labels count once; without both classes among the labels every score is 0;
+repeated labels count once; without both classes among the labels every score is next
+to 0;
 extra columns aren't carried along.
 """
 
@@ -274,7 +276,7 @@ Sentences = list[list[str]]
 def fit(toxic: list[Sentences], clean: list[Sentences], landmarks: int = LANDMARKS, turns: int = TURNS, seed: int = 11) -> Detector:
     """Fit to the sentences (lists of units) of toxic and of clean documents."""
     if not toxic or not clean:
-        return Detector(np.zeros(FEATURES), -1.0, 0.0, 0.0) if not toxic else Detector(np.zeros(FEATURES), 1.0, 50.0, 0.0)
+        return Detector(np.zeros(FEATURES), -1.0, 50.0, 1.0)
     rng = random.Random(seed)
     # every fifth document only serves to place the decision
     placing = (toxic[::5], clean[::5])
@@ -347,8 +349,8 @@ def fit(toxic: list[Sentences], clean: list[Sentences], landmarks: int = LANDMAR
     return found
 
 
-def learned(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Detector:
-    """Fit to at most ``sample`` labelled documents of each class, those of the smallest hashes."""
+def learned(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, per_document: int = SENTENCES) -> Detector:
+    """Fit to at most ``sample`` labelled documents of each class, those of the smallest hashes, and ``per_document`` sentences of each."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & may_learn).groupBy(key).agg(F.max(label).alias("_y"))
     order = [F.xxhash64(key), F.col(key)]
     picked = [rows.where(F.col("_y") == y).orderBy(*order).limit(sample) for y in (0, 1)]
@@ -356,7 +358,7 @@ def learned(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "d
 
     def split(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["\n".join(map(" ".join, sentences(x, SENTENCES))) for x in batch.column(1).to_pylist()], pa.string())], ["y", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["\n".join(map(" ".join, sentences(x, per_document))) for x in batch.column(1).to_pylist()], pa.string())], ["y", "packed"])
 
     texts = docs.select(key, text).join(bounded, key).select("_y", text)
     # a line per sentence, units apart by spaces (they hold none): one text per document, and each unit once in memory

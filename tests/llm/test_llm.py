@@ -517,7 +517,8 @@ def test_sentences_hold_all_units():
 
 def test_units_cover_spaced_letters_and_empty_texts():
     assert "idiot" in toxicity.units("you i d i o t. x") and toxicity.units(None) == set() == toxicity.units("")
-    assert toxicity.fit([], [[["a"]]]).probability(np.array([-1.0]))[0] < 0.7
+    for one_class in (toxicity.fit([], [[["abc"]]]), toxicity.fit([[["abc"]]], [])):
+        assert one_class.probability(one_class.worst([{"abc", "idiot"}, set()])).max() < 1e-9
 
 
 # HTML
