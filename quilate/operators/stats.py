@@ -108,17 +108,29 @@ def sampled_per_group(df: DataFrame, n: int, by: str, *key: str, seed: int = 42)
     return df.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
 
 
-def draws(key: Column, resample: Column) -> Column:
-    """How often a row is in a resample with replacement: Poisson, from a digest of its key and the resample's number."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), resample.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return sum(((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+def resampled(df: DataFrame, key: str, *by: str, carry: tuple[str, ...] = (), resamples: int = 50) -> DataFrame:
+    """Resamples with replacement, each of exactly as many rows as the table (or as its group): the rows drawn, ``b`` and ``times``.
+
+    Rows are numbered in order of the key. Each of them makes one draw for every resample:
+    a digest of its number and the resample's picks the number of a row. Draws are counted
+    before they are shuffled, and meet the rows in a join on the number.
+    """
+    placed = written(ranked(df, key, *by, then=carry), "numbered")
+    names = [f"_g{i}" for i in range(len(by))]
+    sizes = placed.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.max("k").alias("_n"))
+    own = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        own &= F.col(c).eqNullSafe(F.col(n))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("k").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    drawing = placed.select(*by, "k").join(sizes, own).select(*names, "k", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    drawn = drawing.groupBy(*names, "b", (F.pmod(digest, F.col("_n")) + 1).alias("_pick")).agg(F.count("*").alias("times"))
+    return placed.join(drawn, own & (F.col("k") == F.col("_pick"))).select(*by, key, *carry, "b", "times")
 
 
 def bootstrap_interval(df: DataFrame, key: str, value: str, *by: str, resamples: int = 50) -> DataFrame:
     """2.5 and 97.5 percentiles of each group's mean over resamples; a group of five or fewer valid resamples has none."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
-    k = draws(F.col(key), F.col("_b"))
-    means = rows.withColumn("_k", k).groupBy(*by, "_b").agg((F.sum(F.col("_k") * F.col(value)) / F.nullif(F.sum("_k"), F.lit(0))).alias("_m")).where("_m IS NOT NULL")
+    drawn = resampled(df.where(F.col(value).isNotNull()), key, *by, carry=(value,), resamples=resamples)
+    means = drawn.groupBy(*by, "b").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("_m")).where("_m IS NOT NULL")
     # a group has as many means as there are resamples
     return means.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high")).where("_n > 5").drop("_n")
 

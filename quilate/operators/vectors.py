@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quilate.operators.stats import correlation, draws
+from quilate.operators.stats import correlation, resampled
 from quilate.operators.tiles import group_gaps, tiles
 from quilate.sources.scratch import removed
 
@@ -78,10 +78,11 @@ def resampled_quality(df: DataFrame, key: str, by: str, vector: str = "embedding
     """2.5 and 97.5 percentiles of the cluster metrics over resamples with replacement, from sufficient statistics.
 
     A cluster's sum of vectors, sum of squares and size are weighed by how often each
-    row is drawn, so that one aggregate by resample and cluster serves all metrics;
-    rows aren't copied. Resamples of fewer than two clusters count as zero.
+    row is drawn, so that one aggregate by resample and cluster serves all metrics.
+    Every resample has as many rows as the table.
     """
-    drawn = df.select(by, key, vector, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("k", draws(F.col(key), F.col("b"))).where("k > 0")
+    rows = df.where(F.col(by).isNotNull() & F.col(vector).isNotNull())
+    drawn = resampled(rows, key, carry=(by, vector), resamples=resamples).withColumnRenamed("times", "k")
     square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
     sizes = drawn.groupBy("b", by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * square).alias("sq"))
     parts = drawn.select("b", by, "k", F.posexplode(vector).alias("pos", "x")).groupBy("b", by, "pos").agg(F.sum(F.col("k") * F.col("x")).alias("s"))

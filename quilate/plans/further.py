@@ -81,21 +81,31 @@ def components(s, d):
     return vectors.components(_edges(s, d), _nodes(s, d), "m", new_folder(s, "components"))
 
 
-_DRAWS = " + ".join(f"(u > {p})::INT" for p in ("0.36787944", "0.73575888", "0.91969860", "0.98101184", "0.99634015", "0.99940582"))
-_U = "('0x' || substr(md5({} || '|' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_PICK = "('0x' || substr(md5(k || '|' || b), 1, 8))::BIGINT % n + 1"
 
 
-@query(f"WITH r AS (SELECT event_type, value, {_U.format('event_id')} AS u, b FROM events, (SELECT unnest(range(1, 51)) AS b) WHERE value IS NOT NULL), k AS (SELECT event_type, b, value, {_DRAWS} AS k FROM r), m AS (SELECT event_type, b, sum(k * value) / nullif(sum(k), 0) AS m FROM k GROUP BY 1, 2) SELECT event_type, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m WHERE m IS NOT NULL GROUP BY 1 HAVING count(*) > 5")
+@query(f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id, value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL), p AS (SELECT event_type, b, {_PICK} AS pick FROM r, (SELECT unnest(range(1, 51)) AS b)), m AS (SELECT event_type, b, avg(value) AS m FROM p JOIN r ON p.event_type IS NOT DISTINCT FROM r.event_type AND pick = r.k GROUP BY p.event_type, r.event_type, b) SELECT event_type, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1 HAVING count(*) > 5".replace("SELECT event_type, b, avg", "SELECT r.event_type, b, avg"))
 def bootstrap_ci(s, d):
-    """95 % intervals of a mean from 50 resamples; a row's multiplicity in a resample is Poisson, drawn from its id's digest."""
+    """95 % intervals of a mean from 50 resamples of exact size, drawn by digests."""
     return stats.bootstrap_interval(table(s, d, "events"), "event_id", "value", "event_type").select("event_type", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 
 
-@query(f"WITH v AS (SELECT vec_id, label, embedding, b, {_U.format('vec_id')} AS u FROM embeddings, (SELECT unnest(range(1, 51)) AS b)), k AS (SELECT * FROM (SELECT vec_id, label, embedding, b, {_DRAWS} AS k FROM v) WHERE k > 0), x AS (SELECT b, label, k, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM k), s AS (SELECT b, label, pos, sum(k * x) AS s, sum(k * x * x) AS q FROM x GROUP BY ALL), n AS (SELECT b, label, sum(k) AS n FROM k GROUP BY ALL), w AS (SELECT b, label, sum(s * s) AS ss, sum(q) AS sq FROM s GROUP BY ALL), t AS (SELECT b, sum(s * s) AS tt FROM (SELECT b, pos, sum(s) AS s FROM s GROUP BY ALL) GROUP BY ALL), e AS (SELECT b, sum(n) AS n, count(*) AS g, sum(sq - ss / n) AS wcss, sum(ss / n) AS bt FROM w JOIN n USING (b, label) GROUP BY ALL), m AS (SELECT b, wcss, bt - tt / n AS bcss FROM e JOIN t USING (b)) SELECT round(quantile_cont(bcss / (wcss + bcss), 0.025), 6) AS low, round(quantile_cont(bcss / (wcss + bcss), 0.975), 6) AS high FROM m")
+_RESAMPLED = f"""WITH r AS (SELECT label, embedding, row_number() OVER (ORDER BY vec_id) AS k, count(*) OVER () AS n FROM embeddings),
+p AS (SELECT b, {_PICK} AS pick, count(*) AS t FROM r, (SELECT unnest(range(1, 51)) AS b) GROUP BY 1, 2),
+x AS (SELECT b, label, t, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM p JOIN r ON pick = k),
+s AS (SELECT b, label, pos, sum(t * x) AS s, sum(t * x * x) AS q FROM x GROUP BY ALL), n AS (SELECT b, label, sum(t) AS n FROM p JOIN r ON pick = k GROUP BY ALL),
+w AS (SELECT b, label, sum(s * s) AS ss, sum(q) AS sq FROM s GROUP BY ALL), t AS (SELECT b, sum(s * s) AS tt FROM (SELECT b, pos, sum(s) AS s FROM s GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT b, sum(n)::DOUBLE AS n, count(*)::DOUBLE AS g, sum(sq - ss / n) AS wcss, sum(ss / n) AS bt, stddev_pop(n) / avg(n) AS size_cv FROM w JOIN n USING (b, label) GROUP BY ALL),
+m AS (SELECT b, n, g, wcss, bt - tt / n AS bcss, size_cv FROM e JOIN t USING (b)),
+l AS (SELECT 'wcss' AS metric, wcss AS v FROM m UNION ALL SELECT 'bcss', bcss FROM m UNION ALL SELECT 'size_cv', size_cv FROM m UNION ALL SELECT 'explained', bcss / (wcss + bcss) FROM m UNION ALL SELECT 'calinski_harabasz', (bcss / (g - 1)) / (wcss / (n - g)) FROM m)
+SELECT metric, count(*) AS valid, round(quantile_cont(v, 0.025), 5) AS low, round(quantile_cont(v, 0.975), 5) AS high FROM l GROUP BY 1"""
+
+
+@query(_RESAMPLED)
 def bootstrap_quality(s, d):
-    """The interval of the explained share of variance by label."""
-    q = vectors.resampled_quality(C._vectors(s, d), "vec_id", "label").where("metric = 'explained'")
-    return q.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+    """The intervals of five measures of the clusters by label."""
+    q = vectors.resampled_quality(C._vectors(s, d), "vec_id", "label")
+    return q.select("metric", "valid", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
 @query(f"WITH {C._CENTRED}, l AS (SELECT label, list(c ORDER BY pos) AS c FROM c GROUP BY 1) SELECT round(coalesce(avg(list_distance(a.c, b.c)), 0), 6) AS mean_inter FROM l a JOIN l b ON a.label < b.label")

@@ -109,3 +109,18 @@ def test_entry_imports_without_the_optional_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') and k[2].isdigit() for k in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert said.stdout.split()[1:] == ["False"], said.stderr
+
+
+def test_resamples_have_exactly_the_rows_of_their_group(spark):
+    from quilate.operators import stats
+
+    df = spark.range(120).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 1.5).alias("v")).where("g < 2 OR id < 20")
+    drawn = stats.resampled(df, "id", "g", carry=("v",), resamples=7)
+    sizes = {(r.g, r.b): r.n for r in drawn.groupBy("g", "b").agg(F.sum("times").alias("n")).collect()}
+    n = {r.g: r.n for r in df.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {(g, b): n[g] for g in n for b in range(1, 8)}
+    rows = drawn.collect()
+    assert all(r.v == r.id * 1.5 and r.id % 3 == r.g and r.times >= 1 for r in rows)
+    assert len({(r.id, r.b) for r in rows}) == len(rows) and max(r.times for r in rows) > 1
+    whole = stats.resampled(df, "id", resamples=3).groupBy("b").agg(F.sum("times").alias("n")).collect()
+    assert {r.n for r in whole} == {df.count()}
