@@ -16,6 +16,7 @@ from collections.abc import Awaitable, Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Providers by model name, the parser's model, and limits of requests (number, seconds).
@@ -141,20 +142,33 @@ class Limiter:
         return None
 
 
+def share(number: int, tasks: int, part: int) -> int:
+    """The requests of a limit that fall to one of ``tasks`` parts; together they are ``number``."""
+    return number // tasks + (part < number % tasks)
+
+
 def asked(items: DataFrame, message: str, model: str, connect: Callable[[], Registry], config: tuple[str, ...] = (), times: str | None = None, concurrency: int = 6, tasks: int = 1, limits: dict[str, tuple[int, float]] = LIMITS, into: str = "response") -> DataFrame:
     """Chat models' responses: a row per item and response, and one with an error for an item without any.
 
     Each task has at most ``concurrency`` items in flight; an item asks ``times``
     responses (a column; one if absent) at once. Failed ones are dropped, and an
-    item whose responses all fail becomes a row with the last error. A provider's
-    limit is divided by ``tasks``, the number of tasks that run side by side, so that
-    together they keep it. Finished batches are committed with their task, so that a
-    stopped run resumes by ``enrich.pending``.
+    item whose responses all fail becomes a row with the last error. Finished batches
+    are committed with their task, so that a stopped run resumes by ``enrich.pending``.
+
+    One rate limit for all tasks: items are dealt to ``tasks`` partitions, fewer if a
+    limit allows fewer requests than that, however they were dealt before, and each
+    partition has its own share of every limit. There is one task per share, so together
+    they keep the limit wherever they run. A task that is tried again first lets a
+    window pass, as the attempt before may have used its share.
     """
+    tasks = max(1, min([tasks, *(number for number, _ in limits.values())]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        registry, shared = connect(), {}
+        context = TaskContext.get()
+        registry, shared, part = connect(), {}, context.partitionId()
+        if context.attemptNumber() and limits:
+            time.sleep(max(seconds for _, seconds in limits.values()))
 
         async def one(slot: asyncio.Semaphore, row: dict[str, Any]) -> list[tuple[str | None, str | None]]:
             async with slot:
@@ -164,7 +178,7 @@ def asked(items: DataFrame, message: str, model: str, connect: Callable[[], Regi
                     return [(None, str(e))]
                 provider = registry.providers[row[model]]
                 number, seconds = limits.get(provider, (10**9, 1.0))
-                limiter = shared.setdefault(provider, Limiter(max(1, number // tasks), seconds))
+                limiter = shared.setdefault(provider, Limiter(share(number, tasks, part), seconds))
 
                 async def once() -> str:
                     async with limiter:
@@ -186,7 +200,7 @@ def asked(items: DataFrame, message: str, model: str, connect: Callable[[], Regi
             flat = [x for a in answers for x in a]
             yield pdf.iloc[at].assign(**{into: [x for x, _ in flat], "error": [e for _, e in flat]})
 
-    return items.mapInPandas(run, f"{fields}, `{into}` string, error string")
+    return items.repartition(tasks).mapInPandas(run, f"{fields}, `{into}` string, error string")
 
 
 def counters(called: DataFrame) -> DataFrame:

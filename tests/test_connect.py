@@ -256,3 +256,32 @@ def test_silhouette_in_blocks(spark):
         a, b = d.get(g), min(sum(x) / len(x) for h, x in d.items() if h != g)
         total += 0 if a is None else (b - sum(a) / len(a)) / max(b, sum(a) / len(a))
     assert vectors.silhouette(df, "id", "g", block=16).first()[0] == pytest.approx(total / len(rows))
+
+
+def test_one_limit_for_all_tasks(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        def client_of(key):
+            async def client(config, messages):
+                import time
+                import uuid
+
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(repr(time.time()))
+                return "ok"
+
+            return client
+
+        return connect.Registry({"openai": client_of}, {"openai": ["k"]}, {"m": "openai"})
+
+    items = spark.range(30, numPartitions=10).select("id", F.lit("m").alias("model"), F.lit("hello").alias("message"))
+    got = connect.asked(items, "message", "model", make, tasks=3, limits={"openai": (7, 1.5)}, concurrency=20)
+    assert got.rdd.getNumPartitions() == 3
+    assert len(got.where("error IS NULL").collect()) == 30
+    starts = sorted(float(p.read_text()) for p in tmp_path.iterdir())
+    # a little slack for the time between the limiter and the file
+    assert all(b - a > 1.2 for a, b in zip(starts, starts[7:]))
+    assert [connect.share(7, 3, i) for i in range(3)] == [3, 2, 2]
+    few = connect.asked(items, "message", "model", make, tasks=8, limits={"openai": (2, 0.1)})
+    assert few.rdd.getNumPartitions() == 2
