@@ -20,8 +20,12 @@ def _nodes(s, d):
 
 
 def _graph(s, d):
-    """The edges as one graph, and its nodes."""
-    return _edges(s, d).withColumn("graph", F.lit(0)), _nodes(s, d).select(F.lit(0).alias("graph"), F.col("m").alias("node"))
+    """A similarity graph for each label, of the means of twenty parts of its vectors, and all nodes."""
+    parts = C._vectors(s, d).where("label IS NOT NULL").withColumn("node", (F.col("label") * 100 + F.pmod(F.col("vec_id"), F.lit(20))).cast("bigint"))
+    means = written(vectors.mean_vectors(parts, ["label", "node"]))
+    a, b = means.select("label", F.col("node").alias("i"), F.col("embedding").alias("vi")), means.select("label", F.col("node").alias("j"), F.col("embedding").alias("vj"))
+    edges = a.join(b, "label").where("i < j").withColumn("weight", F.round(vectors.cosine(F.col("vi"), F.col("vj")), 9)).where("weight >= 0.1")
+    return edges.select(F.col("label").alias("graph"), "i", "j", "weight"), means.select(F.col("label").alias("graph"), "node")
 
 
 @query()
