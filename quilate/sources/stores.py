@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import signal
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -84,16 +88,57 @@ class Checkpoint:
         removed(self.spark, self.path)
 
 
+class Interrupted(RuntimeError):
+    """A job was stopped by a signal; finished parts are saved."""
+
+
+@contextmanager
+def stoppable(spark: SparkSession, signals: tuple[signal.Signals, ...] = (signal.SIGINT, signal.SIGTERM)) -> Iterator[None]:
+    """Inside the block a signal cancels the block's Spark jobs, with their tasks, and ``Interrupted`` is raised.
+
+    The jobs form a group of their own, so other threads' jobs go on. Outside the main
+    thread, where handlers can't be set, the block runs as it is.
+    """
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    context, group, caught = spark.sparkContext, f"stoppable-{uuid.uuid4().hex}", []
+
+    def stop(number: int, _: object) -> None:
+        caught.append(signal.Signals(number).name)
+        # by a thread of its own, as this one may wait for the JVM's answer
+        threading.Thread(target=context.cancelJobGroup, args=(group,)).start()
+
+    before = {s: signal.signal(s, stop) for s in signals}
+    context.setJobGroup(group, "stoppable", interruptOnCancel=True)
+    try:
+        yield
+    except Exception as e:
+        if caught:
+            raise Interrupted(caught[0]) from e
+        raise
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
+        for s, handler in before.items():
+            signal.signal(s, handler)
+    if caught:
+        raise Interrupted(caught[0])
+
+
 def resumed(items: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], store: Checkpoint, resume: bool = True, parts: int = 1) -> DataFrame:
     """Results of all items: those of a stopped run are kept, the rest is worked on in ``parts`` that each are saved.
 
     Items fall into parts by a hash of their key, so that a stop loses one part at most.
+    A signal to stop cancels the part at work and raises ``Interrupted``; called again,
+    the job goes on with what isn't saved.
     """
     if not resume:
         store.clean()
-    for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
-        store.append(work(store.pending(own, key)))
+    with stoppable(store.spark):
+        for k in range(parts):
+            own = items if parts == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
+            store.append(work(store.pending(own, key)))
     found = store.load()
     assert found is not None
     return found

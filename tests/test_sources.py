@@ -166,3 +166,45 @@ def test_command_line(spark, tmp_path):
     assert spark.read.text(f"{at}/odds").columns == ["value"]
     cli.main(["sentiment", "--input_file", f"{at}/wide", "--output_dir", f"{at}/s", "--connector", "tests.stub_connectors:sentiment_model", "--text_column", "response"])
     assert {r.sentiment_label for r in spark.read.parquet(f"{at}/s/sentiment").select("sentiment_label").distinct().collect()} == {"negative"}
+
+
+def test_a_signal_stops_a_job_and_it_goes_on_later(spark, tmp_path):
+    import os
+    import signal
+    import threading
+    import time
+
+    store = stores.Checkpoint(spark, f"file://{tmp_path}/partial")
+    items = spark.range(40).withColumnRenamed("id", "k")
+    turns = []
+
+    def work(df):
+        turns.append(1)
+        slow = len(turns) == 2
+
+        def run(batches):
+            for pdf in batches:
+                if slow and len(pdf):
+                    time.sleep(120)
+                yield pdf
+
+        return df.mapInPandas(run, "k bigint")
+
+    def later():
+        while len(turns) < 2:
+            time.sleep(0.1)
+        time.sleep(4)
+        os.kill(os.getpid(), signal.SIGTERM)
+
+    before = signal.getsignal(signal.SIGTERM)
+    threading.Thread(target=later, daemon=True).start()
+    begin = time.time()
+    with pytest.raises(stores.Interrupted, match="SIGTERM"):
+        stores.resumed(items, "k", work, store, parts=3)
+    assert time.time() - begin < 100 and signal.getsignal(signal.SIGTERM) is before
+    saved = store.load().count()
+    assert 0 < saved < 40  # the first part
+    assert sorted(r.k for r in stores.resumed(items, "k", lambda df: df, store, parts=3).collect()) == list(range(40))
+    with pytest.raises(ZeroDivisionError):  # other errors pass
+        with stores.stoppable(spark):
+            1 / 0
