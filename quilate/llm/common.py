@@ -40,15 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+def written(df: DataFrame, **options: object) -> DataFrame:
+    """Write ``df`` (with the writer's ``options``) to the shared folder and read it back, which cuts its lineage.
 
     The files outlive lost executors. They are removed when the driver's
     process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quilate-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
     swept(spark)
     out = spark.read.schema(df.schema).parquet(path)

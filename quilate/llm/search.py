@@ -40,13 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quilate.llm.common import tidied, written
+from quilate.llm.common import settings, tidied, written
 
 #: Fixed value: the characters of a term.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents and occurrences of terms in a shard, items in a block.
 DOCUMENTS, OCCURRENCES, ITEMS = 4096, 1 << 21, 256
+#: Shards in a file, which a reader takes at once, and bytes in a batch for Python (or one shard): bounds of memory.
+SHARDS, BATCH = 4, {"spark__sql__execution__arrow__maxBytesPerBatch": "8m"}
 #: Each tier but the last holds a term's so many best postings at least, and this share of them.
 TIERS = ((32, 1 / 16), (256, 1 / 4))
 _EXACT, _LOW, _OPEN = range(3)
@@ -90,17 +92,27 @@ class _Shard:
     def add(self, key: object, text: str | None) -> None:
         own = terms_of(text) if text else []
         self.keys.append(key)
-        self.found.append(np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own)))
+        self.found.append(np.fromiter(map(self.numbers.__getitem__, own), np.int32, len(own)))
         self.held += len(own)
 
     def row(self, shard: int, totals: tuple[int, int], tiers: tuple[tuple[int, float], ...]) -> dict[str, object]:
         lengths, width = np.array([len(x) for x in self.found], np.int64), max(1, len(self.numbers))
         m = 100 - 25 + 25 * lengths * totals[0] // max(1, totals[1])
-        postings, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * width + np.concatenate(self.found), return_counts=True)
-        document, term = np.divmod(postings, width)
-        strength = impact(tf, m[document])
-        order = np.argsort(term << 20 | (1_000_000 - strength), kind="stable")
-        document, term, tf, strength = document[order], term[order], tf[order], strength[order]
+        # one array of occurrences, sorted in place; a shard is large, so few others of its size
+        postings = np.concatenate(self.found, dtype=np.int64)
+        self.found = []
+        postings += np.repeat(np.arange(len(lengths)) * width, lengths)
+        postings.sort()
+        first = np.flatnonzero(np.diff(postings, prepend=-1))
+        tf = np.diff(first, append=len(postings))
+        postings = postings[first]
+        del first
+        document = (postings // width).astype(np.int32)
+        postings %= width
+        strength = impact(tf, m[document]).astype(np.int32)
+        order = np.argsort(postings << 20 | (1_000_000 - strength), kind="stable")
+        document, term, tf, strength = document[order], postings[order], tf[order].astype(np.int32), strength[order]
+        del order, postings
         held = np.bincount(term, minlength=len(self.numbers))
         place = np.arange(len(term)) - np.repeat(np.cumsum(held) - held, held)
         ends = [np.minimum(held, np.maximum(least, (share * held).astype(np.int64))) for least, share in tiers] + [held]
@@ -147,6 +159,12 @@ def index(docs: DataFrame, counted: tuple[int, int], key: str = "doc_id", text:
     return source.mapInArrow(run, schema)
 
 
+def stored(shards: DataFrame) -> DataFrame:
+    """The index, written in files of a few shards: a reader takes the rows of a file in batches of thousands."""
+    with settings(shards.sparkSession, **BATCH):
+        return written(shards, maxRecordsPerFile=SHARDS)
+
+
 class _Reader:
     """The tiers of a shard that were read."""
 
@@ -155,8 +173,8 @@ class _Reader:
         self.m = np.frombuffer(row["m"], "<i8")
         self.tiers = []
         for k in range(tiers):
-            widths, docs, tfs, after = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in _tier_columns(k))
-            self.tiers.append((np.concatenate([[0], np.cumsum(widths)]), docs, tfs, after))
+            widths, docs, tfs, after = (np.frombuffer(row[c], "<u4") for c in _tier_columns(k))
+            self.tiers.append((np.concatenate([[0], np.cumsum(widths, dtype=np.int64)]), docs, tfs, after))
         # places of the ids in ascending order, nulls last
         order = sorted(range(len(self.keys)), key=lambda i: (self.keys[i] is None, self.keys[i]))
         self.order = np.empty(len(order), np.int64)
@@ -171,7 +189,7 @@ class _Reader:
                 self.seen[term] = None
             else:
                 cut = [(docs[ends[i] : ends[i + 1]], tfs[ends[i] : ends[i + 1]]) for ends, docs, tfs, _ in self.tiers]
-                docs, tfs = (np.concatenate(x) for x in zip(*cut, strict=True))
+                docs, tfs = (np.concatenate(x, dtype=np.int64) for x in zip(*cut, strict=True))
                 self.seen[term] = docs, impact(tfs, self.m[docs]), int(self.tiers[-1][3][i])
         return self.seen[term]
 
@@ -245,7 +263,8 @@ def search(shards: DataFrame, items: DataFrame, counted: tuple[int, int], item:
     pairs = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b")).join(by_block, "b").select("shard", "items")
     best, settled = Window.partitionBy("q").orderBy(col("score").desc()), []
     for tier in range(tiers):
-        found = written(_level(shards, pairs, tier, k))
+        with settings(shards.sparkSession, **BATCH):
+            found = written(_level(shards, pairs, tier, k))
         if tier + 1 == tiers:
             settled.append(found.where(col("kind") == _EXACT))
             break
@@ -266,5 +285,5 @@ def search(shards: DataFrame, items: DataFrame, counted: tuple[int, int], item:
 def ranked(docs: DataFrame, items: DataFrame, item: str = "item_id", key: str = "doc_id", text: str = "text", k: int = 20, documents: int = DOCUMENTS, tiers: tuple[tuple[int, float], ...] = TIERS) -> DataFrame:
     """Index ``docs`` and search it for ``items``, whose texts are in a column of the same name."""
     counted = totals(docs, text)
-    shards = written(index(docs, counted, key, text, documents, tiers))
+    shards = stored(index(docs, counted, key, text, documents, tiers))
     return search(shards, items, counted, item, text, key, k)

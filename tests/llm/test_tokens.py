@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -185,3 +186,23 @@ def test_empty_tables(spark):
     assert alignment.alignments(empty, A, PATTERN, B).count() == 0
     assert search.ranked(empty, items).count() == 0
     assert search.ranked(documents(spark, [(1, "a")]), items.limit(0)).count() == 0
+
+
+def test_index_in_files_of_few_shards(spark):
+    docs = documents(spark, [(i, f"term{i} common") for i in range(60)]).coalesce(1)
+    counted = search.totals(docs)
+    shards = search.stored(search.index(docs, counted, documents=2))
+    held = shards.groupBy(F.input_file_name()).count().select("count").collect()
+    assert sum(r["count"] for r in held) == 30 and max(r["count"] for r in held) <= search.SHARDS
+
+
+def test_memory_of_a_shard():
+    draw, own = np.random.default_rng(1), search._Shard()
+    words = [f"w{i}" for i in range(20_000)]
+    for k in range(1000):
+        own.add(k, " ".join(words[i] for i in draw.integers(0, len(words), 1000)))
+    tracemalloc.start()
+    own.row(0, (1000, 1_000_000), search.TIERS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 72 * own.held
