@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quilate.functions import text as T
 from quilate.operators import conllu
+from quilate.operators.batches import measured
 
 #: The metrics and what they are where a text is blank or can't be analysed.
 DEFAULTS = {
@@ -23,42 +27,61 @@ def entity_counts(labels: Column) -> list[Column]:
     return [F.coalesce(F.size(F.filter(labels, lambda x: x.isin(*wanted))), F.lit(0)).alias(name) for name, wanted in ENTITIES.items()]
 
 
-def stylometrics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Word, sentence, syllable and punctuation metrics per document, rounded to two places.
+def _syllables(words: pa.Array) -> np.ndarray:
+    """``text.syllables`` of words in lower case."""
+    letters = pc.replace_substring_regex(words, f"[^{T.PORTUGUESE_LETTERS}]", "")
+    count = pc.count_substring_regex(letters, f"[{T.VOWELS}]+").to_numpy() - sum(pc.count_substring(letters, d).to_numpy() for d in T.DIPHTHONGS)
+    return np.where(pc.equal(pc.utf8_trim(words, characters=" "), "").to_numpy(zero_copy_only=False), 0, np.maximum(1, count))
 
-    Words are exploded, so that their lengths and syllables are compiled expressions,
-    and summed by sentence before the shuffle.
+
+def word_counts(sentences: pa.Array) -> dict[str, np.ndarray]:
+    """Per array of sentences (arrays of words in lower case): sentences, words, their squares by sentence, characters, syllables, long words.
+
+    Each distinct word is measured once.
     """
-    x = F.coalesce(text, F.lit(""))
-    sentences = df.select(key, T.punctuation(x).alias("_p"), F.posexplode_outer(T.sentences(x)).alias("_sid", "_x"))
-    words = sentences.select(key, "_p", "_sid", F.explode_outer(T.tokens(F.coalesce("_x", F.lit("")))).alias("w"))
-    # a step of its own keeps the compiled aggregate small enough for the just-in-time compiler
-    measured = words.select(key, "_p", "_sid", "w", F.length("w").alias("_n"), T.syllables(F.col("w")).alias("_y"))
-    each = measured.groupBy(key, "_sid").agg(F.max("_p").alias("_p"), F.count("w").alias("k"), F.coalesce(F.sum("_n"), F.lit(0)).alias("chars"), F.sum("_y").alias("syl"), F.count_if(F.col("_n") > 6).alias("long"))
-    each = each.withColumn("_is", F.col("_sid").isNotNull())
-    doc = each.groupBy(key).agg(F.max("_p").alias("p"), F.count_if("_is").alias("s"), F.sum("k").alias("k"), F.sum("chars").alias("chars"), F.sum("syl").alias("syl"), F.sum("long").alias("long"), F.sum(F.col("k").cast("bigint") * F.col("k")).alias("k2"))
+    n, inner, document = len(sentences), sentences.flatten(), pc.list_parent_indices(sentences).to_numpy()
+    coded, sentence = inner.flatten().dictionary_encode(), pc.list_parent_indices(inner).to_numpy()
+    code, owner = coded.indices.to_numpy(zero_copy_only=False), document[sentence]
+    length, held = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False), np.bincount(sentence, minlength=len(inner))
+    total = lambda x: np.bincount(owner, x[code], n).astype(np.int64)
+    return {
+        "s": np.bincount(document, minlength=n), "k": np.bincount(owner, minlength=n), "k2": np.bincount(document, held * held, n).astype(np.int64),
+        "chars": total(length), "syl": total(_syllables(coded.dictionary)), "long": total(length > 6),
+    }
+
+
+#: For ``batches.measured``.
+WORDS = word_counts, dict.fromkeys(("s", "k", "k2", "chars", "syl", "long"), "bigint")
+
+
+def _words(text: Column) -> Column:
+    return F.transform(T.sentences(text), T.tokens)
+
+
+def style_columns() -> list[Column]:
+    """Word, sentence, syllable and punctuation metrics from ``WORDS`` and the punctuation marks ``p``, rounded to two places."""
     over = lambda c, n: F.when(n > 0, F.round(c / n, 2)).otherwise(0.0)
     k = F.col("k")
-    return doc.select(
-        key, over(F.col("chars"), k).alias("avg_word_length"), over(100 * F.col("long"), k).alias("long_words_ratio"),
+    return [
+        over(F.col("chars"), k).alias("avg_word_length"), over(100 * F.col("long"), k).alias("long_words_ratio"),
         F.when(F.col("s") > 1, F.round((F.col("s") * F.col("k2") - k * k) / (F.col("s") * F.col("s")), 2)).otherwise(0.0).alias("sentence_length_variance"), over(100 * F.col("p"), k + F.col("p")).alias("punctuation_ratio"),
         F.round(T.flesch(k, F.col("s"), F.col("syl")), 2).alias("flesch_reading_ease"),
-    )
+    ]
 
 
 def analyzed(df: DataFrame, key: str, text: str, parse: str | None = None, entities: str | None = None, include_ner: bool = True, include_lemmatization: bool = True) -> DataFrame:
-    """Per document its key and the 22 metrics.
+    """Per row with a key its key and the 22 metrics, in one pass without a shuffle.
 
     ``parse`` names a column of CoNLL-U text, ``entities`` one of entity labels (both
     come from injected models; see ``connect``); without them, and for blank texts,
     the metrics that need them have their defaults.
     """
-    wanted = df.select(key, text, *[c for c in (parse, entities) if c]).where(F.col(key).isNotNull())
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    out = wanted.select(key, blank.alias("_blank"), *(entity_counts(F.col(entities)) if entities and include_ner else []))
-    out = out.join(stylometrics(wanted, key, text), key)
-    if parse:
-        out = out.join(conllu.complexity(wanted, key, parse), key).join(conllu.pos_frequencies(wanted, key, parse), key)
+    x = F.coalesce(text, F.lit(""))
+    counts = entity_counts(F.col(entities)) if entities and include_ner else []
+    wanted = df.where(F.col(key).isNotNull()).select(key, (F.trim(x) == "").alias("_blank"), *counts, T.punctuation(x).alias("p"), _words(x).alias("_words"), *([F.col(parse).alias("_parse")] if parse else []))
+    found = measured(wanted, {"_words": WORDS} | ({"_parse": conllu.MEASURE} if parse else {}))
+    more = [*conllu.complexity_columns(), *conllu.pos_columns(), "lemmas"] if parse else []
+    out = found.select(key, "_blank", *(ENTITIES if counts else []), *style_columns(), *more)
     value = lambda m, d: F.when(F.col("_blank") | (F.lit(m == "lemmas") & F.lit(not include_lemmatization)), F.lit(d)).otherwise(F.coalesce(m, F.lit(d))) if m in out.columns else F.lit(d)
     return out.select(key, *[value(m, d).alias(m) for m, d in DEFAULTS.items()])
 
