@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,10 +132,62 @@ def resampled(df: DataFrame, key: str, *by: str, carry: tuple[str, ...] = (), re
     return placed.join(drawn, own & (F.col("k") == F.col("_pick"))).select(*by, key, *carry, "b", "times")
 
 
+def _picks(first: int, count: int, size: int, resamples: int) -> np.ndarray:
+    """Rows (from 0) that the rows from ``first`` draw, a line for each resample; as in ``resampled``."""
+    ends = [b"|%d" % b for b in range(1, resamples + 1)]
+    digests = b"".join([hashlib.md5(k + e, usedforsecurity=False).digest()[:4] for k in (b"%d" % k for k in range(first, first + count)) for e in ends])
+    return np.frombuffer(digests, ">u4").astype(np.int64).reshape(count, resamples).T % size
+
+
+def resampled_means(df: DataFrame, key: str, value: str, *by: str, resamples: int = 50, block: int = 1 << 16) -> DataFrame:
+    """The mean ``_m`` of each group's non-null values in each resample ``b`` of ``resampled``.
+
+    Draws aren't rows: a run of rows makes its draws at once and sends each block of picked
+    rows two bytes a draw. A block of values sums up what was drawn from it.
+    """
+    spark, names = df.sparkSession, [f"_g{i}" for i in range(len(by))]
+    placed = written(ranked(df.where(F.col(value).isNotNull()), key, *by, then=(value,)), "numbered")
+    groups = placed.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.max("k").alias("_n"))
+    groups = written(groups.withColumn("_g", F.monotonically_increasing_id()), "groups")
+    own = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        own &= F.col(c).eqNullSafe(F.col(n))
+    values = placed.join(groups, own).select("_g", F.floor((F.col("k") - 1) / block).cast("int").alias("_block"), F.pmod(F.col("k") - 1, F.lit(block)).cast("int").alias("at"), F.col(value).cast("double").alias("v"))
+    run = max(1, block // 2)
+    runs = groups.where("_n > 0").select("_g", "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n", F.lit(run).cast("bigint"))).alias("first"))
+    runs = runs.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, n, first in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                at, offset = np.divmod(_picks(first, min(run, n - first + 1), n, resamples), block)
+                blocks = -(-n // block)
+                counts = np.bincount((at * resamples + np.arange(resamples)[:, None]).ravel(), minlength=blocks * resamples).reshape(blocks, resamples)
+                offset = offset.ravel()[np.argsort(at.ravel(), kind="stable")].astype("<u4" if block > 1 << 16 else "<u2")
+                cuts = np.concatenate([[0], np.cumsum(counts.sum(1))])
+                some = np.flatnonzero(np.diff(cuts))
+                columns = [pa.array(np.full(len(some), g)), pa.array(some, pa.int32()), pa.array([counts[i].astype("<u4").tobytes() for i in some], pa.binary()), pa.array([offset[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["_g", "_block", "counts", "offsets"])
+
+    draws = runs.mapInArrow(drawn, "_g bigint, _block int, counts binary, offsets binary")
+
+    def summed(own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        x, s, n = np.zeros(block), np.zeros(resamples), np.zeros(resamples, np.int64)
+        x[own["at"].to_numpy()] = own["v"].to_numpy()
+        for c, o in zip(draws["counts"], draws["offsets"], strict=True):
+            times = np.frombuffer(c, "<u4")
+            s += np.bincount(np.repeat(np.arange(resamples), times), x[np.frombuffer(o, "<u4" if block > 1 << 16 else "<u2")], resamples)
+            n += times
+        return pd.DataFrame({"_g": draws["_g"].iloc[:1].repeat(resamples).to_numpy(), "b": np.arange(1, resamples + 1), "s": s, "n": n}) if len(draws) else pd.DataFrame({"_g": [], "b": [], "s": [], "n": []})
+
+    sums = values.groupBy("_g", "_block").cogroup(draws.groupBy("_g", "_block")).applyInPandas(summed, "_g bigint, b int, s double, n bigint")
+    means = sums.groupBy("_g", "b").agg((F.sum("s") / F.sum("n")).alias("_m"))
+    return means.join(groups, "_g").select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], "b", "_m")
+
+
 def bootstrap_interval(df: DataFrame, key: str, value: str, *by: str, resamples: int = 50) -> DataFrame:
     """2.5 and 97.5 percentiles of each group's mean over resamples; a group of five or fewer valid resamples has none."""
-    drawn = resampled(df.where(F.col(value).isNotNull()), key, *by, carry=(value,), resamples=resamples)
-    means = drawn.groupBy(*by, "b").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("_m")).where("_m IS NOT NULL")
+    means = resampled_means(df, key, value, *by, resamples=resamples).where("_m IS NOT NULL")
     # a group has as many means as there are resamples
     return means.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high")).where("_n > 5").drop("_n")
 

@@ -124,3 +124,15 @@ def test_resamples_have_exactly_the_rows_of_their_group(spark):
     assert len({(r.id, r.b) for r in rows}) == len(rows) and max(r.times for r in rows) > 1
     whole = stats.resampled(df, "id", resamples=3).groupBy("b").agg(F.sum("times").alias("n")).collect()
     assert {r.n for r in whole} == {df.count()}
+
+
+@pytest.mark.parametrize("block", [7, 1 << 17])
+def test_means_of_resamples_without_rows_of_draws(spark, block):
+    rows = [(i, "ab"[i % 2] if i % 5 else None, None if i % 11 == 0 else i * 0.37) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v double")
+    drawn = stats.resampled(df.where("v IS NOT NULL"), "id", "g", carry=("v",), resamples=6)
+    want = {(r.g, r.b): r.m for r in drawn.groupBy("g", "b").agg((F.sum(F.col("times") * F.col("v")) / F.sum("times")).alias("m")).collect()}
+    means = stats.resampled_means(df, "id", "v", "g", resamples=6, block=block)
+    assert {(r.g, r.b): r._m for r in means.collect()} == pytest.approx(want) and len(want) == 18
+    # draws are packed before they are shuffled
+    assert "FlatMapCoGroupsInPandas" in stats.bootstrap_interval(df, "id", "v", "g")._jdf.queryExecution().optimizedPlan().toString()
