@@ -17,9 +17,6 @@ COMPARISONS = (
     ("regiao", "nortista", "sudestina"), ("regiao", "nordestina", "sudestina"), ("regiao", "sulista", "sudestina"), ("regiao", "sudestina", "sudestina"), ("regiao", "centro-oestina", "sudestina"),
 )
 
-#: Marks the rows that count a term's documents; alone it counts all documents. No term holds it.
-_PER_DOCUMENT = "\x01"
-
 
 class EmptyVocabulary(ValueError):
     """No document, or no term, is left to compare."""
@@ -77,16 +74,17 @@ def group_counts(docs: DataFrame, by: str | list[str], text: str = "text", max_s
     rows = rows.where(F.size("w") > 0)
     if groups:
         rows = rows.where(F.col(keys[0]).isin(*groups))
-    once = F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit(_PER_DOCUMENT), x))
-    counted = written(rows.select(*keys, F.explode(F.concat("w", once, F.array(F.lit(_PER_DOCUMENT)))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n")), "counts")
-    per_document = F.col("term").startswith(_PER_DOCUMENT)
-    total = counted.where(F.col("term") == _PER_DOCUMENT).agg(F.sum("n")).first()[0] or 0
+    # an empty term among those that count documents counts all of them
+    both = F.array(F.struct(F.lit(False).alias("once"), F.col("w").alias("w")), F.struct(F.lit(True).alias("once"), F.concat(F.array_distinct("w"), F.array(F.lit(""))).alias("w")))
+    terms = rows.select(*keys, F.explode(both).alias("_x")).select(*keys, F.col("_x.once").alias("_once"), F.explode("_x.w").alias("term"))
+    counted = written(terms.groupBy(*keys, "_once", "term").agg(F.count("*").alias("n")), "counts")
+    total = counted.where("term = ''").agg(F.sum("n")).first()[0] or 0
     if required and not total:
         raise EmptyVocabulary("no document with words")
-    terms = counted.select(F.when(per_document, F.substr("term", F.lit(2))).otherwise(F.col("term")).alias("term"), F.when(per_document, F.col("n")).alias("df"), F.when(~per_document, F.col("n")).alias("tf"))
-    stats = terms.where("term <> ''").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") <= max_share * total)
+    of = lambda x: F.sum(F.when(x, F.col("n")))
+    stats = counted.where("term <> ''").groupBy("term").agg(of(~F.col("_once")).alias("tf"), of(F.col("_once")).alias("df")).where(F.col("df") <= max_share * total)
     vocabulary = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_terms).select("term")
-    return counted.where(~per_document).join(F.broadcast(vocabulary), "term")
+    return counted.where("NOT _once").drop("_once").join(F.broadcast(vocabulary), "term")
 
 
 def _odds(a: Column, b: Column, p: Column, ta: Column, tb: Column, tp: Column) -> Column:

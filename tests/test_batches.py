@@ -4,8 +4,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quilate.functions import text as T
-from quilate.operators import batches, conllu, metrics
+from quilate.operators import batches, conllu, metrics, themes
 from quilate.plans.catalogue import QUERIES
+from quilate.sources.tables import spread
 
 
 def plan(df):
@@ -50,3 +51,23 @@ def test_slices_are_bounded_and_whole():
     batch = pa.record_batch({"k": pa.array(range(100)), "t": pa.array(["x" * 1000] * 100)})
     parts = list(batches.slices(batch, [1], 10_000))
     assert len(parts) >= 10 and [k for p in parts for k in p.column(0).to_pylist()] == list(range(100))
+
+
+def test_pairs_of_tags_without_a_join(spark):
+    lists = [["a", "b", "", "a"], ["a", "b", "c"], [None, "c"], None, []] * 3
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, tags array<string>")
+    rows = df.select("id", F.explode(F.array_distinct(F.filter("tags", lambda x: x != ""))).alias("tag"))
+    got = themes.top_in_lists(df, "tags", 2)
+    assert sorted(got.collect()) == sorted(themes.top_together(rows, "id", "tag", 2).collect()) and got.count() == 2
+    assert "Join" not in plan(got) and "Join" not in plan(QUERIES["tag_cooc"][0](spark, "/root/testdata/sf0.001"))
+
+
+def test_latin_words_are_whole_runs(spark):
+    texts = ["Abc ab日 日ab a ab×cd naïve_x x1 Ÿz Öl", "É", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.latin_words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [["abc", "ab", "cd", "ÿz", "öl"], [], []]
+
+
+def test_texts_are_dealt_in_parts_of_bounded_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert spread(docs, 1 << 20).rdd.getNumPartitions() >= 14
