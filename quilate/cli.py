@@ -53,7 +53,7 @@ def masked_personas(spark: SparkSession, a: argparse.Namespace) -> None:
         df = frames.require(df, "model").where(F.col("model") == a.model_name)
     counts = lexical.group_counts(df, a.target_col, a.text_col, stop=lexical.all_stop_words(spark), required=True)
     found = lexical.log_odds(counts, a.target_name, a.unmarked_name, a.target_col).where("z > 1.96").orderBy(F.desc("z"), "term")
-    tables.write_report(found, a.output_dir, "%s: %.2f", "term", "z")
+    tables.write_report(found.select(lexical.report_line().alias("line")), a.output_dir, "%s", "line")
 
 
 def sentiment(spark: SparkSession, a: argparse.Namespace) -> None:

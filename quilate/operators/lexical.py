@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilate.functions.text import latin_words, tokens
+from quilate.functions.text import fixed, latin_words, tokens
 from quilate.sources.scratch import written
 
 #: The comparisons (column, target, reference) of a full batch; a group against itself scores zero.
@@ -49,14 +49,26 @@ def ctfidf(counts: DataFrame, by: str = "lang", required: bool = False) -> DataF
     return counts.join(classes, by).join(totals, "term").select(by, "term", "n", (tf * idf).alias("score"))
 
 
-def top_terms(scores: DataFrame, k: int, by: str = "lang") -> DataFrame:
-    order = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("term"))
+def top_terms(scores: DataFrame, k: int, by: str = "lang", digits: int | None = None) -> DataFrame:
+    """The terms of the k highest scores of each class; scores equal in ``digits`` digits are ties, but aren't rounded."""
+    score = F.col("score") if digits is None else F.round("score", digits)
+    order = Window.partitionBy(by).orderBy(score.desc(), F.asc("term"))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(by, "rank", "term", "score")
 
 
+def cell() -> Column:
+    """A term and its score like ``word (0.1234)``."""
+    return F.concat("term", F.lit(" ("), fixed(F.col("score"), 4), F.lit(")"))
+
+
+def report_line() -> Column:
+    """A term and its z-score like ``word: 2.34``."""
+    return F.concat("term", F.lit(": "), fixed(F.col("z"), 2))
+
+
 def wide(top: DataFrame, classes: list[str], by: str = "lang") -> DataFrame:
     """A row per rank, a column per class, cells like ``word (0.1234)``."""
-    return top.groupBy("rank").pivot(by, classes).agg(F.first(F.format_string("%s (%.4f)", "term", "score")))
+    return top.select(by, "rank", cell().alias("cell")).groupBy("rank").pivot(by, classes).agg(F.first("cell"))
 
 
 def group_counts(docs: DataFrame, by: str | list[str], text: str = "text", max_share: float = 0.95, max_terms: int = 10_000, groups: tuple[str, ...] | None = None, stop: tuple[str, ...] = (), required: bool = False) -> DataFrame:
